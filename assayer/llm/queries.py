@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from assayer.llm import packing, pieces
+from assayer.llm import licences, packing, pieces, quality_model, quality_rules, toxicity
 
 QUERIES = {
     "op2_sentencepiece": pieces.op2_sentencepiece,
+    "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_packing": packing.op4_packing,
+    "op5_license_scan": licences.op5_license_scan,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_quality_model": quality_model.op9_quality_model,
 }
 ORACLES: dict[str, str] = {}
