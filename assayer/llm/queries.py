@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from assayer.llm import licences, packing, pieces, quality_model, quality_rules, toxicity
+from assayer.llm import embeddings, licences, packing, pieces, quality_model, quality_rules, toxicity
 
 QUERIES = {
+    "op1_embedding_dedup": embeddings.op1_embedding_dedup,
     "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_packing": packing.op4_packing,
@@ -12,4 +13,4 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality_model": quality_model.op9_quality_model,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_embedding_dedup": embeddings.OP1_SQL}
