@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assayer.llm import embeddings, licences, packing, pieces, quality_model, quality_rules, toxicity
+from assayer.llm import embeddings, licences, packing, pieces, quality_model, quality_rules, substrings, suffixes, toxicity
 
 QUERIES = {
     "op1_embedding_dedup": embeddings.op1_embedding_dedup,
@@ -10,7 +10,12 @@ QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_packing": packing.op4_packing,
     "op5_license_scan": licences.op5_license_scan,
+    "op6_substring_dedup": substrings.op6_substring_dedup,
+    "op7_suffix_dedup": suffixes.op7_suffix_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality_model": quality_model.op9_quality_model,
 }
-ORACLES: dict[str, str] = {"op1_embedding_dedup": embeddings.OP1_SQL}
+ORACLES: dict[str, str] = {
+    "op1_embedding_dedup": embeddings.OP1_SQL,
+    "op6_substring_dedup": substrings.OP6_SQL,
+}
