@@ -9,9 +9,11 @@ Executors then give the r-th piece of each length its place, from its rank alone
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,32 +21,81 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.llm import words as W
-from assayer.llm.segments import Segments
+from assayer.llm.segments import HashedSegments
 from assayer.llm.tables import materialize, read
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
-def token_pieces(batches: Iterator[pa.RecordBatch], blob: str, budget: int, end_id: int, key: str, text: str) -> Iterator[pa.RecordBatch]:
+@lru_cache(2)
+def word_encoder(blob: str) -> HashedSegments:
+    """Ids of white-space-separated runs of lower-cased text; kept for all tasks of a worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(blob)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    last = np.zeros(tokenizer.get_vocab_size(), bool)
+    for piece, i in tokenizer.get_vocab().items():
+        last[i] = piece.endswith("</w>")
 
     def ids_of(new: list[bytes]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
+        texts = [w.decode() for w in new]
+        # A run of letters is one word, whose last id alone ends a word: many are encoded in one call.
+        letters = [k for k, t in enumerate(texts) if t.isalpha()]
+        others = [k for k, t in enumerate(texts) if not t.isalpha()]
+        out: list = [None] * len(texts)
+        if letters:
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(texts[k] for k in letters)], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(last[ids]) + 1
+            ids = ids.tolist()
+            if len(ends) != len(letters):
+                raise ValueError("the tokenizer's words do not end as expected")
+            for k, a, b in zip(letters, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                out[k] = ids[a:b]
+        for k, e in zip(others, tokenizer.encode_batch_fast([texts[k] for k in others], add_special_tokens=False), strict=True):
+            out[k] = e.ids
+        return out
+
+    return HashedSegments(ids_of, limit=500_000)
+
+
+def lowered(text: bytes) -> bytes:
+    """Composed and lower-cased as the tokenizer's normaliser does it, letter by letter."""
+    if text.isascii():
+        return text.lower()
+    own = text.decode()
+    if not unicodedata.is_normalized("NFC", own):
+        own = unicodedata.normalize("NFC", own)
+    return own.replace("\u03a3", "\u03c3").lower().encode()
+
+
+def stops_apart(data: np.ndarray) -> np.ndarray:
+    """A lone stop or comma between a letter and white space is a token of its own: set apart, more words are alike."""
+    if len(data) < 3:
+        return data
+    stop = np.zeros(len(data), bool)
+    inner = data[1:-1]
+    stop[1:-1] = ((inner == 46) | (inner == 44)) & (data[:-2] >= 97) & (data[:-2] <= 122) & ((data[2:] == 32) | (data[2:] == 10))
+    out = np.full(len(data) + int(stop.sum()), 32, np.uint8)
+    out[np.arange(len(data)) + np.cumsum(stop)] = data
+    return out
 
+
+def token_pieces(batches: Iterator[pa.RecordBatch], blob: str, budget: int, end_id: int, key: str, text: str) -> Iterator[pa.RecordBatch]:
     # White space always ends a token and is dropped, so each run between it can be encoded on its own.
-    cache = Segments(ids_of)
+    cache = word_encoder(blob)
     for batch in W.slices(batches, text):
         cache.trim()
         data, at = W.raw(W.plain(batch.column(text)))
-        blob_bytes = data.tobytes()
-        codes = [cache.codes(blob_bytes[a:b].split()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        rows, sizes = cache.values(np.concatenate(codes))
+        whole = data.tobytes()
+        texts = [stops_apart(np.frombuffer(lowered(whole[a:b]), np.uint8)).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        w = W.words(pa.array(texts, pa.binary()).view(pa.string()))
+        joined, start, end = w.data.tobytes(), w.start, w.end
+        codes = cache.codes_of(w.hashes(), lambda i: joined[start[i] : end[i]])
+        rows, sizes = cache.values(codes)
         ids = rows[:, 0].astype("<u4")
-        token_at = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum([len(c) for c in codes])])]
+        token_at = np.concatenate([[0], np.cumsum(sizes)])[w.first]
         out = []
         for k in range(batch.num_rows):
             own = np.append(ids[token_at[k] : token_at[k + 1]], np.uint32(end_id)).astype("<u4")
