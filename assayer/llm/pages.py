@@ -56,7 +56,9 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 def cut(group: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[list[bytes]]]:
     """``group`` is sorted: its distinct values, and the bytes of each column's rows in each."""
-    at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+    if not len(group):
+        return group, [[] for _ in columns]
+    at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     ends = np.append(at[1:], len(group))
     return group[at], [[c[a:b].tobytes() for a, b in zip(at.tolist(), ends.tolist(), strict=True)] for c in columns]
 
