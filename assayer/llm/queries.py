@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assayer.llm import embeddings, licences, packing, pieces, quality_model, quality_rules, substrings, suffixes, toxicity
+from assayer.llm import embeddings, jaccard, licences, packing, pieces, quality_model, quality_rules, substrings, suffixes, toxicity
 
 QUERIES = {
     "op1_embedding_dedup": embeddings.op1_embedding_dedup,
@@ -14,8 +14,10 @@ QUERIES = {
     "op7_suffix_dedup": suffixes.op7_suffix_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality_model": quality_model.op9_quality_model,
+    "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
 ORACLES: dict[str, str] = {
     "op1_embedding_dedup": embeddings.OP1_SQL,
     "op6_substring_dedup": substrings.OP6_SQL,
+    "op10_jaccard_join": jaccard.OP10_SQL,
 }

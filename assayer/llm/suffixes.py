@@ -145,9 +145,11 @@ class _Page:
         return np.repeat(self.low[chosen] - (total - many), many) + np.arange(total[-1] if len(total) else 0)
 
 
-def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 200, gram: int = 64, most_contexts: int = 2000, carry: list[str] | None = None) -> DataFrame:
+def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 200, gram: int = 64, most_contexts: int = 2000, carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """Key, n_bytes, n_removed, n_spans, kept (binary: the bytes that stay) and the columns to carry.
 
+    ``as_text`` makes ``kept`` a string; parts of a character that was cut go with the cut.
+
     A byte goes if it lies in a string of ``size`` bytes that also starts anywhere else, in the same
     text or another; all copies go. Null text counts as empty. Rows count each for itself, also when
     they repeat a key or have none. Whole contexts and the strings of anchors with more than
@@ -266,7 +268,8 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size
         rows, (a, b) = P.cut(owner[some], np.packbits(bits[some], 1), values[some])
         return answer([bucket[r] for r in rows], [page[r] for r in rows], [2] * len(rows), a, b, [b""] * len(rows))
 
-    fields = [(key, None), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]
+    kind = pa.string() if as_text else pa.binary()
+    fields = [(key, None), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", kind)]
 
     def cut_out(table: pa.Table, found: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -295,7 +298,9 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size
         stays = page.data[~removed].tobytes()
         ends = np.concatenate([[0], np.cumsum(np.diff(page.at) - gone)]).tolist()
         kept = [stays[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        out = {key: table.column(key), "n_bytes": pa.array(np.diff(page.at).astype(np.int64)), "n_removed": pa.array(gone), "n_spans": pa.array(spans), "kept": pa.array(kept, pa.binary())}
+        if as_text:
+            kept = [x.decode(errors="ignore") for x in kept]
+        out = {key: table.column(key), "n_bytes": pa.array(np.diff(page.at).astype(np.int64)), "n_removed": pa.array(gone), "n_spans": pa.array(spans), "kept": pa.array(kept, kind)}
         return pa.table(out | {c: table.column(c) for c in carry})
 
     rest = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
@@ -304,7 +309,7 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size
     sent = by_page.cogroup(judged.groupBy("_page")).applyInArrow(send, own)
     compared = sent.groupBy("_bucket", "_kind").applyInArrow(compare, own)
     return by_page.cogroup(judged.unionByName(compared).groupBy("_page")).applyInArrow(
-        cut_out, f"`{key}` {df.schema[key].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary{rest}"
+        cut_out, f"`{key}` {df.schema[key].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}{rest}"
     )
 
 
