@@ -85,7 +85,7 @@ def prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, key: str, te
         sent[one] = True
         sent &= (n > 0) & batch.column(key).is_valid().to_numpy(zero_copy_only=False)
         keep = sent[rows]
-        rows, values = rows[keep], values[keep]
+        rows, values, n = rows[keep], values[keep], np.where(sent, n, 0)
         estimate = counts[(values >> _U(64 - SKETCH_BITS)).astype(np.int64)]
         order = np.lexsort((values, np.floor(np.log2(estimate + 1.0)), rows))
         values, excess = values[order], np.maximum(0, estimate[order] - noise)
