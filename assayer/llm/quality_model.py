@@ -58,7 +58,7 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     good = (patterns == 2).sum(1)
     bad = (patterns == 1).sum(1)
     posterior = np.where(bad > good, 0.02, np.where(good > bad, 0.98, 0.5))
-    chances, prior = np.zeros((patterns.shape[1] if n else 0, 2, 3)), 0.5
+    chances, prior = np.zeros((patterns.shape[1], 2, 3)), 0.5
     for _ in range(rounds):
         weight = np.stack([(1 - posterior) * counts, posterior * counts])
         for vote in range(3):
@@ -171,7 +171,7 @@ def weak_quality(df: DataFrame, key: str = "doc_id", text: str = "text", max_tra
     df = df.drop("quality_score")
     stats = materialize(votes(features(text_statistics(df, key, text))).select(key, "pattern"))
     counted = stats.groupBy("pattern").agg(F.count("*").alias("n")).collect()  # 3 ** labellers rows at most
-    patterns = np.array([[int(c) for c in r["pattern"]] for r in counted], np.int64).reshape(-1, len(LABELLERS))
+    patterns = np.array([[int(c) for c in r["pattern"]] for r in counted], np.int64).reshape(len(counted), len(LABELLERS))
     posterior, _, _ = expectation_maximisation(patterns, np.array([r["n"] for r in counted], float))
     spark = df.sparkSession
     known = spark.createDataFrame([(r["pattern"], float(p)) for r, p in zip(counted, posterior, strict=True)], "pattern string, good double")
