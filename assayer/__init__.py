@@ -1 +1 @@
-"""Spark-native analytics for LLM-as-a-judge evaluation data."""
+"""Analytics of judged language-model evaluations, as Spark DataFrames."""
