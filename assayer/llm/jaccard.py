@@ -5,9 +5,10 @@ A document that shares l of its first n - ceil(t n) + l shingles with no other c
 at similarity t; l grows, document by document, while the longer prefix is estimated to save more
 verification than its longer lists cost. Documents with one set of shingles form one class.
 
-Links are found in two steps that together miss none. First each list's smallest document is
-verified against the others of the list, which connects most of a group of copies. Then
-only documents of different components that share enough prefix shingles are verified.
+Links are found in steps that together miss none. First each document is verified against the
+smallest document that it shares most lists with, which connects most of a group of copies. Then only
+documents of different components are verified, if they share enough prefix shingles and if what
+stands behind the last shared one could still make them similar.
 """
 
 from __future__ import annotations
@@ -75,7 +76,7 @@ def _add_up(table: pa.Table) -> pa.Table:
 
 
 def prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, key: str, text: str, size: int, percent: int, most_matches: int, cost: float) -> Iterator[pa.RecordBatch]:
-    """Each document's prefix: (shingle, id, set size, matches required). Equal sets of a slice are sent once."""
+    """Each document's prefix: (shingle, id, set size, matches required, the shingle's place). Equal sets of a slice are sent once."""
     noise = counts.mean()
     for batch in W.slices(batches, text):
         rows, values = shingle_sets(batch.column(text), size)
@@ -101,8 +102,8 @@ def prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, key: str, te
         mine = place < (least + matches)[rows]
         r = rows[mine]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(values[mine].view(np.int64)), batch.column(key).take(pa.array(r)), pa.array(n[r]), pa.array(matches[r].astype(np.int32))],
-            ["token", "id", "n", "matches"],
+            [pa.array(values[mine].view(np.int64)), batch.column(key).take(pa.array(r)), pa.array(n[r]), pa.array(matches[r].astype(np.int32)), pa.array(place[mine].astype(np.int32))],
+            ["token", "id", "n", "matches", "place"],
         )
 
 
@@ -159,13 +160,14 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size:
     member = materialize(rows.join(classes, ["n", "h1", "h2"], "left").select("id", "n", "rep", "copies"))
     of_id = member.where("copies > 1 and id <> rep").select("id", "rep")
 
-    sent = docs.mapInArrow(lambda it: prefixes(it, shared.value, "id", "text", size, percent, most_matches, cost), "token long, id long, n long, matches int")
+    sent = docs.mapInArrow(lambda it: prefixes(it, shared.value, "id", "text", size, percent, most_matches, cost), "token long, id long, n long, matches int, place int")
     own_list = Window.partitionBy("token")
-    listed = sent.withColumn("first", F.min("id").over(own_list)).withColumn("last", F.max("id").over(own_list)).where("first < last")
+    listed = sent.withColumn("first", F.min(F.struct("id", "n")).over(own_list)).withColumn("last", F.max("id").over(own_list)).where("first.id < last")
+    listed = listed.select("token", "id", "n", "matches", "place", F.col("first.id").alias("first"), F.col("first.n").alias("first_n"))
     lists = materialize(
-        listed.join(of_id, "id", "left").withColumn("rep", F.coalesce("rep", "id")).select("token", "rep", "n", "matches", "first")
+        listed.join(of_id, "id", "left").withColumn("rep", F.coalesce("rep", "id")).select("token", "rep", "n", "matches", "place", "first", "first_n")
         .join(of_id.select(F.col("id").alias("first"), F.col("rep").alias("first_rep")), "first", "left")
-        .select("token", "rep", "n", "matches", F.coalesce("first_rep", "first").alias("first"))
+        .select("token", "rep", "n", "matches", "place", F.coalesce("first_rep", "first").alias("first"), "first_n")  # equal sets have equal sizes
     )
     texts = materialize(_maybe(docs, lists.select(F.col("rep").alias("id")), "id"))
 
@@ -173,24 +175,37 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size:
         left, right = (texts.select(F.col("id").alias(k), F.col("text").alias(t)) for k, t in (("u", "left_text"), ("v", "right_text")))
         return materialize(pairs.join(right, "v").join(left, "u").mapInArrow(lambda it: verify_batches(it, size, percent), "u long, v long"))
 
-    size_of = member.where("id = rep").select(F.col("id").alias("first"), F.col("n").alias("first_n"))
-    stars = lists.where("rep <> first").groupBy("first", "rep").agg(F.first("n").alias("n")).join(size_of, "first")
-    stars = materialize(stars.where(_alike(F.col("n"), F.col("first_n"), percent)).select(F.greatest("first", "rep").alias("u"), F.least("first", "rep").alias("v")).distinct())
-    links = verified(stars)
+    # Each document against the one that is smallest in most of its lists; those without a link then once for each component.
+    candidates = lists.where((F.col("rep") != F.col("first")) & _alike(F.col("n"), F.col("first_n"), percent)).select("rep", "first")
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.greatest("first", "rep").alias("u"), F.least("first", "rep").alias("v")).distinct()
+
+    tried = materialize(ordered(candidates.groupBy("rep", "first").agg(F.count("*").alias("c")).groupBy("rep").agg(F.max_by("first", F.struct("c", -F.col("first"))).alias("first"))))
+    links = verified(tried)
+    named = materialize(components(links))
+    alone = candidates.join(named.select(F.col("id").alias("rep")), "rep", "left_anti").groupBy("rep", "first").agg(F.count("*").alias("c"))
+    of_first = named.select(F.col("id").alias("first"), F.col("component_id").alias("of"))
+    again = alone.join(of_first, "first", "left").groupBy("rep", F.coalesce("of", "first")).agg(F.max_by("first", F.struct("c", -F.col("first"))).alias("first"))
+    again = materialize(ordered(again).join(tried, ["u", "v"], "left_anti"))
+    tried, links = tried.unionByName(again), links.unionByName(verified(again))
     named = materialize(components(links))
     # What is left to compare: documents of different components on one list.
     placed = lists.join(named.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component_id", "rep"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("token")
-    rest = materialize(placed.join(mixed, "token").select("token", "rep", "n", "matches", "component").distinct())
-    left, right = (rest.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("rep", "n", "matches", "component"))) for k in (1, 2))
+    rest = materialize(placed.join(mixed, "token").select("token", "rep", "n", "matches", "place", "component").distinct())
+    left, right = (rest.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("rep", "n", "matches", "place", "component"))) for k in (1, 2))
     met = (
         left.join(right, "token")
         .where((F.col("component1") < F.col("component2")) & _alike(F.col("n1"), F.col("n2"), percent))
-        .groupBy(F.greatest("rep1", "rep2").alias("u"), F.least("rep1", "rep2").alias("v"))
-        .agg(F.count("*").alias("shared"), F.first(F.least("matches1", "matches2")).alias("need"))
-        .where("shared >= need").select("u", "v")
+        .groupBy("rep1", "rep2")
+        .agg(F.count("*").alias("shared"), F.first(F.least("matches1", "matches2")).alias("need"), F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.max("place1").alias("p1"), F.max("place2").alias("p2"))
+        # All that both hold up to the last shared shingle is shared: what follows bounds the rest.
+        .withColumn("most", F.col("shared") + F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2")) - 1)
+        .where((F.col("shared") >= F.col("need")) & (100 * F.col("most") >= percent * (F.col("n1") + F.col("n2") - F.col("most"))))
+        .select(F.greatest("rep1", "rep2").alias("u"), F.least("rep1", "rep2").alias("v"))
     )
-    more = verified(materialize(met.join(stars, ["u", "v"], "left_anti")))
+    more = verified(materialize(met.join(tried, ["u", "v"], "left_anti")))
     final = components(links.unionByName(more)).withColumnRenamed("id", "rep")
     return member.join(final, "rep", "left").select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep", "id").alias("component_id")
