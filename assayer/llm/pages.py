@@ -26,11 +26,11 @@ def dealt(df: DataFrame, key: str, text: str, carry: list[str], pages: int) -> D
     return df.select(page, F.col(key), F.col(text), *(F.col(c) for c in carry if c not in (key, text)))
 
 
-def sizes(df: DataFrame, text: str) -> tuple[int, int, int]:
+def sizes(df: DataFrame, text: str, page_bytes: int = PAGE_BYTES) -> tuple[int, int, int]:
     """(bytes of all texts, pages, buckets)."""
     total = int(df.agg(F.sum(F.octet_length(text))).first()[0] or 0)
     least = shuffle_partitions(df.sparkSession)
-    return total, max(least, total // PAGE_BYTES + 1), max(2 * least, total // (16 << 20) + 1)
+    return total, max(least, total // page_bytes + 1), max(2 * least, total // (16 << 20) + 1)
 
 
 def width_for(items: float, buckets: int) -> int:

@@ -22,6 +22,8 @@ from assayer.llm.tables import read
 
 _U = np.uint64
 FULL, SEND, SPREAD = 1, 2, 4
+#: Some hundred bytes of working memory go to each byte of a page.
+PAGE_BYTES = 3 << 20
 
 
 def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +107,7 @@ class _Page:
         self.data, self.at = W.raw(W.plain(table.column(text)))
         self.size = size
         n, data = len(self.data), self.data
-        self.row = np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
+        self.row = np.repeat(np.arange(len(self.at) - 1, dtype=np.int32), np.diff(self.at))
         self.low = self.high = self.anchor = np.zeros(0, np.int64)
         self.hash = self.context = np.zeros(0, _U)
         if n < size:
@@ -119,10 +121,13 @@ class _Page:
         ranked[self.row[:m] != self.row[gram - 1 :]] = _U(0xFFFFFFFFFFFFFFFF)
         wide = size - gram + 1
         blocks = np.concatenate([ranked, np.full(-m % wide, 0xFFFFFFFFFFFFFFFF, _U)]).reshape(-1, wide)
+        del ranked
         ahead = np.minimum.accumulate(blocks, 1).ravel()[:m]
         behind = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].ravel()[:m]
+        del blocks
         q = m - wide + 1
         chosen = np.minimum(behind[:q], ahead[wide - 1 :]) & _U(0xFFFFFFFF)
+        del ahead, behind
         inside = np.flatnonzero(self.row[:q] == self.row[size - 1 : size - 1 + q])  # strings within one text
         if not len(inside):
             return
@@ -156,7 +161,7 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size
     ``most_contexts`` contexts are compared by 64-bit hashes within hashed buckets, others by bytes.
     """
     carry = [c for c in carry or [] if c not in (key, text)]
-    _, pages, buckets = P.sizes(df, text)
+    _, pages, buckets = P.sizes(df, text, PAGE_BYTES)
     docs = P.dealt(df, key, text, carry, pages)
     own = "_bucket int, _page int, _kind int, _a binary, _b binary, _c binary"
 
