@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,22 +27,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-@lru_cache(8)
+#: Of one seed at a time: a worker that serves several stages must not keep them all.
+_KEPT: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+
 def _powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    base = ((0x9E3779B97F4A7C15 * (2 * seed + 1)) | 1) & 0xFFFFFFFFFFFFFFFF
-    inverse = pow(base, -1, 1 << 64)
-    table = mix(np.arange(1, 257, dtype=_U) * _U(0xD6E8FEB86659FD93) + _U(seed))
+    """A random number for each byte, and at least ``n`` powers of a seed's base and of its inverse."""
+    if seed not in _KEPT or len(_KEPT[seed][1]) < n:
+        base = ((0x9E3779B97F4A7C15 * (2 * seed + 1)) | 1) & 0xFFFFFFFFFFFFFFFF
+        table = mix(np.arange(1, 257, dtype=_U) * _U(0xD6E8FEB86659FD93) + _U(seed))
 
-    def up(b: int) -> np.ndarray:
-        out = np.full(n, b, _U)
-        out[0] = 1
-        return np.cumprod(out, dtype=_U)
+        def up(b: int) -> np.ndarray:
+            out = np.full(n, b, _U)
+            out[0] = 1
+            return np.cumprod(out, dtype=_U)
 
-    return table, up(base), up(inverse)
+        _KEPT.clear()
+        _KEPT[seed] = table, up(base), up(pow(base, -1, 1 << 64))
+    return _KEPT[seed]
 
 
 def _room(n: int) -> int:
-    return 1 << max(12, int(n).bit_length())
+    return -(-(n + 1) // (1 << 20)) << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
