@@ -164,10 +164,13 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size:
     own_list = Window.partitionBy("token")
     listed = sent.withColumn("first", F.min(F.struct("id", "n")).over(own_list)).withColumn("last", F.max("id").over(own_list)).where("first.id < last")
     listed = listed.select("token", "id", "n", "matches", "place", F.col("first.id").alias("first"), F.col("first.n").alias("first_n"))
+    # How many of a document's shingles before this one are on no list: no document that shares this one has them.
+    before = F.row_number().over(Window.partitionBy("id").orderBy("place")) - 1
+    listed = listed.withColumn("lone", F.greatest(F.col("place") - before, F.lit(0)))
     lists = materialize(
-        listed.join(of_id, "id", "left").withColumn("rep", F.coalesce("rep", "id")).select("token", "rep", "n", "matches", "place", "first", "first_n")
+        listed.join(of_id, "id", "left").withColumn("rep", F.coalesce("rep", "id")).select("token", "rep", "n", "matches", "place", "lone", "first", "first_n")
         .join(of_id.select(F.col("id").alias("first"), F.col("rep").alias("first_rep")), "first", "left")
-        .select("token", "rep", "n", "matches", "place", F.coalesce("first_rep", "first").alias("first"), "first_n")  # equal sets have equal sizes
+        .select("token", "rep", "n", "matches", "place", "lone", F.coalesce("first_rep", "first").alias("first"), "first_n")  # equal sets have equal sizes
     )
     texts = materialize(_maybe(docs, lists.select(F.col("rep").alias("id")), "id"))
 
@@ -193,11 +196,12 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size:
     # What is left to compare: documents of different components on one list.
     placed = lists.join(named.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component_id", "rep"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("token")
-    rest = materialize(placed.join(mixed, "token").select("token", "rep", "n", "matches", "place", "component").distinct())
-    left, right = (rest.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("rep", "n", "matches", "place", "component"))) for k in (1, 2))
+    rest = materialize(placed.join(mixed, "token").select("token", "rep", "n", "matches", "place", "lone", "component").distinct())
+    left, right = (rest.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("rep", "n", "matches", "place", "lone", "component"))) for k in (1, 2))
+    reach = F.least(F.col("n1") - F.col("lone1"), F.col("n2") - F.col("lone2"))
     met = (
         left.join(right, "token")
-        .where((F.col("component1") < F.col("component2")) & _alike(F.col("n1"), F.col("n2"), percent))
+        .where((F.col("component1") < F.col("component2")) & (100 * reach >= percent * (F.col("n1") + F.col("n2") - reach)))
         .groupBy("rep1", "rep2")
         .agg(F.count("*").alias("shared"), F.first(F.least("matches1", "matches2")).alias("need"), F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.max("place1").alias("p1"), F.max("place2").alias("p2"))
         # All that both hold up to the last shared shingle is shared: what follows bounds the rest.
