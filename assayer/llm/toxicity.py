@@ -2,6 +2,7 @@
 
 Each word enters as its vector, if several training texts hold it, and the mean of hashed character
 n-gram vectors; rare words have their n-grams alone, so no single text can be learnt by heart.
+A word of more bytes than a step takes enters as several steps that overlap.
 Overlapping windows cover the whole text; a text's score is that of its most toxic window.
 """
 
@@ -22,32 +23,45 @@ SPAN, STEP = 32, 24
 GRAM_BITS = 15
 WORD_DIM, GRAM_DIM, HIDDEN = 8, 8, 8
 GRAMS = (3, 5)
+#: Bytes of a word in one step, and from one step of a longer word to the next; all n-grams lie in a step.
+PIECE, PIECE_STEP = 24, 16
 _TRIM = np.zeros(256, bool)
 _TRIM[list(b".,;:!?\"'()[]")] = True
 
 
 @dataclass
 class Vocabulary:
-    """Distinct words of a slice: their hashes, and n-gram rows one after the other."""
+    """Distinct steps of a slice: their hashes, and n-gram rows one after the other."""
 
     word: np.ndarray
     gram: np.ndarray
     gram_at: np.ndarray
-    code: np.ndarray  # of each word of the text
+    code: np.ndarray  # of each step of the text
 
 
-def vocabulary(w: W.Words) -> Vocabulary:
-    """Words without marks around them; n-grams of the word between two boundary signs."""
+def cut(w: W.Words) -> W.Words:
+    """Words without marks around them, those of more than ``PIECE`` bytes as overlapping pieces."""
     start, end = w.start.copy(), w.end.copy()
     for _ in range(3):
-        cut = (end - start > 1) & _TRIM[w.data[end - 1]]
-        end -= cut
-        cut = (end - start > 1) & _TRIM[w.data[start]]
-        start += cut
-    trimmed = W.Words(w.data, w.text_at, start, end, w.doc, w.first)
-    hashes = trimmed.hashes(3)
+        mark = (end - start > 1) & _TRIM[w.data[end - 1]]
+        end -= mark
+        mark = (end - start > 1) & _TRIM[w.data[start]]
+        start += mark
+    many = np.maximum(0, -(-(end - start - PIECE) // PIECE_STEP)) + 1
+    at = np.concatenate([[0], np.cumsum(many)])
+    begin = np.repeat(start, many) + PIECE_STEP * (np.arange(at[-1]) - np.repeat(at[:-1], many))
+    return W.Words(w.data, w.text_at, begin, np.minimum(begin + PIECE, np.repeat(end, many)), np.repeat(w.doc, many), at[w.first])
+
+
+def vocabulary(w: W.Words) -> Vocabulary:
+    """Of words that are cut: n-grams between two boundary signs, which stand at the ends of whole words only."""
+    inside = np.concatenate([[False], w.start[1:] < w.end[:-1], [False]])  # only pieces of one word overlap
+    head, tail = inside[:-1], inside[1:]
+    hashes = w.hashes(3)
+    kind = (head + 2 * tail).astype(np.uint64)
+    hashes = np.where(kind > 0, W.mix(hashes + kind), hashes)
     _, one, code = np.unique(hashes, return_index=True, return_inverse=True)
-    start, size = start[one], np.minimum(end[one] - start[one], 24)
+    start, size = w.start[one], w.end[one] - w.start[one]
     at = np.concatenate([[0], np.cumsum(size + 2)])
     letters = np.full(at[-1], 1, np.uint64)
     inner = np.repeat(start - at[:-1] - 1, size + 2) + np.arange(at[-1])
@@ -55,6 +69,8 @@ def vocabulary(w: W.Words) -> Vocabulary:
     body[at[:-1]] = body[at[1:] - 1] = False
     letters[body] = w.data[inner[body]]
     owner = np.repeat(np.arange(len(size)), size + 2)
+    for ends, cuts in ((at[:-1], head[one]), (at[1:] - 1, tail[one])):
+        owner[ends[cuts]] = -1 - ends[cuts]  # in no n-gram
     grams, owners = [], []
     for n in GRAMS:
         if len(letters) >= n:
@@ -215,7 +231,7 @@ def train(texts: list[str], toxic: np.ndarray, visits: int = 10_000, batch: int
     """
     if not len(texts) or toxic.all() or not toxic.any():
         return Network()
-    w = W.words(pa.array(texts, pa.string()), lower=True)
+    w = cut(W.words(pa.array(texts, pa.string()), lower=True))
     v = vocabulary(w)
     known, odds, grams = common(v, w.doc, toxic, least)
     net = Network(known=known, grams=grams)
@@ -276,7 +292,7 @@ def train(texts: list[str], toxic: np.ndarray, visits: int = 10_000, batch: int
 
 def score_batches(batches: Iterator[pa.RecordBatch], net: Network, rest: list[str], text: str, block: int = 8192) -> Iterator[pa.RecordBatch]:
     for batch in W.slices(batches, text, 6 << 20):
-        w = W.words(W.plain(batch.column(text)), lower=True)
+        w = cut(W.words(W.plain(batch.column(text)), lower=True))
         best = np.full(batch.num_rows, -np.inf)
         if len(w.start):
             v = net.rows(vocabulary(w))

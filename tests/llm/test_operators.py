@@ -262,6 +262,40 @@ def test_toxicity(spark, sf_dir, awkward, empty):
     assert toxicity.toxicity(empty, labels).count() == 0
 
 
+def test_toxicity_reads_long_words_to_their_end():
+    """Every byte of a long word is in an n-gram of some step, and toxic words inside it are found."""
+    import pyarrow as pa
+
+    from assayer.llm import words as W
+
+    alphabet = "bcdfghjklmnpqrstvwxz"
+    long = "".join(alphabet[k * k % 19] + alphabet[k % 20] for k in range(200))
+    for at in (0, 23, 24, 25, 100, 399):
+        other = long[:at] + "y" + long[at + 1 :]
+        a, b = (toxicity.vocabulary(toxicity.cut(W.words(pa.array([t])))) for t in (long, other))
+        assert set(a.word) != set(b.word) and set(a.gram) != set(b.gram), at
+    w = toxicity.cut(W.words(pa.array(["short", "", "x" * 25, "y" * 24])))
+    assert w.counts.tolist() == [1, 0, 2, 1] and w.doc.tolist() == [0, 2, 2, 3]
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    plain = ["".join(rng.choice(list(alphabet), 6)) for _ in range(300)]
+    bad = ["scumbag", "vermin", "filthy"]
+    texts, labels = [], []
+    for k in range(400):
+        own = list(rng.choice(plain, 30))
+        if k % 2:
+            own[int(rng.integers(30))] = bad[k % 3]
+        texts.append(("_" if k % 4 < 2 else " ").join(own))
+        labels.append(bool(k % 2))
+    net = toxicity.train(texts[:300], np.array(labels[:300]))
+    batch = pa.RecordBatch.from_pydict({"text": texts[300:], "id": list(range(300, 400))})
+    score = next(toxicity.score_batches(iter([batch]), net, ["id"], "text")).column("toxicity_score").to_numpy()
+    glued, toxic = np.arange(300, 400) % 4 < 2, np.array(labels[300:])
+    assert np.mean([(score[glued & ~toxic] < s).mean() for s in score[glued & toxic]]) > 0.75
+
+
 def test_held_out_is_learnt(spark):
     """On the middle-sized tables the held-out rows are told apart."""
     from pathlib import Path
