@@ -81,10 +81,10 @@ def prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, key: str, te
     for batch in W.slices(batches, text):
         rows, values = shingle_sets(batch.column(text), size)
         n = np.bincount(rows, minlength=batch.num_rows).astype(np.int64)
-        _, one = np.unique(np.stack([n.astype(_U), _sums(rows, W.mix(values ^ _U(5)), len(n))]), axis=1, return_index=True)
+        able = np.flatnonzero((n > 0) & batch.column(key).is_valid().to_numpy(zero_copy_only=False))
+        _, one = np.unique(np.stack([n.astype(_U), _sums(rows, W.mix(values ^ _U(5)), len(n))])[:, able], axis=1, return_index=True)
         sent = np.zeros(len(n), bool)
-        sent[one] = True
-        sent &= (n > 0) & batch.column(key).is_valid().to_numpy(zero_copy_only=False)
+        sent[able[one]] = True
         keep = sent[rows]
         rows, values, n = rows[keep], values[keep], np.where(sent, n, 0)
         estimate = counts[(values >> _U(64 - SKETCH_BITS)).astype(np.int64)]

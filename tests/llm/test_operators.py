@@ -250,6 +250,16 @@ def test_jaccard_chains_and_edges(spark):
     assert jaccard.similar_groups(df.where("false")).count() == 0
 
 
+def test_jaccard_copies_behind_one_without_a_key(spark):
+    """A row without an id does not stand for the equal rows behind it."""
+    near = PASSAGE + " end"
+    rows = [(None, PASSAGE), (7, PASSAGE), (9, PASSAGE), (5, near), (None, near), (8, "other words"), (None, "other words"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_groups(df).where("doc_id is not null").collect()}
+    assert got == {7: 5, 9: 5, 5: 5, 8: 8}
+    assert jaccard.similar_groups(df.where("doc_id is null")).count() == 4
+
+
 def test_toxicity(spark, sf_dir, awkward, empty):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").selectExpr("*", "1 as extra")
     out = toxicity.op8_toxicity(spark, sf_dir).join(labels, "doc_id").toPandas()
