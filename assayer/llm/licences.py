@@ -1,8 +1,9 @@
 """License scans with DataFrame functions only: a positional index of rare licence words.
 
-Corpus-wide document frequencies rank each template's words. A file's rarest licence words are looked
-up, each of their places proposes an alignment with a template, the template's other indexed words
-must stand at the same relative positions, and its mandatory key phrases are then verified.
+Corpus-wide document frequencies rank the words of each template's mandatory key phrases. The rarest are
+looked up in a file, each of their places proposes an alignment with a template, the template's other
+indexed words must stand at the same relative positions, and its key phrases are then verified. As
+indexed words are parts of key phrases, every place of a phrase is proposed, whatever other rows hold.
 """
 
 from __future__ import annotations
@@ -82,12 +83,12 @@ def _places(words: Column, phrase: tuple[str, ...]) -> Column:
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates: tuple[Template, ...] = TEMPLATES, rarest: int = 3, agree: int = 2) -> DataFrame:
     """Key, n_words, n_base, first_word, last_word, base_labels, labels, score for every row.
 
-    ``rarest``: how many of a template's words are indexed, by document frequency over the whole
-    table; ``agree``: how many of them (all, if it has fewer) must stand at one alignment. Null text
+    ``rarest``: how many words of a template's key phrases are indexed, by document frequency over
+    the whole table; ``agree``: how many of them (all, if it has fewer) must stand at one alignment. Null text
     counts as empty: no words, empty label lists, score 0. Repeated rows are scanned each for itself.
     """
     ranked = rank_words(df, templates, text)
-    index = {t.label: sorted({w for w in t.words}, key=ranked.index)[:rarest] for t in templates}
+    index = {t.label: sorted({w for _, phrase in t.phrases for w in phrase}, key=ranked.index)[:rarest] for t in templates}
     vocabulary = sorted({w for ws in index.values() for w in ws} | {p[-1] for p in BASE.values()}, key=ranked.index)
     words, hits, none = F.col("_words"), F.col("_hits"), F.array().cast("array<int>")
     # The file's own licence words, rarest first, and all their places.

@@ -203,6 +203,24 @@ def test_licence_templates(awkward, empty):
     assert licences.scan(empty).count() == 0
 
 
+def test_licence_key_phrases_stand_for_themselves(spark):
+    """A mandatory phrase without the rest of its notice has its label, alone and among other rows."""
+    phrases = {t.label: t.phrases for t in licences.TEMPLATES}
+    rows = [(k, f"Some File; {' '.join(p for _, own in at for p in own).upper()}\nits code") for k, at in enumerate(phrases.values())]
+    rows += [(20, "Mozilla Public License, v. 2.0"), (21, "MIT License"), (22, "mozilla license public v 2 0"), (23, "released under the"), (24, None)]
+    full = [(30 + k, " ".join(t.words)) for k, t in enumerate(licences.TEMPLATES)]
+
+    def of(some):
+        out = licences.scan(spark.createDataFrame(some, "doc_id long, text string")).select("doc_id", "labels").collect()
+        return {i: set(filter(None, found.split(","))) for i, found in out}
+
+    alone, among = of(rows), of(rows + full * 3)
+    for k, label in enumerate(phrases):
+        assert label in alone[k] and label in among[30 + k], label
+    assert alone[20] == {"mpl-2.0"} and alone[21] == {"mit", "mit-notice"} and alone[22] == alone[23] == alone[24] == set()
+    assert {i: among[i] for i in alone} == alone
+
+
 def test_substrings(texts):
     from pyspark.sql import functions as F
 
