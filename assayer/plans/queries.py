@@ -148,6 +148,17 @@ def _(t):
     return t.raw("documents").select("doc_id", F.array_join(text.secrets(own), ",").alias("found"))
 
 
+@query(
+    "secret_scan_documents",
+    r"""SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(text, '\b(?:sk|rk|pk)-[A-Za-z0-9_-]{32,}\b') THEN 'provider_key' END,
+    CASE WHEN regexp_matches(text, '\b(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,})\b') THEN 'forge_token' END,
+    CASE WHEN regexp_matches(text, '\bAKIA[0-9A-Z]{16}\b') THEN 'cloud_key' END, CASE WHEN regexp_matches(text, '\bhf_[A-Za-z0-9]{30,}\b') THEN 'hub_token' END], lambda x: x IS NOT NULL), ',') AS found FROM documents""",
+)
+def _(t):
+    """Whole texts; ``secret_scan`` has made-up ones."""
+    return t.raw("documents").select("doc_id", F.array_join(text.secrets(F.col("text")), ",").alias("found"))
+
+
 TOKENS_SQL = r"list_filter(string_split_regex(lower({0}), '\s+'), lambda x: x <> '')"
 GRAMS_SQL = "SELECT id, n, array_to_string(w[i:i + n - 1], ' ') AS gram, count(*) AS times FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM {0}, range(1, 5) r(n)) GROUP BY ALL"
 ITEMS = f"SELECT a.item_id AS id, {TOKENS_SQL.format('a.text')} AS w, {TOKENS_SQL.format('b.text')} AS v FROM benchmark a JOIN benchmark b ON b.item_id = (a.item_id + 1) % 40"

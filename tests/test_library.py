@@ -185,3 +185,15 @@ def test_csv_and_digests(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id,text\n1,"two\nlines ""quoted"""\n')
     assert [tuple(r) for r in files.csv(spark, str(tmp_path / "a.csv")).collect()] == [("1", 'two\nlines "quoted"')]
     assert sinks.manifest_lines(files.digests(spark, str(tmp_path)))[0].endswith("a.csv")
+
+
+def test_secrets_in_whole_documents(spark, tmp_path):
+    """Each form is found wherever a text holds it, in rows of any id; forms that fall short are not."""
+    from assayer.plans.queries import QUERIES
+
+    long = "word " * 20_000
+    cases = [("x sk-" + "a1" * 16 + " y", "provider_key"), ("ghp_" + "Zz" * 10, "forge_token"), ("AKIA" + "Q7" * 8, "cloud_key"), ("hf_" + "b" * 29, ""), ("hf_" + "b" * 30, "hub_token"), ("plain", ""), ("", ""), (None, "")]
+    cases += [(long + f"AKIA{'Q7' * 8} github_pat_{'z' * 20}, hf_{'c' * 40}", "forge_token,cloud_key,hub_token")]
+    spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["found"] for r in QUERIES["secret_scan_documents"](spark, str(tmp_path)).collect()}
+    assert got == {k: found for k, (_, found) in enumerate(cases)}
