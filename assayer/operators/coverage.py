@@ -23,6 +23,27 @@ def model_pairs(models: DataFrame, *keys: str) -> DataFrame:
     return a.join(b, list(keys)).where("model_a < model_b")
 
 
+def answers(questions: DataFrame, found: DataFrame, *keys: str) -> DataFrame:
+    """Each question with each answer (state met), and questions that a model of a run (``keys``) lacks (missing)."""
+    asked = questions.select("question_id", "category").distinct()
+    own = ["question_id", "model_id", *reversed(keys)]
+    met = asked.join(found.drop("category"), "question_id").select(*own, "category", F.lit("met").alias("state"))
+    expected = found.select(*keys, "model_id").distinct().crossJoin(F.broadcast(asked))  # one list of questions
+    missing = expected.join(found, own, "left_anti").select(*own, "category", F.lit("missing").alias("state"))
+    return met.unionByName(missing)
+
+
+def paired_answers(questions: DataFrame, found: DataFrame, *keys: str) -> DataFrame:
+    """Each question with ``seq`` of both answers, for all pairs of a run's models; missing if either side is."""
+    asked = questions.select("question_id", "category").distinct()
+    out = model_pairs(found, *keys).crossJoin(F.broadcast(asked))  # one list of questions
+    for k in "ab":
+        side = found.select(*keys, "question_id", F.col("model_id").alias(f"model_{k}"), F.col("seq").alias(f"seq_{k}"))
+        out = out.join(side, [*keys, "question_id", f"model_{k}"], "left")
+    state = F.when(F.col("seq_a").isNull() | F.col("seq_b").isNull(), "missing").otherwise("met")
+    return out.select(*keys, "question_id", "category", "model_a", "model_b", "seq_a", "seq_b", state.alias("state"))
+
+
 def reference_ids(questions: DataFrame) -> DataFrame:
     """Questions of the reference categories, and whether they declare one and have one for turn 2."""
     return questions.where(F.col("category").isin(*REFERENCE_CATEGORIES)).select(

@@ -436,6 +436,19 @@ def _(t):
     return coverage.gaps(_grid(t).where("question_id <> 100"), found, "model_id", "question_id")
 
 
+@query(
+    "coverage_gaps_judges",
+    oracle(
+        "SELECT judge_id, model_id, question_id, CASE WHEN s.seen IS NULL THEN 'missing' WHEN g.wanted IS NULL THEN 'unexpected' ELSE 'met' END AS state FROM (SELECT *, 1 AS wanted FROM (SELECT DISTINCT judge_id FROM j_single) j CROSS JOIN grid) g FULL JOIN (SELECT DISTINCT judge_id, model_id, question_id, 1 AS seen FROM j_single) s USING (judge_id, model_id, question_id)",
+        "j_single", grid=GRID,
+    ),
+)
+def _(t):
+    """Every judge and all its records; the expected grid has ten questions that no judge saw."""
+    expected = t["j_single"].select("judge_id").distinct().join(F.broadcast(_grid(t)))  # a list of fixed size for each judge
+    return coverage.gaps(expected, t["j_single"], "judge_id", "model_id", "question_id")
+
+
 @query(
     "set_equality",
     oracle("SELECT lang, judge_id, count(DISTINCT model_id) = 6 AND count(DISTINCT question_id) = 80 AS same FROM j_single GROUP BY ALL", "j_single"),
@@ -468,6 +481,38 @@ def _(t):
     return sides[0].join(sides[1], ["lang", "judge_id", "question_id"])
 
 
+ASKED = "SELECT DISTINCT question_id, category FROM questions"
+
+
+@query(
+    "join_qa_all",
+    oracle(
+        """SELECT question_id, model_id, judge_id, lang, q.category, 'met' AS state FROM asked q JOIN latest l USING (question_id)
+        UNION ALL SELECT question_id, model_id, judge_id, lang, category, 'missing' FROM asked CROSS JOIN (SELECT DISTINCT lang, judge_id, model_id FROM latest) r
+        WHERE NOT EXISTS (SELECT 1 FROM latest l WHERE l.lang = r.lang AND l.judge_id = r.judge_id AND l.model_id = r.model_id AND l.question_id = asked.question_id)""",
+        "j_single", "questions", latest=SINGLE, asked=ASKED,
+    ),
+)
+def _(t):
+    """All questions with all answers, and those that a model of a run has not answered."""
+    return coverage.answers(t["questions"], t.single, "lang", "judge_id")
+
+
+@query(
+    "join_pair_all",
+    oracle(
+        """SELECT lang, judge_id, question_id, q.category, p.model_a, p.model_b, a.seq AS seq_a, b.seq AS seq_b, CASE WHEN a.seq IS NULL OR b.seq IS NULL THEN 'missing' ELSE 'met' END AS state
+        FROM (SELECT x.lang, x.judge_id, x.model_id AS model_a, y.model_id AS model_b FROM models x JOIN models y ON x.lang = y.lang AND x.judge_id = y.judge_id AND x.model_id < y.model_id) p CROSS JOIN asked q
+        LEFT JOIN (SELECT lang, judge_id, question_id, model_id AS model_a, seq FROM latest) a USING (lang, judge_id, question_id, model_a)
+        LEFT JOIN (SELECT lang, judge_id, question_id, model_id AS model_b, seq FROM latest) b USING (lang, judge_id, question_id, model_b)""",
+        "j_single", "questions", latest=SINGLE, asked=ASKED, models="SELECT DISTINCT lang, judge_id, model_id FROM latest",
+    ),
+)
+def _(t):
+    """All pairs of a run's models on all questions, with both answers or the side that is missing."""
+    return coverage.paired_answers(t["questions"], t.single, "lang", "judge_id")
+
+
 @query("dup_key_gate", oracle("SELECT id, count(*) AS copies FROM existing GROUP BY id HAVING count(*) > 1", "existing"))
 def _(t):
     return gates.duplicate_keys(t["existing"], "id")

@@ -197,3 +197,29 @@ def test_secrets_in_whole_documents(spark, tmp_path):
     spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r["found"] for r in QUERIES["secret_scan_documents"](spark, str(tmp_path)).collect()}
     assert got == {k: found for k, (_, found) in enumerate(cases)}
+
+
+def test_answers_and_pairs_with_gaps(spark, sf_dir):
+    """Every question, model and pair is there, with what is missing; nothing is left out by its id."""
+    q = spark.createDataFrame([(i, "math") for i in (81, 82, 83)], "question_id long, category string")
+    rows = [(1, "en", "j", "m0", 81), (2, "en", "j", "m1", 81), (3, "en", "j", "m2", 81), (4, "en", "j", "m0", 82), (5, "en", "j", "m2", 82), (6, "ko", "j", "m0", 83), (7, "en", "j", "m0", 99)]
+    found = spark.createDataFrame(rows, "seq long, lang string, judge_id string, model_id string, question_id long")
+    got = {(r["lang"], r["model_id"], r["question_id"]): r["state"] for r in coverage.answers(q, found, "lang", "judge_id").collect()}
+    have = {(r[1], r[3], r[4]) for r in rows}
+    runs = [("en", "m0"), ("en", "m1"), ("en", "m2"), ("ko", "m0")]
+    assert got == {(*r, i): "met" if (*r, i) in have else "missing" for r in runs for i in (81, 82, 83)}
+    pairs = {(r["model_a"], r["model_b"], r["question_id"]): (r["seq_a"], r["seq_b"], r["state"]) for r in coverage.paired_answers(q, found, "lang", "judge_id").collect()}
+    seq = {("m0", 81): 1, ("m1", 81): 2, ("m2", 81): 3, ("m0", 82): 4, ("m2", 82): 5}
+    want = {(a, b, i): (seq.get((a, i)), seq.get((b, i))) for a, b in (("m0", "m1"), ("m0", "m2"), ("m1", "m2")) for i in (81, 82, 83)}
+    assert pairs == {k: (*v, "met" if None not in v else "missing") for k, v in want.items()}
+    keys = ["judge_id", "model_id", "question_id"]
+    expected = spark.createDataFrame([("j", "m0", 1), ("k", "m0", 1)], "judge_id string, model_id string, question_id long")
+    observed = spark.createDataFrame([("j", "m0", 1), ("k", "m0", 2)], "judge_id string, model_id string, question_id long")
+    assert sorted(map(tuple, coverage.gaps(expected, observed, *keys).collect())) == [("j", "m0", 1, "met"), ("k", "m0", 1, "missing"), ("k", "m0", 2, "unexpected")]
+
+    from assayer.plans.queries import QUERIES
+
+    j = QUERIES["dedup_single"](spark, sf_dir).collect()
+    assert sum(r["state"] == "met" for r in QUERIES["join_qa_all"](spark, sf_dir).collect()) == len(j)
+    assert len({(r["model_a"], r["model_b"]) for r in QUERIES["join_pair_all"](spark, sf_dir).select("model_a", "model_b").distinct().collect()}) == 15
+    assert {r[0] for r in QUERIES["coverage_gaps_judges"](spark, sf_dir).select("judge_id").distinct().collect()} == {r["judge_id"] for r in j}
