@@ -56,7 +56,7 @@ STAGES = [
     ("best-fit packing", packed),
 ]
 
-#: No stage but the third can be put in SQL; tests compare each with a brute-force version.
+#: No stage but the third can be put in SQL; tests are of the operators behind the stages, none runs a stage or ``run``.
 ORACLE_SQL = None
 
 
