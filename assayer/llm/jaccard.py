@@ -8,7 +8,9 @@ verification than its longer lists cost. Documents with one set of shingles form
 Links are found in steps that together miss none. First each document is verified against the
 smallest document that it shares most lists with, which connects most of a group of copies. Then only
 documents of different components are verified, if they share enough prefix shingles and if what
-stands behind the last shared one could still make them similar.
+stands behind the last shared one could still make them similar. Long lists are never paired: their
+documents are compared with one of them, the pivot, and meet again by what they do not have in common
+with it (``differences``), which is rare by nature.
 """
 
 from __future__ import annotations
@@ -22,11 +24,17 @@ from pyspark.sql import functions as F
 
 from assayer.llm import words as W
 from assayer.llm.graph import components
-from assayer.llm.tables import materialize, read
+from assayer.llm.tables import Scratch, materialize, read
 
 _U = np.uint64
-SKETCH_BITS, SLICES = 20, 64
-FILTER_BITS = 22
+SLICES = 64
+#: Lists of more documents are compared by a pivot; so many times, what is left then is paired.
+LONG_LIST, MOST_PIVOTS = 32, 6
+
+
+def sketch_bits(text_bytes: int) -> int:
+    """Counters of the frequency estimate: one for each 64 bytes of text, within 64 thousand and 4 million."""
+    return min(22, max(16, (text_bytes // 64).bit_length()))
 
 
 def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,14 +63,14 @@ def _sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
-def signatures(batches: Iterator[pa.RecordBatch], key: str, text: str, size: int) -> Iterator[pa.RecordBatch]:
+def signatures(batches: Iterator[pa.RecordBatch], bits: int, key: str, text: str, size: int) -> Iterator[pa.RecordBatch]:
     """For each text its set's size and two hashes; at the end, this task's part of the frequency estimate."""
     names = ["id", "n", "h1", "h2", "part", "counts"]
-    counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+    counts = np.zeros(1 << bits, np.uint32)
     for batch in W.slices(batches, text):
         n = batch.num_rows
         rows, values = shingle_sets(batch.column(text), size)
-        np.add.at(counts, (values >> _U(64 - SKETCH_BITS)).astype(np.int64), 1)
+        np.add.at(counts, (values >> _U(64 - bits)).astype(np.int64), 1)
         signed = [pa.array(_sums(rows, W.mix(values ^ _U(k * 0x632BE59BD9B4E019)), n).view(np.int64)) for k in (1, 2)]
         yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.bincount(rows, minlength=n).astype(np.int64)), *signed, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
     parts = [c.tobytes() for c in np.minimum(counts, 65535).astype(np.uint16).reshape(SLICES, -1)]
@@ -71,13 +79,32 @@ def signatures(batches: Iterator[pa.RecordBatch], key: str, text: str, size: int
 
 
 def _add_up(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, np.uint16).astype(np.uint32) for x in table.column("counts").to_pylist())
-    return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+    total = sum(np.frombuffer(x, np.uint16).astype(np.int64) for x in table.column("counts").to_pylist())
+    return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+
+class Frequencies:
+    """How many texts hold a shingle, estimated: a counter less what all counters hold on average.
+
+    What lies within four standard deviations of that average counts as nothing.
+    """
+
+    def __init__(self, counts: np.ndarray):
+        noise = counts.mean() if len(counts) else 0.0
+        excess = counts - noise
+        self._excess = np.where(excess > 4 * np.sqrt(noise), excess, 0).astype(np.float32)
+        self._shift = _U(64 - (len(counts) - 1).bit_length())
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        return self._excess[(values >> self._shift).astype(np.int64)]
 
+    def rank(self, values: np.ndarray) -> np.ndarray:
+        """Steps of a factor of two: shingles are ordered by them, then by hash."""
+        return np.floor(np.log2(self(values) + 1.0)).astype(np.int8)
 
-def prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, key: str, text: str, size: int, percent: int, most_matches: int, cost: float) -> Iterator[pa.RecordBatch]:
+
+def prefixes(batches: Iterator[pa.RecordBatch], often: Frequencies, key: str, text: str, size: int, percent: int, most_matches: int, cost: float) -> Iterator[pa.RecordBatch]:
     """Each document's prefix: (shingle, id, set size, matches required, the shingle's place). Equal sets of a slice are sent once."""
-    noise = counts.mean()
     for batch in W.slices(batches, text):
         rows, values = shingle_sets(batch.column(text), size)
         n = np.bincount(rows, minlength=batch.num_rows).astype(np.int64)
@@ -87,9 +114,9 @@ def prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, key: str, te
         sent[able[one]] = True
         keep = sent[rows]
         rows, values, n = rows[keep], values[keep], np.where(sent, n, 0)
-        estimate = counts[(values >> _U(64 - SKETCH_BITS)).astype(np.int64)]
-        order = np.lexsort((values, np.floor(np.log2(estimate + 1.0)), rows))
-        values, excess = values[order], np.maximum(0, estimate[order] - noise)
+        order = np.lexsort((values, often.rank(values), rows))
+        values = values[order]
+        excess = often(values).astype(np.float64)
         first = np.searchsorted(rows, np.arange(len(n) + 1))
         place = np.arange(len(rows)) - first[rows]
         load = np.concatenate([[0], np.cumsum(excess)])
@@ -112,6 +139,10 @@ def _alike(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
+def _enough(shared: Column, n: Column, m: Column, percent: int) -> Column:
+    return 100 * shared >= percent * (n + m - shared)
+
+
 def verify_batches(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in W.slices(iter([whole]), "left_text", 2 << 20):
@@ -123,42 +154,100 @@ def verify_batches(batches: Iterator[pa.RecordBatch], size: int, percent: int) -
             yield batch.filter(pa.array((100 * both >= percent * union) & (both > 0))).select(["u", "v"])
 
 
-def _maybe(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` whose key may be among ``ids``, by a bit array of fixed size (bits by hashed key)."""
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    place = ids.select(F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)).cast("int").alias("b")).distinct().toArrow()  # at most 2 ** FILTER_BITS numbers
-    bits[place.column("b").to_numpy()] = True
-    shared = df.sparkSession.sparkContext.broadcast(np.packbits(bits))
+DIFFERENCES = "pivot long, kind int, token long, rep long, n long, inter long, pivot_n long, linked boolean, left int"
+BESIDE, AWAY = 0, 1
 
-    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.unpackbits(shared.value).astype(bool)
-        for batch in batches:
-            yield batch.filter(pa.array(held[batch.column("_b").to_numpy()])).drop_columns(["_b"])
 
-    hashed = df.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS)).cast("int"))
-    return hashed.mapInArrow(chosen, df.schema)
+def differences(batches: Iterator[pa.RecordBatch], often: Frequencies, size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """What each document ``rep`` does not have in common with its pivot, as two kinds of prefix; and one row without a token.
 
+    Let i be the shingles that a document shares with the pivot T, q = percent / (100 + percent), and a
+    pair (A, B) with o >= q (nA + nB) shared shingles be similar. Not both are similar to T, or T
+    connects them. Of o at most min(iA, iB) lie in T. If that is too few, A and B share shingles outside
+    T: those are of kind ``BESIDE``. Else one of them is smaller than T. As |A & B & T| =
+    iA + iB - |T| + |what both lack of T|, they then share at least q (nA + nT) - iA >= 1 of: shingles outside T, and
+    shingles of T that they lack; these are of kind ``AWAY``, A being one that is not similar to T.
 
-def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, most_matches: int = 4, cost: float = 5.0) -> DataFrame:
+    Prefixes are in the order of ``often``: of d shingles of which m must be shared, the first d - m + 1.
+    ``left`` counts the shingles from this one on.
+    """
+    for whole in batches:
+        for batch in W.slices(iter([whole]), "left_text", 1 << 20):
+            count = batch.num_rows
+            (r1, v1), (r2, v2) = (shingle_sets(batch.column(c), size) for c in ("left_text", "right_text"))
+            k1, k2 = (W.mix(v + r.astype(_U) * _U(0x9E3779B97F4A7C15)) for r, v in ((r1, v1), (r2, v2)))
+            in_pivot, in_rep = np.isin(k1, k2), np.isin(k2, k1)
+            n, m, inter = (np.bincount(r, minlength=count).astype(np.int64) for r in (r1, r2, r1[in_pivot]))
+            linked = 100 * inter >= percent * (n + m - inter)
+
+            def need(other: np.ndarray, n=n) -> np.ndarray:
+                return -(-percent * (n + other) // (100 + percent))
+
+            plus_row, plus = r1[~in_pivot], v1[~in_pivot]
+            minus_row, minus = r2[~in_rep], v2[~in_rep]
+            at_least = np.maximum(1, need(-(-percent * n // 100)) - inter)
+            away = (100 * inter >= percent * n) & (~linked | (n < m))
+            shared = np.where(linked, 1, np.maximum(1, need(m) - inter))
+            parts = [
+                (BESIDE, plus_row, plus, often.rank(plus), at_least, np.ones(count, bool)),
+                (AWAY, np.concatenate([plus_row, minus_row]), np.concatenate([plus, W.mix(minus ^ _U(0xA0761D6478BD642F))]),
+                 np.concatenate([often.rank(plus), np.full(len(minus), 100, np.int8)]), shared, away),
+            ]
+            found = [(np.full(count, -1, np.int32), np.zeros(count, np.int64), np.arange(count), np.zeros(count, np.int32))]
+            for kind, row, value, rank, least, wanted in parts:
+                order = np.lexsort((value, rank, row))
+                order = order[wanted[row[order]]]
+                row, value = row[order], value[order]
+                many = np.bincount(row, minlength=count)
+                left = many[row] - (np.arange(len(row)) - (np.cumsum(many) - many)[row])
+                mine = left >= least[row]
+                found.append((np.full(mine.sum(), kind, np.int32), value[mine].view(np.int64), row[mine], left[mine].astype(np.int32)))
+            kind, value, row, left = (np.concatenate(c) for c in zip(*found, strict=True))
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("pivot").take(at), pa.array(kind), pa.array(value), batch.column("rep").take(at), pa.array(n[row]), pa.array(inter[row]), pa.array(m[row]), pa.array(linked[row]), pa.array(left)],
+                ["pivot", "kind", "token", "rep", "n", "inter", "pivot_n", "linked", "left"],
+            )
+
+
+def _sides(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of one list side by side, the other columns numbered 1 and 2."""
+    rest = [c for c in df.columns if c not in keys]
+    left, right = (df.select(*keys, *(F.col(c).alias(f"{c}{k}") for c in rest)) for k in (1, 2))
+    return left.join(right, keys).where("component1 < component2")
+
+
+def _different(df: DataFrame, keys: list[str], listed: Column, central: Column) -> DataFrame:
+    """Adds ``listed`` (each row meets at most so many others) and ``next`` (a pivot) to rows of lists on which two components meet."""
+    lists = df.groupBy(*keys).agg(F.min("component").alias("a"), F.max("component").alias("b"), listed.alias("listed"), F.min(F.struct(central, F.col("rep").alias("rep"))).alias("next"))
+    return df.join(lists.where("a < b and listed > 0").select(*keys, "listed", F.col("next.rep").alias("next")), keys)
+
+
+def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, most_matches: int = 4, cost: float = 5.0, long_list: int = LONG_LIST, most_pivots: int = MOST_PIVOTS) -> DataFrame:
     """Key, n_shingles, component_id for every row.
 
     Letters A-Z count as lower-case. Two texts link when their sets of ``size``-word shingles have a
-    Jaccard similarity of ``percent`` or more; shingles are 64-bit hashes. Texts without words link
-    with nothing, and rows without a key have no component. Keys (long) are expected to be unique. Other
-    columns are left out.
+    Jaccard similarity of ``percent`` or more; shingles are 64-bit hashes. Texts without words or null
+    link with nothing, and rows without a key have no component. Keys (long) are expected to be unique: rows that
+    repeat one come out each for itself, with one component that holds the links of all. Other columns are left
+    out; an empty table gives no rows. Lists of more than ``long_list`` documents are compared by
+    pivots, up to ``most_pivots`` times in a row; what is still on a long list then is paired.
     """
+    spark = df.sparkSession
+    scratch = Scratch(spark)
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = materialize(docs.mapInArrow(lambda it: signatures(it, "id", "text", size), "id long, n long, h1 long, h2 long, part int, counts binary"))
+    bits = sketch_bits(int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0))
+    signed = scratch(docs.mapInArrow(lambda it: signatures(it, bits, "id", "text", size), "id long, n long, h1 long, h2 long, part int, counts binary"))
     slices = signed.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(_add_up, "part int, counts binary").collect()
-    counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+    counts = np.zeros((SLICES, (1 << bits) // SLICES), np.float32)
     for r in slices:
-        counts.reshape(SLICES, -1)[r["part"]] = np.frombuffer(r["counts"], np.uint32)
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(counts)  # a fixed size
+        counts[r["part"]] = np.frombuffer(r["counts"], np.float32)
+    shared = spark.sparkContext.broadcast(Frequencies(counts.ravel()))  # 4 << bits bytes
     rows = signed.where("part is null").select("id", "n", "h1", "h2")
-    classes = rows.where("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    member = materialize(rows.join(classes, ["n", "h1", "h2"], "left").select("id", "n", "rep", "copies"))
-    of_id = member.where("copies > 1 and id <> rep").select("id", "rep")
+    of_copies = ["n", "h1", "h2"]
+    classes = scratch(rows.where("n > 0 and id is not null").groupBy(*of_copies).agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"))
+    member = materialize(rows.join(classes, of_copies, "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "id")).alias("rep")))
+    of_id = member.where("id <> rep").select("id", "rep")
 
     sent = docs.mapInArrow(lambda it: prefixes(it, shared.value, "id", "text", size, percent, most_matches, cost), "token long, id long, n long, matches int, place int")
     own_list = Window.partitionBy("token")
@@ -167,50 +256,82 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size:
     # How many of a document's shingles before this one are on no list: no document that shares this one has them.
     before = F.row_number().over(Window.partitionBy("id").orderBy("place")) - 1
     listed = listed.withColumn("lone", F.greatest(F.col("place") - before, F.lit(0)))
-    lists = materialize(
+    lists = scratch(
         listed.join(of_id, "id", "left").withColumn("rep", F.coalesce("rep", "id")).select("token", "rep", "n", "matches", "place", "lone", "first", "first_n")
         .join(of_id.select(F.col("id").alias("first"), F.col("rep").alias("first_rep")), "first", "left")
         .select("token", "rep", "n", "matches", "place", "lone", F.coalesce("first_rep", "first").alias("first"), "first_n")  # equal sets have equal sizes
     )
-    texts = materialize(_maybe(docs, lists.select(F.col("rep").alias("id")), "id"))
+    texts = scratch(docs.join(lists.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
+
+    def with_texts(pairs: DataFrame, u: str, v: str) -> DataFrame:
+        left, right = (texts.select(F.col("id").alias(k), F.col("text").alias(t)) for k, t in ((u, "left_text"), (v, "right_text")))
+        return pairs.join(right, v).join(left, u)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left, right = (texts.select(F.col("id").alias(k), F.col("text").alias(t)) for k, t in (("u", "left_text"), ("v", "right_text")))
-        return materialize(pairs.join(right, "v").join(left, "u").mapInArrow(lambda it: verify_batches(it, size, percent), "u long, v long"))
+        return scratch(with_texts(pairs, "u", "v").mapInArrow(lambda it: verify_batches(it, size, percent), "u long, v long"))
 
     # Each document against the one that is smallest in most of its lists; those without a link then once for each component.
     candidates = lists.where((F.col("rep") != F.col("first")) & _alike(F.col("n"), F.col("first_n"), percent)).select("rep", "first")
 
-    def ordered(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.greatest("first", "rep").alias("u"), F.least("first", "rep").alias("v")).distinct()
+    def ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
+        return pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
 
-    tried = materialize(ordered(candidates.groupBy("rep", "first").agg(F.count("*").alias("c")).groupBy("rep").agg(F.max_by("first", F.struct("c", -F.col("first"))).alias("first"))))
+    tried = scratch(ordered(candidates.groupBy("rep", "first").agg(F.count("*").alias("c")).groupBy("rep").agg(F.max_by("first", F.struct("c", -F.col("first"))).alias("first")), "first", "rep"))
     links = verified(tried)
-    named = materialize(components(links))
+    named = components(links)
     alone = candidates.join(named.select(F.col("id").alias("rep")), "rep", "left_anti").groupBy("rep", "first").agg(F.count("*").alias("c"))
     of_first = named.select(F.col("id").alias("first"), F.col("component_id").alias("of"))
     again = alone.join(of_first, "first", "left").groupBy("rep", F.coalesce("of", "first")).agg(F.max_by("first", F.struct("c", -F.col("first"))).alias("first"))
-    again = materialize(ordered(again).join(tried, ["u", "v"], "left_anti"))
+    again = scratch(ordered(again, "first", "rep").join(tried, ["u", "v"], "left_anti"))
     tried, links = tried.unionByName(again), links.unionByName(verified(again))
-    named = materialize(components(links))
+    named = components(links)
     # What is left to compare: documents of different components on one list.
-    placed = lists.join(named.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component_id", "rep"))
-    mixed = placed.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("token")
-    rest = materialize(placed.join(mixed, "token").select("token", "rep", "n", "matches", "place", "lone", "component").distinct())
-    left, right = (rest.select("token", *(F.col(c).alias(f"{c}{k}") for c in ("rep", "n", "matches", "place", "lone", "component"))) for k in (1, 2))
+    of_rep = named.select(F.col("id").alias("rep"), "component_id")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.join(of_rep, "rep", "left").withColumn("component", F.coalesce("component_id", "rep")).drop("component_id")
+
+    own = placed(lists.select("token", "rep", "n", "matches", "place", "lone").distinct())
+    rest = scratch(_different(own, ["token"], F.count("*"), F.col("lone")))
     reach = F.least(F.col("n1") - F.col("lone1"), F.col("n2") - F.col("lone2"))
+    # Two documents that meet on short lists only share as many of those as they must; what they share up to the last one is counted.
     met = (
-        left.join(right, "token")
-        .where((F.col("component1") < F.col("component2")) & (100 * reach >= percent * (F.col("n1") + F.col("n2") - reach)))
+        _sides(rest.where(F.col("listed") <= long_list).drop("listed", "next"), ["token"])
+        .where(_enough(reach, F.col("n1"), F.col("n2"), percent))
         .groupBy("rep1", "rep2")
         .agg(F.count("*").alias("shared"), F.first(F.least("matches1", "matches2")).alias("need"), F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.max("place1").alias("p1"), F.max("place2").alias("p2"))
-        # All that both hold up to the last shared shingle is shared: what follows bounds the rest.
         .withColumn("most", F.col("shared") + F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2")) - 1)
-        .where((F.col("shared") >= F.col("need")) & (100 * F.col("most") >= percent * (F.col("n1") + F.col("n2") - F.col("most"))))
-        .select(F.greatest("rep1", "rep2").alias("u"), F.least("rep1", "rep2").alias("v"))
+        .where((F.col("shared") >= F.col("need")) & _enough(F.col("most"), F.col("n1"), F.col("n2"), percent))
     )
-    more = verified(materialize(met.join(tried, ["u", "v"], "left_anti")))
+    found = [ordered(met, "rep1", "rep2")]
+    keys = ["pivot", "kind", "token"]
+    hot = rest.where(F.col("listed") > long_list)
+    for step in range(most_pivots):
+        to_pivot = scratch(hot.where("rep <> next").select("rep", F.col("next").alias("pivot")).distinct())
+        if to_pivot.isEmpty():
+            break
+        apart = scratch(with_texts(to_pivot, "rep", "pivot").mapInArrow(lambda it: differences(it, shared.value, size, percent), DIFFERENCES))
+        links = links.unionByName(apart.where("kind = -1 and linked").select(F.col("rep").alias("u"), F.col("pivot").alias("v")))
+        # One of a pair is not similar to the pivot; away from it, the other is smaller than the pivot.
+        apart_from, smaller = F.count_if(~F.col("linked")), F.count_if(F.col("n") < F.col("pivot_n"))
+        listed = F.when(F.col("kind") == BESIDE, apart_from).otherwise(F.least(apart_from, smaller))
+        rest = scratch(_different(placed(apart.where("kind >= 0")), keys, listed, -F.col("inter")))
+        short = rest.where(F.col("listed") <= long_list) if step < most_pivots - 1 else rest
+        n1, n2, least = F.col("n1"), F.col("n2"), F.least("inter1", "inter2")
+        left = F.least("left1", "left2")
+        most = F.when(F.col("kind") == BESIDE, least + left).otherwise(F.col("inter1") + F.col("inter2") - F.col("pivot_n1") + left)
+        inside = _enough(least, n1, n2, percent) & (F.least("n1", "n2") < F.col("pivot_n1"))
+        right_kind = F.when(F.col("kind") == AWAY, inside).otherwise(~_enough(least, n1, n2, percent))
+        pairs = _sides(short.drop("listed", "next"), keys).where(~(F.col("linked1") & F.col("linked2")) & _alike(n1, n2, percent) & right_kind & _enough(most, n1, n2, percent))
+        found.append(ordered(pairs, "rep1", "rep2"))
+        hot = rest.where(F.col("listed") > long_list)
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    more = verified(scratch(every.distinct().join(tried, ["u", "v"], "left_anti")))
     final = components(links.unionByName(more)).withColumnRenamed("id", "rep")
+    scratch.clear()
+    shared.destroy()
     return member.join(final, "rep", "left").select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep", "id").alias("component_id")
     )

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import pickle
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,23 +21,60 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a folder of our own is set.
+    Only where all run on one machine (tests) and none is named, a folder of our own is set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-assayer-"))
     return sc.getCheckpointDir()
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/assayer-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df, f"{shared_dir(df.sparkSession)}/assayer-{uuid.uuid4().hex}")
+
+
+class Scratch:
+    """Tables of one computation in a folder of its own; ``clear`` deletes them when its result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._root, self._n = spark, f"{shared_dir(spark)}/assayer-{uuid.uuid4().hex}", 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self._n += 1
+        return _written(df, f"{self._root}/{self._n}")
+
+    def clear(self) -> None:
+        jvm = self._spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(self._root)
+        at.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fitted(sample: DataFrame, fit: Callable[[pa.Table], object]) -> object:
+    """``fit`` of a bounded sample, in one task: only the model comes to the driver. An empty sample gives a table without columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fit(pa.Table.from_batches(held)))]})
+
+    row = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(row[0]["model"]) if row else fit(pa.table({}))
+
+
+def schema_of(df: DataFrame, columns: list[str], *more: tuple[str, DataType]) -> StructType:
+    """Fields of ``df`` by these names, and further ones."""
+    return StructType([*(df.schema[c] for c in columns), *(StructField(n, t) for n, t in more)])
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
