@@ -8,7 +8,9 @@ Executors then give the r-th piece of each length its place, from its rank alone
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import unicodedata
 import zlib
 from collections import defaultdict
@@ -34,7 +36,7 @@ def word_encoder(blob: str) -> HashedSegments:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(blob)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    tokenizer.encode_special_tokens = True  # texts are cut at their strings before
     last = np.zeros(tokenizer.get_vocab_size(), bool)
     for piece, i in tokenizer.get_vocab().items():
         last[i] = piece.endswith("</w>")
@@ -60,6 +62,16 @@ def word_encoder(blob: str) -> HashedSegments:
     return HashedSegments(ids_of, limit=500_000)
 
 
+@lru_cache(2)
+def added_tokens(blob: str) -> tuple[re.Pattern, dict[bytes, int]]:
+    """Strings that the library takes for tokens of their own in the text as it stands, and their ids."""
+    added = json.loads(blob).get("added_tokens", [])
+    if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+        raise ValueError("added tokens that are matched in another way than as plain strings")
+    ids = {t["content"].encode(): t["id"] for t in added}
+    return re.compile(b"(" + b"|".join(map(re.escape, sorted(ids, key=len, reverse=True))) + b")" if ids else b"(?!)"), ids
+
+
 def lowered(text: bytes) -> bytes:
     """Composed and lower-cased as the tokenizer's normaliser does it, letter by letter."""
     if text.isascii():
@@ -85,20 +97,28 @@ def stops_apart(data: np.ndarray) -> np.ndarray:
 def token_pieces(batches: Iterator[pa.RecordBatch], blob: str, budget: int, end_id: int, key: str, text: str) -> Iterator[pa.RecordBatch]:
     # White space always ends a token and is dropped, so each run between it can be encoded on its own.
     cache = word_encoder(blob)
+    added, id_of = added_tokens(blob)
     for batch in W.slices(batches, text):
         cache.trim()
         data, at = W.raw(W.plain(batch.column(text)))
         whole = data.tobytes()
-        texts = [stops_apart(np.frombuffer(lowered(whole[a:b]), np.uint8)).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        texts, first, between = [], [0], []  # parts of texts, each text's first part, and the added token behind a part
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            parts = added.split(whole[a:b])
+            texts += parts[::2]
+            between += [*(id_of[x] for x in parts[1::2]), end_id]
+            first.append(len(texts))
+        texts = [stops_apart(np.frombuffer(lowered(t), np.uint8)).tobytes() for t in texts]
         w = W.words(pa.array(texts, pa.binary()).view(pa.string()))
         joined, start, end = w.data.tobytes(), w.start, w.end
         codes = cache.codes_of(w.hashes(), lambda i: joined[start[i] : end[i]])
         rows, sizes = cache.values(codes)
-        ids = rows[:, 0].astype("<u4")
         token_at = np.concatenate([[0], np.cumsum(sizes)])[w.first]
+        ids = np.insert(rows[:, 0], token_at[1:], between).astype("<u4")
+        token_at = (token_at + np.arange(len(token_at)))[first]
         out = []
         for k in range(batch.num_rows):
-            own = np.append(ids[token_at[k] : token_at[k + 1]], np.uint32(end_id)).astype("<u4")
+            own = ids[token_at[k] : token_at[k + 1]]
             for piece, a in enumerate(range(0, len(own), budget)):
                 part = own[a : a + budget]
                 out.append((k, piece, a, len(part), zlib.crc32(part.tobytes())))
@@ -243,9 +263,11 @@ def place(batches: Iterator[pa.RecordBatch], by_length: dict) -> Iterator[pa.Rec
 def pack(df: DataFrame, tokenizer_path: str, budget: int = 2048, end_id: int = 0, key: str = "doc_id", text: str = "text", salt_rows: int = 50_000) -> DataFrame:
     """One row per piece: key, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null text counts as empty (one piece: the end id alone). Rows that repeat a key are packed each
-    for itself. An empty table gives no rows. Other columns are left out. Lengths that many pieces
-    share are ranked in salted groups of about ``salt_rows``.
+    Ids are those that the library gives with ``add_special_tokens=False``: strings of its added tokens in
+    a text are those tokens. Null text counts as empty (one piece: the end id alone). Rows that repeat
+    a key or have none are packed each for itself. An empty table gives no rows. Other columns are left out. Lengths that many
+    pieces share are ranked in salted groups of about ``salt_rows``. Of three-piece patterns some 12,000
+    are tried at most (``enumerate_patterns``); what they do not hold is packed best-fit, so no piece is lost.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         blob = f.read()
