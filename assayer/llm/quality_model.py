@@ -12,12 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StructField, StructType
 
 from assayer.llm import words as W
 from assayer.llm.quality_rules import COUNTS, SHARES, features, statistics, text_statistics
-from assayer.llm.tables import materialize, read
+from assayer.llm.tables import fitted, materialize, read, schema_of
 
 BITS = 16
 
@@ -120,14 +122,14 @@ def _numbered(batch: pa.RecordBatch, text: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(text)], ["_row", text])
 
 
-def feature_rows(batches: Iterator[pa.RecordBatch], text: str, target: str) -> Iterator[pa.RecordBatch]:
+def feature_rows(batches: Iterator[pa.RecordBatch], text: str, rest: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in W.slices(batches, text):
         row, key, value = hashed_features(_numbered(batch, text), text)
         code, at = np.unique(row * (1 << BITS) + key, return_inverse=True)
         total = np.bincount(at, value, len(code))
         bounds = pa.array(np.searchsorted(code >> BITS, np.arange(batch.num_rows + 1)).astype(np.int32))
         lists = [pa.ListArray.from_arrays(bounds, pa.array((code & ((1 << BITS) - 1)).astype(np.int32))), pa.ListArray.from_arrays(bounds, pa.array(total.astype(np.float32)))]
-        yield pa.RecordBatch.from_arrays([*lists, batch.column(target)], ["keys", "values", target])
+        yield pa.RecordBatch.from_arrays([*lists, *(batch.column(c) for c in rest)], ["keys", "values", *rest])
 
 
 def fit_linear(keys: list[np.ndarray], values: list[np.ndarray], target: np.ndarray, epochs: int = 30, rate: float = 0.05, ridge: float = 1e-5, seed: int = 3) -> np.ndarray:
@@ -153,6 +155,15 @@ def fit_linear(keys: list[np.ndarray], values: list[np.ndarray], target: np.ndar
     return weights
 
 
+def fit(sample: pa.Table) -> np.ndarray:
+    """Weights learnt on rows of features and ``_good``, whatever their order."""
+    if not sample.num_rows:
+        return fit_linear([], [], np.zeros(0))
+    sample = sample.take(pc.sort_indices(sample.select(["_key"]), [("_key", "ascending")]))
+    lists = [[np.asarray(x) for x in sample.column(c).to_pylist()] for c in ("keys", "values")]
+    return fit_linear(*lists, sample.column("_good").to_numpy())
+
+
 def score_batches(batches: Iterator[pa.RecordBatch], weights: np.ndarray, text: str, rest: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in W.slices(batches, text):
         row, key, value = hashed_features(_numbered(batch, text), text)
@@ -165,33 +176,28 @@ def weak_quality(df: DataFrame, key: str = "doc_id", text: str = "text", max_tra
     """Key and ``quality_score`` (0 to 1, higher is better) of every row; with ``carry`` all its other columns too.
 
     ``max_train`` bounds the rows whose hashed features train the scorer: those whose hashed key is
-    smallest. Vote patterns are counted over all rows. Null text counts as empty; an empty table
-    gives no rows; a column already named ``quality_score`` is replaced.
+    smallest, fitted in one task. Vote patterns are counted over all rows. Null text counts as empty;
+    repeated rows and rows without a key are scored each for itself, but only one row of a key trains; an empty
+    table gives no rows; a column already named ``quality_score`` is replaced.
     """
     df = df.drop("quality_score")
-    stats = materialize(votes(features(text_statistics(df, key, text))).select(key, "pattern"))
+    own = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    stats = materialize(votes(features(text_statistics(own, "_key", "_text"))).select("_key", "pattern"))
     counted = stats.groupBy("pattern").agg(F.count("*").alias("n")).collect()  # 3 ** labellers rows at most
     patterns = np.array([[int(c) for c in r["pattern"]] for r in counted], np.int64).reshape(len(counted), len(LABELLERS))
     posterior, _, _ = expectation_maximisation(patterns, np.array([r["n"] for r in counted], float))
     spark = df.sparkSession
-    known = spark.createDataFrame([(r["pattern"], float(p)) for r, p in zip(counted, posterior, strict=True)], "pattern string, good double")
-    sample = stats.where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(max_train)
-    chosen = sample.join(F.broadcast(known), "pattern").select(key, "good")  # max_train rows at most
-    rows = (
-        df.select(key, text).join(F.broadcast(chosen.dropDuplicates([key])), key).select(text, "good")
-        .mapInArrow(lambda it: feature_rows(it, text, "good"), "keys array<int>, values array<float>, good double")
-        .toArrow()
-    )
-    weights = fit_linear(
-        [np.array(x, np.int64) for x in rows.column("keys").to_pylist()],
-        [np.array(x) for x in rows.column("values").to_pylist()],
-        rows.column("good").to_numpy(),
-    )
-    shared = spark.sparkContext.broadcast(weights)  # a fixed size
+    known = spark.createDataFrame([(r["pattern"], float(p)) for r, p in zip(counted, posterior, strict=True)], "pattern string, _good double")
+    sample = stats.where("_key is not null").orderBy(F.xxhash64("_key"), "_key").limit(max_train)
+    chosen = sample.join(F.broadcast(known), "pattern").select("_key", "_good")  # max_train rows at most
+    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key")
+    rows = rows.groupBy("_key").agg(F.min("_text").alias("_text"), F.min("_good").alias("_good"))
+    features_of = schema_of(rows, ["_key", "_good"])
+    features_of = StructType([StructField("keys", ArrayType(IntegerType())), StructField("values", ArrayType(FloatType())), *features_of.fields])
+    shared = spark.sparkContext.broadcast(fitted(rows.mapInArrow(lambda it: feature_rows(it, "_text", ["_key", "_good"]), features_of), fit))  # a fixed size
     out = df if carry else df.select(key, text)
     rest = [c for c in out.columns if carry or c != text]
-    schema = ", ".join([*(f"`{c}` {out.schema[c].dataType.simpleString()}" for c in rest), "quality_score double"])
-    return out.mapInArrow(lambda it: score_batches(it, shared.value, text, rest), schema)
+    return out.mapInArrow(lambda it: score_batches(it, shared.value, text, rest), schema_of(df, rest, ("quality_score", DoubleType())))
 
 
 def op9_quality_model(spark, sf_dir: str) -> DataFrame:

@@ -15,9 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from assayer.llm import words as W
-from assayer.llm.tables import read
+from assayer.llm.tables import fitted, read, schema_of
 
 SPAN, STEP = 32, 24
 GRAM_BITS = 15
@@ -303,24 +304,35 @@ def score_batches(batches: Iterator[pa.RecordBatch], net: Network, rest: list[st
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(sigmoid(best) * (best > -np.inf))], [*rest, "toxicity_score"])
 
 
-def labelled_sample(df: DataFrame, labels: DataFrame, key: str, text: str, label: str, most: int) -> tuple[list[str], np.ndarray]:
-    """Texts of at most ``most`` rows of each label, those whose hashed key is smallest."""
-    kinds = [labels.where(F.col(label) == k).select(key, F.col(label).alias("_label")).orderBy(F.xxhash64(key), key).limit(most) for k in (0, 1)]
+def labelled_sample(df: DataFrame, labels: DataFrame, key: str, text: str, label: str, most: int) -> DataFrame:
+    """Key, text and label of at most ``most`` rows of each label, those whose hashed key is smallest."""
+    kinds = [labels.where(F.col(label) == k).select(F.col(key).alias("_key"), F.col(label).alias("_label")).orderBy(F.xxhash64("_key"), "_key").limit(most) for k in (0, 1)]
     chosen = kinds[0].unionByName(kinds[1])  # 2 * most rows at most
-    rows = df.select(key, text).join(F.broadcast(chosen), key).orderBy(key, "_label").select(text, "_label").collect()
-    return [r[0] or "" for r in rows], np.array([r[1] == 1 for r in rows], bool)
+    return df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key").select("_key", "_label", "_text")
+
+
+def fit(sample: pa.Table) -> Network:
+    """A network learnt on such rows, whatever their order."""
+    if not sample.num_rows:
+        return Network()
+    sample = sample.sort_by([("_key", "ascending"), ("_label", "ascending"), ("_text", "ascending")])
+    return train([t or "" for t in sample.column("_text").to_pylist()], sample.column("_label").to_numpy() == 1)
 
 
 def toxicity(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most_labelled: int = 1_200, carry: bool = False) -> DataFrame:
     """Key and ``toxicity_score`` (0 to 1) of each row's whole text, by a network learnt on ``labels``.
 
-    ``most_labelled`` bounds the labelled rows of either kind that are sent to the driver. Null and
-    empty texts score 0. Other columns are left out; repeated rows are scored each for itself.
+    ``most_labelled`` bounds the labelled rows of either kind that the network is fitted on, in one
+    task. Null and empty texts score 0; repeated rows and rows without a key are scored each for itself;
+    null labels teach nothing, and without labels of both kinds the network stays as drawn. An
+    empty table gives no rows. Other columns are left out, with ``carry`` they stay; one that is
+    already named ``toxicity_score`` is replaced.
     """
-    net = train(*labelled_sample(df, labels, key, text, label, most_labelled))
+    df = df.drop("toxicity_score")
+    net = fitted(labelled_sample(df, labels, key, text, label, most_labelled), fit)
     shared = df.sparkSession.sparkContext.broadcast(net)  # a fixed size
     rest = df.columns if carry else [key]
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest), "toxicity_score double"])
+    schema = schema_of(df, rest, ("toxicity_score", DoubleType()))
     read_columns = df if carry else df.select(key, text)
     return read_columns.mapInArrow(lambda it: score_batches(it, shared.value, rest, text), schema)
 
