@@ -15,10 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructType
 
 from assayer.llm import pages as P
 from assayer.llm import words as W
-from assayer.llm.tables import read
+from assayer.llm.tables import read, schema_of
 
 _U = np.uint64
 FULL, SEND, SPREAD = 1, 2, 4
@@ -151,7 +152,7 @@ class _Page:
 
 
 def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 200, gram: int = 64, most_contexts: int = 2000, carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
-    """Key, n_bytes, n_removed, n_spans, kept (binary: the bytes that stay) and the columns to carry.
+    """Key, n_bytes, n_removed, n_spans, kept (binary: the bytes that stay); the columns to carry in a struct ``carried``.
 
     ``as_text`` makes ``kept`` a string; parts of a character that was cut go with the cut.
 
@@ -160,7 +161,8 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size
     they repeat a key or have none. Whole contexts and the strings of anchors with more than
     ``most_contexts`` contexts are compared by 64-bit hashes within hashed buckets, others by bytes.
     """
-    carry = [c for c in carry or [] if c not in (key, text)]
+    df = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), *([F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")] if carry else []))
+    carry, name, key, text = df.columns[2:], key, "_key", "_text"
     _, pages, buckets = P.sizes(df, text, PAGE_BYTES)
     docs = P.dealt(df, key, text, carry, pages)
     own = "_bucket int, _page int, _kind int, _a binary, _b binary, _c binary"
@@ -308,14 +310,13 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size
         out = {key: table.column(key), "n_bytes": pa.array(np.diff(page.at).astype(np.int64)), "n_removed": pa.array(gone), "n_spans": pa.array(spans), "kept": pa.array(kept, kind)}
         return pa.table(out | {c: table.column(c) for c in carry})
 
-    rest = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
     by_page = docs.groupBy("_page")
     judged = by_page.applyInArrow(anchors, own).groupBy("_bucket").applyInArrow(judge, own)
     sent = by_page.cogroup(judged.groupBy("_page")).applyInArrow(send, own)
     compared = sent.groupBy("_bucket", "_kind").applyInArrow(compare, own)
-    return by_page.cogroup(judged.unionByName(compared).groupBy("_page")).applyInArrow(
-        cut_out, f"`{key}` {df.schema[key].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}{rest}"
-    )
+    out = schema_of(df, [key], ("n_bytes", LongType()), ("n_removed", LongType()), ("n_spans", LongType()), ("kept", StringType() if as_text else BinaryType()))
+    out = StructType([*out.fields, *(df.schema[c] for c in carry)])
+    return by_page.cogroup(judged.unionByName(compared).groupBy("_page")).applyInArrow(cut_out, out).withColumnRenamed(key, name)
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
