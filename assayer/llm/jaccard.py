@@ -261,29 +261,39 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size:
         .join(of_id.select(F.col("id").alias("first"), F.col("rep").alias("first_rep")), "first", "left")
         .select("token", "rep", "n", "matches", "place", "lone", F.coalesce("first_rep", "first").alias("first"), "first_n")  # equal sets have equal sizes
     )
-    texts = scratch(docs.join(lists.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
 
-    def with_texts(pairs: DataFrame, u: str, v: str) -> DataFrame:
+    def texts_of(*ids: DataFrame) -> DataFrame:
+        every = ids[0].toDF("id")
+        for more in ids[1:]:
+            every = every.unionByName(more.toDF("id"))
+        return scratch(docs.join(every.distinct(), "id", "left_semi"))
+
+    def with_texts(pairs: DataFrame, texts: DataFrame, u: str, v: str) -> DataFrame:
         left, right = (texts.select(F.col("id").alias(k), F.col("text").alias(t)) for k, t in ((u, "left_text"), (v, "right_text")))
         return pairs.join(right, v).join(left, u)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        return scratch(with_texts(pairs, "u", "v").mapInArrow(lambda it: verify_batches(it, size, percent), "u long, v long"))
+    def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        return scratch(with_texts(pairs, texts, "u", "v").mapInArrow(lambda it: verify_batches(it, size, percent), "u long, v long"))
 
     # Each document against the one that is smallest in most of its lists; those without a link then once for each component.
-    candidates = lists.where((F.col("rep") != F.col("first")) & _alike(F.col("n"), F.col("first_n"), percent)).select("rep", "first")
+    candidates = scratch(
+        lists.where((F.col("rep") != F.col("first")) & _alike(F.col("n"), F.col("first_n"), percent))
+        .groupBy("rep", "first").agg(F.count("*").alias("c"), F.max("lone").alias("lone"), F.first("n").alias("n"), F.first("first_n").alias("m"))
+        .where(_enough(F.least(F.col("n") - F.col("lone"), F.col("m")), F.col("n"), F.col("m"), percent)).select("rep", "first", "c")
+    )
+    texts = texts_of(candidates.select("rep"), candidates.select("first"))
 
     def ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
         return pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
 
-    tried = scratch(ordered(candidates.groupBy("rep", "first").agg(F.count("*").alias("c")).groupBy("rep").agg(F.max_by("first", F.struct("c", -F.col("first"))).alias("first")), "first", "rep"))
-    links = verified(tried)
+    tried = scratch(ordered(candidates.groupBy("rep").agg(F.max_by("first", F.struct("c", -F.col("first"))).alias("first")), "first", "rep"))
+    links = verified(tried, texts)
     named = components(links)
-    alone = candidates.join(named.select(F.col("id").alias("rep")), "rep", "left_anti").groupBy("rep", "first").agg(F.count("*").alias("c"))
+    alone = candidates.join(named.select(F.col("id").alias("rep")), "rep", "left_anti")
     of_first = named.select(F.col("id").alias("first"), F.col("component_id").alias("of"))
     again = alone.join(of_first, "first", "left").groupBy("rep", F.coalesce("of", "first")).agg(F.max_by("first", F.struct("c", -F.col("first"))).alias("first"))
     again = scratch(ordered(again, "first", "rep").join(tried, ["u", "v"], "left_anti"))
-    tried, links = tried.unionByName(again), links.unionByName(verified(again))
+    tried, links = tried.unionByName(again), links.unionByName(verified(again, texts))
     named = components(links)
     # What is left to compare: documents of different components on one list.
     of_rep = named.select(F.col("id").alias("rep"), "component_id")
@@ -293,6 +303,7 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size:
 
     own = placed(lists.select("token", "rep", "n", "matches", "place", "lone").distinct())
     rest = scratch(_different(own, ["token"], F.count("*"), F.col("lone")))
+    texts = texts_of(rest.select("rep"))
     reach = F.least(F.col("n1") - F.col("lone1"), F.col("n2") - F.col("lone2"))
     # Two documents that meet on short lists only share as many of those as they must; what they share up to the last one is counted.
     met = (
@@ -310,7 +321,7 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size:
         to_pivot = scratch(hot.where("rep <> next").select("rep", F.col("next").alias("pivot")).distinct())
         if to_pivot.isEmpty():
             break
-        apart = scratch(with_texts(to_pivot, "rep", "pivot").mapInArrow(lambda it: differences(it, shared.value, size, percent), DIFFERENCES))
+        apart = scratch(with_texts(to_pivot, texts, "rep", "pivot").mapInArrow(lambda it: differences(it, shared.value, size, percent), DIFFERENCES))
         links = links.unionByName(apart.where("kind = -1 and linked").select(F.col("rep").alias("u"), F.col("pivot").alias("v")))
         # One of a pair is not similar to the pivot; away from it, the other is smaller than the pivot.
         apart_from, smaller = F.count_if(~F.col("linked")), F.count_if(F.col("n") < F.col("pivot_n"))
@@ -328,7 +339,7 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size:
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    more = verified(scratch(every.distinct().join(tried, ["u", "v"], "left_anti")))
+    more = verified(scratch(every.distinct().join(tried, ["u", "v"], "left_anti")), texts)
     final = components(links.unionByName(more)).withColumnRenamed("id", "rep")
     scratch.clear()
     shared.destroy()
