@@ -73,6 +73,21 @@ def licence_words(text: str | None) -> tuple:
     return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))
 
 
+def licence_labels(text: str | None, templates, base_labels: str) -> tuple[str, float]:
+    """All labels and the score, from every alignment of every template."""
+    data = bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode())
+    w = [x.decode() for x in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", data)]
+    labels, score = set(filter(None, base_labels.split(","))), 0.5 if base_labels else 0.0
+    for t in templates:
+        at, phrase = t.phrases[0]
+        for s in (i - at for i in range(len(w) - len(phrase) + 1) if tuple(w[i : i + len(phrase)]) == phrase):
+            if all(s + a >= 0 and tuple(w[s + a : s + a + len(p)]) == p for a, p in t.phrases):
+                labels.add(t.label)
+                same = sum(0 <= s + k < len(w) and w[s + k] == x for k, x in enumerate(t.words))
+                score = max(score, same / len(t.words))
+    return ",".join(sorted(labels)), score
+
+
 def without_windows(rows, size=13) -> dict:
     words = {i: WORD.findall(t or "") for i, t in rows}
     first: dict = {}
@@ -101,6 +116,20 @@ def without_strings(rows, size=200) -> list:
     return out
 
 
+def kept_bytes(rows, size=200) -> list:
+    """[(id, bytes that stay)] in the order of rows."""
+    data = [(t or "").encode() for _, t in rows]
+    seen = Counter(d[k : k + size] for d in data for k in range(len(d) - size + 1))
+    out = []
+    for (i, _), d in zip(rows, data, strict=True):
+        gone = bytearray(len(d))
+        for k in range(len(d) - size + 1):
+            if seen[d[k : k + size]] > 1:
+                gone[k : k + size] = b"\1" * size
+        out.append((i, bytes(c for c, g in zip(d, gone, strict=True) if not g)))
+    return out
+
+
 def shingles(text: str | None, size=5) -> set:
     w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     if not w:
