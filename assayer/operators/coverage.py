@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from assayer.functions.verdicts import has_reference
-from assayer.schemas import REFERENCE_CATEGORIES
+from assayer.schemas import PUBLISHED_PROTOCOLS, REFERENCE_CATEGORIES
 
 
 def gaps(expected: DataFrame, observed: DataFrame, *keys: str) -> DataFrame:
@@ -17,6 +20,25 @@ def gaps(expected: DataFrame, observed: DataFrame, *keys: str) -> DataFrame:
     return e.join(o, list(keys), "full_outer").select(*keys, state.alias("state"))
 
 
+#: Rows of a list that is repeated for every row of a table.
+MOST_LISTED = 10_000
+
+
+def short_list(df: DataFrame, most: int = MOST_LISTED) -> Column:
+    """The distinct rows of a small table as a literal; raises if there are more than ``most``."""
+    rows = df.distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a list of over {most} rows")
+    return F.from_json(F.lit(json.dumps(sorted((r.asDict() for r in rows), key=str))), ArrayType(df.schema))
+
+
+def grid(df: DataFrame, *lists: DataFrame) -> DataFrame:
+    """Each row of ``df`` with each row of all lists, without a join."""
+    for few in lists:
+        df = df.select(*df.columns, F.explode(short_list(few)).alias("_listed")).select(*df.columns, "_listed.*")
+    return df
+
+
 def model_pairs(models: DataFrame, *keys: str) -> DataFrame:
     """All unordered pairs of models that share the keys; ``models`` is small for each key."""
     a, b = (models.select(*keys, F.col("model_id").alias(f"model_{k}")).distinct() for k in "ab")
@@ -28,7 +50,7 @@ def answers(questions: DataFrame, found: DataFrame, *keys: str) -> DataFrame:
     asked = questions.select("question_id", "category").distinct()
     own = ["question_id", "model_id", *reversed(keys)]
     met = asked.join(found.drop("category"), "question_id").select(*own, "category", F.lit("met").alias("state"))
-    expected = found.select(*keys, "model_id").distinct().crossJoin(F.broadcast(asked))  # one list of questions
+    expected = grid(found.select(*keys, "model_id").distinct(), asked)
     missing = expected.join(found, own, "left_anti").select(*own, "category", F.lit("missing").alias("state"))
     return met.unionByName(missing)
 
@@ -36,7 +58,7 @@ def answers(questions: DataFrame, found: DataFrame, *keys: str) -> DataFrame:
 def paired_answers(questions: DataFrame, found: DataFrame, *keys: str) -> DataFrame:
     """Each question with ``seq`` of both answers, for all pairs of a run's models; missing if either side is."""
     asked = questions.select("question_id", "category").distinct()
-    out = model_pairs(found, *keys).crossJoin(F.broadcast(asked))  # one list of questions
+    out = grid(model_pairs(found, *keys), asked)
     for k in "ab":
         side = found.select(*keys, "question_id", F.col("model_id").alias(f"model_{k}"), F.col("seq").alias(f"seq_{k}"))
         out = out.join(side, [*keys, "question_id", f"model_{k}"], "left")
@@ -103,12 +125,47 @@ def manifest_diff(recorded: DataFrame, actual: DataFrame) -> DataFrame:
 def published(path):
     """Whether a relative path is one that a release holds."""
     parts = F.split(path, "/")
-    n, head, second = F.size(parts), F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
-    csv, jsonl = F.endswith(path, F.lit(".csv")), F.endswith(path, F.lit(".jsonl"))
+    n, head, second, name = F.size(parts), F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.try_element_at(parts, F.lit(-1))
+    csv, jsonl = (F.endswith(name, F.lit(end)) & (F.length(name) > len(end)) for end in (".csv", ".jsonl"))
     in_lang = (
         F.when(n == 2, second == "questions.jsonl")
         .when(second == "answers", (n == 3) & jsonl)
-        .when(second == "judgments", (n == 6) & F.get(parts, F.lit(4)).isin("single_grade", "pairwise", "single_grade_ref") & jsonl)
+        .when(second == "judgments", (n == 6) & F.get(parts, F.lit(4)).isin(*PUBLISHED_PROTOCOLS) & jsonl)
         .otherwise(False)
     )
     return F.when(n < 2, False).when(head.isin("results", "translation_review"), (n == 2) & csv).when(head.isin("en", "ko"), in_lang).otherwise(False)
+
+
+def require_met(states: DataFrame, what: str, allow_partial: bool = False) -> dict[str, int]:
+    """Numbers of met, missing and unexpected units of a table of ``gaps``; raises if any is not met, unless partial work is allowed."""
+    from assayer.operators.gates import GateError
+
+    counted = {r["state"]: r["n"] for r in states.groupBy("state").agg(F.count("*").alias("n")).collect()}  # three rows at most
+    found = {s: counted.get(s, 0) for s in ("met", "missing", "unexpected")}
+    if (found["missing"] or found["unexpected"]) and not allow_partial:
+        some = [r.asDict() for r in states.where("state <> 'met'").orderBy(*states.columns).limit(10).collect()]
+        raise GateError(f"{what}: {found['missing']} missing, {found['unexpected']} unexpected, such as {some}")
+    return found
+
+
+def single_gaps(records: DataFrame, questions: DataFrame, models: DataFrame, *by: str) -> DataFrame:
+    """(by, model_id, question_id, state): in every group, every model has every question and no other."""
+    asked, named = questions.select("question_id").distinct(), models.select("model_id").distinct()
+    expected = grid(records.select(*by).distinct() if by else _one(records), named, asked)
+    return gaps(expected, records.join(named, "model_id", "left_semi"), *by, "model_id", "question_id")
+
+
+def pair_gaps(records: DataFrame, questions: DataFrame, models: DataFrame, *by: str) -> DataFrame:
+    """(by, model_a, model_b, question_id, turn, state) in order of names: in every group all pairs of these models, all questions, turn 2."""
+    asked, named = questions.select("question_id").distinct(), models.select("model_id").distinct()
+    sides = [named.select(F.col("model_id").alias(f"model_{k}")) for k in "ab"]
+    expected = grid(records.select(*by).distinct() if by else _one(records), *sides, asked).where("model_a < model_b").withColumn("turn", F.lit(2))
+    of = records
+    for side in sides:
+        of = of.join(side, side.columns, "left_semi")
+    observed = of.select(*by, F.least("model_a", "model_b").alias("model_a"), F.greatest("model_a", "model_b").alias("model_b"), "question_id", "turn")
+    return gaps(expected, observed, *by, "model_a", "model_b", "question_id", "turn")
+
+
+def _one(df: DataFrame) -> DataFrame:
+    return df.sparkSession.range(1).select()

@@ -31,22 +31,25 @@ def ask(chat: Chat, messages: list[dict], attempts: int = 3, delay: float = 5.0,
     return None, error
 
 
-def respond(df: DataFrame, make_chat: Callable[[], Chat] | None, messages: str = "messages", workers: int = 1, attempts: int = 3, delay: float = 5.0) -> DataFrame:
+def respond(df: DataFrame, make_chat: Callable[[], Chat] | None, messages: str = "messages", workers: int | None = None, attempts: int = 3, delay: float = 5.0) -> DataFrame:
     """Adds ``response`` and ``error``. ``make_chat`` is called once in each task; none means the mock judge.
 
-    Write the result before anything else reads it, so that a retried stage does not repeat paid calls.
+    Each partition of ``df`` is a caller of its own; ``workers`` sets another number of them, for a service that
+    takes no more at a time. Rows without messages are not called. Write the result before
+    anything else reads it, so that a retried stage does not repeat paid calls.
     """
     if make_chat is None:
-        return df.withColumns({"response": mock_response(F.col(messages)), "error": F.lit(None).cast("string")})
+        asked = F.col(messages).isNotNull()
+        return df.withColumns({"response": F.when(asked, mock_response(F.col(messages))), "error": F.when(~asked, F.lit("not called"))})
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chat = make_chat()
         for batch in batches:
-            answers = [ask(chat, [dict(m) for m in own], attempts, delay) for own in batch[messages]]
+            answers = [(None, "not called") if own is None else ask(chat, [dict(m) for m in own], attempts, delay) for own in batch[messages]]
             yield batch.assign(response=[a for a, _ in answers], error=[e for _, e in answers])
 
     rows = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.repartition(workers).mapInPandas(call, f"{rows}, response string, error string")
+    return (df.repartition(workers) if workers else df).mapInPandas(call, f"{rows}, response string, error string")
 
 
 def grade(df: DataFrame, make_chat: Callable[[], Chat] | None = None, **options) -> DataFrame:

@@ -1,16 +1,16 @@
-"""Upserts and incremental work: what is current, what is pending, atomic publication."""
+"""Upserts and incremental work: what is current, what is pending."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions.verdicts import has_text, stored_score
+from assayer.functions.verdicts import has_text, resolve_winner, stored_score
+from assayer.schemas import VERDICTS
 
 
 def upsert(existing: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
+    """Rows of ``new`` in place of existing ones with the same keys. ``new`` is expected to hold a key once (``dedup.newest``)."""
     return existing.join(new.select(*keys).distinct(), list(keys), "left_anti").select(existing.columns).unionByName(new)
 
 
@@ -20,6 +20,27 @@ def single_is_current(prefix: str = "") -> Column:
     return stored_score(c("score_turn1")) & stored_score(c("score_turn2")) & has_text(c("judgment_turn1")) & has_text(c("judgment_turn2"))
 
 
+def reference_single_is_current(prefix: str = "") -> Column:
+    """The first turn is not graded: score -1 and an empty text."""
+    c = lambda n: F.col(prefix + n)
+    return (c("score_turn1") == -1) & (c("judgment_turn1") == "") & stored_score(c("score_turn2")) & has_text(c("judgment_turn2"))
+
+
+def pairwise_is_current(prefix: str = "") -> Column:
+    """Known verdicts, the winner they give, turn 2 and both texts. Holds for pairs with references too."""
+    c = lambda n: F.col(prefix + n)
+    ab, ba = c("winner_ab"), c("winner_ba")
+    resolved = c("winner") == resolve_winner(ab, ba, c("model_a"), c("model_b"))
+    return ab.isin(*VERDICTS) & ba.isin(*VERDICTS) & resolved & (c("turn") == 2) & has_text(c("judgment_ab")) & has_text(c("judgment_ba"))
+
+
+def answer_is_current(prefix: str = "") -> Column:
+    """One choice of index 0 with two turns of text."""
+    choices = F.col(prefix + "choices")
+    turns = F.get(choices, F.lit(0))["turns"]
+    return (F.size(choices) == 1) & (F.get(choices, F.lit(0))["index"] == 0) & (F.size(turns) == 2) & F.forall(turns, has_text)
+
+
 def current(existing: DataFrame, expected: DataFrame, keys: list[str], valid: Column, hash_column: str = "input_sha256") -> DataFrame:
     """Existing records of expected units whose inputs have not changed and whose contents are whole."""
     return existing.where(F.coalesce(valid, F.lit(False))).join(expected.select(*keys, hash_column).distinct(), [*keys, hash_column], "left_semi")
@@ -48,25 +69,3 @@ def incomplete(key: str, **parts: DataFrame) -> DataFrame:
         union = union.unionByName(f)
     why = F.concat_ws(",", *(F.max(F.when(F.col("_why") == name, F.lit(name))) for name in parts))
     return union.groupBy(key).agg(why.alias("why"))
-
-
-def publish(df: DataFrame, path: str, fmt: str = "json") -> None:
-    """Writes beside ``path`` and swaps it in, so readers see the old or the new rows; one writer at a time.
-
-    The old rows stay whole until the new ones are written, so ``df`` may be derived from them.
-    """
-    jvm = df.sparkSession._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
-    tag = uuid.uuid4().hex
-    new, old = (jvm.org.apache.hadoop.fs.Path(f"{path}.{kind}-{tag}") for kind in ("new", "old"))
-    df.write.format(fmt).save(new.toString())
-    had = fs.exists(at)
-    if had and not fs.rename(at, old):
-        raise OSError(f"cannot move {path}")
-    if not fs.rename(new, at):
-        if had:
-            fs.rename(old, at)
-        raise OSError(f"cannot publish {path}")
-    if had:
-        fs.delete(old, True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.verdicts import classify_call, scored
@@ -48,33 +48,43 @@ def reference_scores(df: DataFrame, by: list[str], expected_questions: int = 29)
 def win_rates(df: DataFrame, by: list[str], expected_questions: int | None = None, models: list[str] | None = None) -> DataFrame:
     """Each game credits both models; a tie or an inconsistent pair is half a win, an error none.
 
-    With ``models`` only games between two of them count.
+    A winner that is null or none of the known ones is an error too. With ``models`` only games between
+    two of them count, and each of them has a row in every group, without a game too; otherwise the models
+    are those that a group's games name. With ``expected_questions`` each model of a group is expected to meet
+    every other one on so many questions.
     """
+    games = df
     if models is not None:
-        df = df.where(F.col("model_a").isin(models) & F.col("model_b").isin(models))
-    games = df.withColumn("model_id", F.explode(F.array("model_a", "model_b")))
-    inconsistent, tie, error = (F.col("winner") == x for x in ("inconsistent", "tie", "error"))
-    won = F.col("winner") == F.col("model_id")
-    known = inconsistent | tie | F.col("winner").isin("error") | (F.col("winner") == F.col("model_a")) | (F.col("winner") == F.col("model_b"))
-    valid = known & ~error
-    gain = F.when(valid, F.when(won, 1.0).when(tie | inconsistent, 0.5).otherwise(0.0))
+        games = df.where(F.col("model_a").isin(models) & F.col("model_b").isin(models))
+    games = games.withColumn("model_id", F.explode(F.array("model_a", "model_b")))
+    inconsistent, tie = (F.col("winner").eqNullSafe(x) for x in ("inconsistent", "tie"))
+    won = F.col("winner").eqNullSafe(F.col("model_id"))
+    error = ~(inconsistent | tie | F.col("winner").eqNullSafe(F.col("model_a")) | F.col("winner").eqNullSafe(F.col("model_b")))
+    gain = F.when(~error, F.when(won, 1.0).when(tie | inconsistent, 0.5).otherwise(0.0))
     consistent = F.when(~inconsistent, gain)
     per = [F.avg(F.when(F.col("category") == c, gain)).alias(c) for c in CATEGORIES]
     total = F.count("*")
-    expected = total if expected_questions is None else F.lit(expected_questions * max(len(models or []) - 1, 0)).cast("long")
-    return games.groupBy(*by, "model_id").agg(
+    out = games.groupBy(*by, "model_id").agg(
         *per,
         F.avg(gain).alias("overall"),
         F.count(gain).alias("n_games"),
         F.avg(consistent).alias("overall_consistent_only"),
         F.count(consistent).alias("n_consistent_games"),
         total.alias("n_pairs_total"),
-        expected.alias("n_expected_pairs"),
         F.count_if(inconsistent).alias("n_inconsistent"),
         F.count_if(error).alias("n_errors"),
         F.try_divide(F.count(gain), total).alias("valid_fraction"),
         F.try_divide(F.count(consistent), total).alias("consistent_fraction"),
     )
+    counts = [c for c in out.columns if c.startswith("n_")]
+    if models is not None:
+        groups = (df.select(*by).distinct() if by else df.sparkSession.range(1)).select(*by, F.explode(F.array(*map(F.lit, sorted(set(models))))).alias("model_id"))
+        out = groups.join(out, [*by, "model_id"], "left").fillna(0, counts)
+        others = F.lit(max(len(set(models)) - 1, 0))
+    elif expected_questions is not None:
+        others = F.count("*").over(Window.partitionBy(*by)) - 1  # the models of a group
+    expected = F.col("n_pairs_total") if expected_questions is None else (expected_questions * others).cast("long")
+    return out.withColumn("n_expected_pairs", expected)
 
 
 def inconsistency(df: DataFrame, by: list[str]) -> DataFrame:

@@ -9,7 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The fields of a verdict.
+from assayer.functions.verdicts import strip
+from assayer.sources.jsonl import is_object
+
+# The fields of a verdict, the fence it may stand in, and the order and words of the messages below.
 SCORES = ("semantic_preservation", "difficulty_preservation", "constraint_preservation", "overall_score")
 FIELDS = frozenset((*SCORES, "issue_summary", "needs_manual_check"))
 VERDICT = ", ".join([*(f"{c} int" for c in SCORES), "issue_summary string", "needs_manual_check boolean", "parse_status string"])
@@ -49,11 +52,27 @@ def verdict_of(response: str | None) -> dict:
 
 
 def _verdicts(response: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([verdict_of(x) for x in response], columns=[*SCORES, "issue_summary", "needs_manual_check", "parse_status"])
+    columns = [*SCORES, "issue_summary", "needs_manual_check", "parse_status"]
+    none = dict.fromkeys(columns)
+    return pd.DataFrame([none if x is None else verdict_of(x) for x in response], columns=columns).astype(object)
 
 
 def parse_verdict(response: Column) -> Column:
-    return F.pandas_udf(_verdicts, VERDICT)(response)
+    """``verdict_of`` as a column. Whole verdicts are read by Spark's parser; only others go to Python, for their reasons."""
+    own = strip(F.coalesce(response, F.lit("")))
+    inner = F.regexp_extract(own, r"(?s)^```(?:json)?\s*(\{.*\})\s*```$", 1)
+    body = F.when(inner != "", inner).otherwise(own)
+    kinds = F.schema_of_variant(F.try_parse_json(body))
+    whole = ", ".join(sorted([*(f"{c}: BIGINT" for c in SCORES), "issue_summary: STRING", "needs_manual_check: BOOLEAN"]))
+    v = F.from_json(body, VERDICT)
+    good = is_object(body) & (kinds == f"OBJECT<{whole}>")
+    for c in SCORES:
+        good = good & F.coalesce(v[c].between(1, 5), F.lit(False))
+    low = F.least(*(v[c] for c in SCORES)) <= 3
+    status = F.when(~low, "ok").when(v["needs_manual_check"], "ok: low score").otherwise("ok: low score forced needs_manual_check=true")
+    read = F.struct(*(v[c].alias(c) for c in SCORES), F.left(v["issue_summary"], F.lit(300)).alias("issue_summary"), (v["needs_manual_check"] | low).alias("needs_manual_check"), status.alias("parse_status"))
+    others = F.pandas_udf(_verdicts, VERDICT)(F.when(~F.coalesce(good, F.lit(False)), own))
+    return F.when(good, read).otherwise(others)
 
 
 def turn_mean(first: Column, second: Column) -> Column:

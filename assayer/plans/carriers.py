@@ -75,9 +75,11 @@ CARRIERS: dict[str, tuple[str, str]] = {
     ),
     "paths": (
         "pages",
-        """SELECT page_id, CASE page_id % 9 WHEN 0 THEN 'en/questions.jsonl' WHEN 1 THEN 'results/t' || CAST(page_id AS STRING) || '.csv' WHEN 2 THEN 'ko/answers/m' || CAST(page_id AS STRING) || '.jsonl'
+        """SELECT page_id, CASE page_id % 17 WHEN 0 THEN 'en/questions.jsonl' WHEN 1 THEN 'results/t' || CAST(page_id AS STRING) || '.csv' WHEN 2 THEN 'ko/answers/m' || CAST(page_id AS STRING) || '.jsonl'
         WHEN 3 THEN 'en/judgments/f/j/single_grade/m.jsonl' WHEN 4 THEN 'en/judgments/f/j/pairwise_ref/m.jsonl' WHEN 5 THEN 'README.md' WHEN 6 THEN 'fr/questions.jsonl'
-        WHEN 7 THEN 'results/deep/t.csv' ELSE url END AS path FROM {pages}""",
+        WHEN 7 THEN 'results/deep/t.csv' WHEN 8 THEN 'translation_review/items.csv' WHEN 9 THEN 'translation_review/items.json' WHEN 10 THEN 'ko/judgments/f/j/logs/run.jsonl'
+        WHEN 11 THEN 'en/answers/archive/m.jsonl' WHEN 12 THEN 'en/answers/m.jsonl.bak' WHEN 13 THEN 'ko/judgments/f/j/pairwise/a_vs_b.jsonl' WHEN 14 THEN 'ko/judgments/f/j/single_grade_ref/.jsonl'
+        WHEN 15 THEN 'corrected/ko/questions_v2.jsonl' ELSE url END AS path FROM {pages}""",
     ),
 }
 

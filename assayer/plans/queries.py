@@ -2,52 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions import prompts, text, verdicts
 from assayer.operators import coverage, dedup, gates, judging, merge, metrics, reports, validity
-from assayer.plans.carriers import carrier, oracle
+from assayer.plans.carriers import oracle
+from assayer.plans.registry import Tables, query
 from assayer.schemas import CATEGORIES
 from assayer.sources import jsonl
-from assayer.sources.files import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-class Tables:
-    """Carriers and generic tables by name, for one session and folder."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-
-    def __getitem__(self, name: str) -> DataFrame:
-        return carrier(self.spark, self.sf_dir, name)
-
-    def raw(self, name: str) -> DataFrame:
-        return table(self.spark, self.sf_dir, name)
-
-    @property
-    def single(self) -> DataFrame:
-        return dedup.single(self["j_single"])
-
-    @property
-    def pairs(self) -> DataFrame:
-        return dedup.pairwise(self["j_pair"])
-
-
-def query(name: str, sql: str | None = None):
-    def register(f: Callable[[Tables], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return register
-
 
 # Shared SQL.
 LATEST = "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS rn FROM {source}) WHERE rn = 1"
@@ -94,9 +57,10 @@ def _(t):
     return t["j_single"].select("seq", verdicts.average_score(F.col("score_turn1"), F.col("score_turn2")).alias("avg_score"))
 
 
-@query("turns_nest", oracle("SELECT id, a1 AS first, a2 AS second, 2 AS n FROM qa", "qa"))
+@query("turns_nest", oracle("SELECT id, coalesce(a1, a2) AS first, CASE WHEN a1 IS NOT NULL THEN a2 END AS second, (a1 IS NOT NULL)::INT + (a2 IS NOT NULL)::INT AS n FROM qa", "qa"))
 def _(t):
-    choices = F.array(F.struct(F.lit(0).alias("index"), F.array("a1", "a2").alias("turns")))
+    """A choice holds as many turns as a conversation has answers."""
+    choices = F.array(F.struct(F.lit(0).alias("index"), F.array_compact(F.array("a1", "a2")).alias("turns")))
     turns = verdicts.first_turns(choices)
     return t["qa"].select("id", F.get(turns, F.lit(0)).alias("first"), F.get(turns, F.lit(1)).alias("second"), F.size(turns).alias("n"))
 
@@ -217,17 +181,49 @@ def _(t):
     return t["qa"].select("id", user.alias("content"), F.regexp_count(user, F.lit("<reference")).alias("references"))
 
 
-@query("prompt_pair")
+def _pair_sql(*parts: str) -> str:
+    return f"concat_ws(chr(10) || chr(10), {', '.join(parts)})"
+
+
+def _turns_sql(side: str, first: str, second: str) -> str:
+    return f"concat_ws(chr(10), 'user 1: ' || coalesce(q1, ''), 'Assistant {side} 1: ' || coalesce({first}, ''), 'user 2: ' || coalesce(q2, ''), 'Assistant {side} 2: ' || coalesce({second}, ''))"
+
+
+PAIR_BODY = [BLOCK.format("question", "q1"), BLOCK.format("Assistant A", "a1"), BLOCK.format("Assistant B", "a2")]
+PAIR_TURNS = [_turns_sql("A", "a1", "a2"), _turns_sql("B", "a2", "a1")]
+SYSTEM_SQL = f"CASE WHEN lang = 'ko' THEN '{prompts.COMPARE['ko']}' ELSE '{prompts.COMPARE['en']}' END"
+HAS = "CASE WHEN length(trim({0})) > 0 THEN {1} END"
+PAIR_USERS = {
+    "plain": (SYSTEM_SQL, _pair_sql(*PAIR_BODY)), "steps": (f"{SYSTEM_SQL} || '{prompts.STEPS}'", _pair_sql(*PAIR_BODY)),
+    "reference": (SYSTEM_SQL, _pair_sql(HAS.format("q2", BLOCK.format("reference", "q2")), *PAIR_BODY)),
+    "turns": (SYSTEM_SQL, _pair_sql(*PAIR_TURNS)),
+    "turns_reference": (SYSTEM_SQL, _pair_sql(HAS.format("a1", BLOCK.format("reference 2", "a1")), *PAIR_TURNS)),
+}
+
+
+@query("prompt_pair", oracle("SELECT id, " + ", ".join(f"sha256({system} || chr(0) || {user}) AS {kind}" for kind, (system, user) in PAIR_USERS.items()) + " FROM qa", "qa"))
 def _(t):
     q1, a1, q2, a2, lang = map(F.col, ("q1", "a1", "q2", "a2", "lang"))
     kinds = {"plain": prompts.pair(q1, a1, a2, lang), "steps": prompts.pair(q1, a1, a2, lang, steps=True), "reference": prompts.pair(q1, a1, a2, lang, q2, True),
              "turns": prompts.multi_pair(q1, q2, (a1, a2), (a2, a1), lang), "turns_reference": prompts.multi_pair(q1, q2, (a1, a2), (a2, a1), lang, F.array(F.lit(None), a1))}
-    return t["qa"].select("id", *(F.sha2(F.to_json(c), 256).alias(k) for k, c in kinds.items()))
+    return t["qa"].select("id", *(F.sha2(F.concat_ws("\0", c[0]["content"], c[1]["content"]), 256).alias(k) for k, c in kinds.items()))
+
+
+MOCKED = "CASE WHEN contains({0}, 'Assistant A') AND contains({0}, 'Assistant B') THEN -1 ELSE 7 END::DOUBLE"
 
 
-@query("mock_judge", oracle("SELECT id, 7.0::DOUBLE AS score, 'tie' AS winner FROM qa", "qa"))
+@query(
+    "mock_judge",
+    oracle(
+        f"SELECT id, {MOCKED.format('u')} AS score, 'tie' AS winner FROM (SELECT id, {_pair_sql(BLOCK.format('question', 'q1'), BLOCK.format('answer', 'a1'))} AS u FROM odd)",
+        "qa", odd="SELECT * REPLACE (CASE WHEN id % 3 = 0 THEN 'Assistant A or Assistant B? ' || coalesce(q1, '') WHEN id % 3 = 1 THEN 'Assistant A' ELSE q1 END AS q1) FROM qa",
+    ),
+)
 def _(t):
+    """Some questions name both assistants, so that a grading call looks like a comparison and gets no rating."""
     q1, a1, q2, a2, lang = map(F.col, ("q1", "a1", "q2", "a2", "lang"))
+    k = F.col("id") % 3
+    q1 = F.when(k == 0, F.concat(F.lit("Assistant A or Assistant B? "), F.coalesce(q1, F.lit("")))).when(k == 1, "Assistant A").otherwise(q1)
     rows = t["qa"].withColumns({"messages": prompts.single(q1, a1, lang), "messages_ab": prompts.pair(q1, a1, a2, lang), "messages_ba": prompts.pair(q1, a2, a1, lang), "model_a": F.lit("x"), "model_b": F.lit("y")})
     return judging.compare(judging.grade(rows).drop("error")).select("id", "score", "winner")
 
@@ -287,10 +283,11 @@ def _(t):
 
 
 GAMES = "SELECT *, unnest([model_a, model_b]) AS model_id FROM latest {where}"
-GAIN = "CASE WHEN winner = 'error' THEN NULL WHEN winner = model_id THEN 1.0::DOUBLE WHEN winner IN ('tie', 'inconsistent') THEN 0.5 ELSE 0 END"
+KNOWN = "coalesce(winner IN (model_a, model_b, 'tie', 'inconsistent'), false)"
+GAIN = f"CASE WHEN NOT {KNOWN} THEN NULL WHEN winner = model_id THEN 1.0::DOUBLE WHEN winner IN ('tie', 'inconsistent') THEN 0.5 ELSE 0 END"
 RATES = f"""SELECT lang, judge_id, model_id, {_means(value=GAIN)}, avg({GAIN}) AS overall, count({GAIN}) AS n_games,
 avg(CASE WHEN winner <> 'inconsistent' THEN {GAIN} END) AS overall_consistent_only, count(CASE WHEN winner <> 'inconsistent' THEN {GAIN} END) AS n_consistent_games,
-count(*) AS n_pairs_total, {{expected}} AS n_expected_pairs, count_if(winner = 'inconsistent')::BIGINT AS n_inconsistent, count_if(winner = 'error')::BIGINT AS n_errors,
+count(*) AS n_pairs_total, {{expected}} AS n_expected_pairs, count_if(winner = 'inconsistent')::BIGINT AS n_inconsistent, count_if(NOT {KNOWN})::BIGINT AS n_errors,
 count({GAIN}) / count(*) AS valid_fraction, count(CASE WHEN winner <> 'inconsistent' THEN {GAIN} END) / count(*) AS consistent_fraction FROM games GROUP BY ALL"""
 
 
@@ -299,9 +296,38 @@ def _(t):
     return metrics.win_rates(t.pairs, ["lang", "judge_id"])
 
 
-@query("win_rates_subset", _on_pairs(RATES.format(expected="160::BIGINT"), games=GAMES.format(where="WHERE model_a IN ('m0', 'm1', 'm2') AND model_b IN ('m0', 'm1', 'm2')")))
+SUBSET = ["m0", "m1", "m2", "m9"]
+
+
+@query(
+    "win_rates_subset",
+    _on_pairs(
+        """SELECT lang, judge_id, model_id, * EXCLUDE (lang, judge_id, model_id) REPLACE (coalesce(n_games, 0) AS n_games, coalesce(n_consistent_games, 0) AS n_consistent_games, coalesce(n_pairs_total, 0) AS n_pairs_total,
+        coalesce(n_inconsistent, 0) AS n_inconsistent, coalesce(n_errors, 0) AS n_errors, 240::BIGINT AS n_expected_pairs)
+        FROM (SELECT DISTINCT lang, judge_id, unnest(['m0', 'm1', 'm2', 'm9']) AS model_id FROM latest) LEFT JOIN rates USING (lang, judge_id, model_id)""",
+        games=GAMES.format(where="WHERE model_a IN ('m0', 'm1', 'm2', 'm9') AND model_b IN ('m0', 'm1', 'm2', 'm9')"), rates=RATES.format(expected="count(*)"),
+    ),
+)
 def _(t):
-    return metrics.win_rates(t.pairs, ["lang", "judge_id"], 80, ["m0", "m1", "m2"])
+    """A model without a game has a row; 80 questions against each of the three others are expected."""
+    return metrics.win_rates(t.pairs, ["lang", "judge_id"], 80, SUBSET)
+
+
+ODD_WINNERS = "SELECT * REPLACE (CASE WHEN seq % 5 = 0 THEN NULL WHEN seq % 7 = 0 THEN 'someone' ELSE winner END AS winner) FROM clean"
+
+
+@query(
+    "win_rates_expected",
+    oracle(
+        "SELECT * REPLACE (80 * (SELECT count(DISTINCT model_id) - 1 FROM games g WHERE g.lang = rates.lang AND g.judge_id = rates.judge_id) AS n_expected_pairs) FROM rates",
+        "j_pair", clean=PAIRS, latest=ODD_WINNERS, games=GAMES.format(where=""), rates=RATES.format(expected="count(*)"),
+    ),
+)
+def _(t):
+    """No list of models: those that a group's games name are expected to meet; unknown and null winners are errors."""
+    k = F.col("seq")
+    odd = t.pairs.withColumn("winner", F.when(k % 5 != 0, F.when(k % 7 == 0, "someone").otherwise(F.col("winner"))))
+    return metrics.win_rates(odd, ["lang", "judge_id"], 80)
 
 
 INCONSISTENT = """SELECT *, inconsistent - same_first - same_second AS other, 100.0::DOUBLE * inconsistent / nullif(valid, 0) AS rate_pct, 100.0::DOUBLE * same_first / nullif(inconsistent, 0) AS same_first_pct,
@@ -445,21 +471,30 @@ def _(t):
 )
 def _(t):
     """Every judge and all its records; the expected grid has ten questions that no judge saw."""
-    expected = t["j_single"].select("judge_id").distinct().join(F.broadcast(_grid(t)))  # a list of fixed size for each judge
+    expected = coverage.grid(t["j_single"].select("judge_id").distinct(), _grid(t))
     return coverage.gaps(expected, t["j_single"], "judge_id", "model_id", "question_id")
 
 
 @query(
     "set_equality",
-    oracle("SELECT lang, judge_id, count(DISTINCT model_id) = 6 AND count(DISTINCT question_id) = 80 AS same FROM j_single GROUP BY ALL", "j_single"),
+    oracle(
+        """SELECT lang, judge_id, list_sort(list(DISTINCT model_id)) = ['m0', 'm1', 'm2', 'm3', 'm4', 'm5'] AND list_sort(list(DISTINCT question_id)) = range(81, 161) AS same
+        FROM (SELECT * REPLACE (CASE WHEN judge_id = 'jview' AND question_id = 90 THEN 61 ELSE question_id END AS question_id, CASE WHEN judge_id = 'jerror' AND model_id = 'm5' THEN 'm6' ELSE model_id END AS model_id) FROM j_single) GROUP BY ALL""",
+        "j_single",
+    ),
 )
 def _(t):
-    """Whether a run's models and questions are exactly the expected ones: nothing is missing or unexpected."""
+    """Whether a run's models and questions are exactly the expected ones: nothing is missing or unexpected.
+
+    One judge has another question and one another model instead, so that numbers alone would not tell.
+    """
     j = t["j_single"]
+    j = j.withColumns({"question_id": F.when((F.col("judge_id") == "jview") & (F.col("question_id") == 90), 61).otherwise(F.col("question_id")),
+                       "model_id": F.when((F.col("judge_id") == "jerror") & (F.col("model_id") == "m5"), "m6").otherwise(F.col("model_id"))})
     runs = j.select("lang", "judge_id").distinct()
     checks = []
     for item, expected in (("model_id", _grid(t).select("model_id").distinct()), ("question_id", _grid(t).where("question_id <= 160").select("question_id").distinct())):
-        state = coverage.gaps(runs.join(F.broadcast(expected)), j, "lang", "judge_id", item)  # a list of fixed size for each run
+        state = coverage.gaps(coverage.grid(runs, expected), j, "lang", "judge_id", item)
         checks.append(state.select("lang", "judge_id", "state"))
     return checks[0].unionByName(checks[1]).groupBy("lang", "judge_id").agg((F.count_if(F.col("state") != "met") == 0).alias("same"))
 
@@ -593,9 +628,15 @@ def _(t):
     return coverage.manifest_diff(recorded, actual)
 
 
-@query("path_allowlist", oracle("SELECT page_id, page_id % 9 IN (0, 1, 2, 3) AS published FROM paths", "paths"))
+@query(
+    "path_allowlist",
+    oracle(
+        r"""SELECT page_id, path, regexp_full_match(path, '(results|translation_review)/[^/]+\.csv|(en|ko)/questions\.jsonl|(en|ko)/answers/[^/]+\.jsonl|(en|ko)/judgments/[^/]+/[^/]+/(pairwise|pairwise_ref|single_grade|single_grade_ref)/[^/]+\.jsonl') AS published FROM paths""",
+        "paths",
+    ),
+)
 def _(t):
-    return t["paths"].select("page_id", coverage.published(F.col("path")).alias("published"))
+    return t["paths"].select("page_id", "path", coverage.published(F.col("path")).alias("published"))
 
 
 @query("preview_ids", oracle("SELECT category, array_to_string(list_sort(list(id))[1:10], ',') AS ids FROM review GROUP BY category", "review"))

@@ -10,6 +10,7 @@ REFERENCE_CATEGORIES = ("math", "reasoning", "coding")
 LANGUAGES = ("en", "ko")
 VERDICTS = ("A", "B", "tie", "error")
 PROTOCOLS = ("single_grade", "pairwise", "single_grade_ref")
+PUBLISHED_PROTOCOLS = ("pairwise", "pairwise_ref", "single_grade", "single_grade_ref")
 EXPECTED_RECORDS = {"single_grade": 480, "pairwise": 1200, "single_grade_ref": 174}
 CALLS_PER_RECORD = {"single_grade": 2, "pairwise": 2, "single_grade_ref": 1}
 

@@ -4,32 +4,39 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.functions.verdicts import strip
+from assayer.schemas import QUESTION
 
 
 def _fail(name: str):
     raise ValueError(name)
 
 
-def line_error(line: str) -> str | None:
-    """Why a line is refused: not JSON, trailing text, a bare NaN or Infinity, or no object."""
+def line_error(line: str, nan: bool = False) -> str | None:
+    """Why a line is refused: not JSON, trailing text, a bare NaN or Infinity (unless ``nan``), or no object."""
     try:
-        value = json.loads(line, parse_constant=_fail)
+        value = json.loads(line) if nan else json.loads(line, parse_constant=_fail)
     except (ValueError, RecursionError) as e:
         return f"{type(e).__name__}: {e}"
     return None if isinstance(value, dict) else "not an object"
 
 
-def _errors(lines: pd.Series) -> pd.Series:
-    return lines.map(line_error, na_action="ignore")
+def is_object(text: Column) -> Column:
+    """Whether the text is one JSON object and nothing else, as Spark's parser has it (which also refuses repeated names).
+
+    The parser stops behind a value. Text behind it cannot close a list and an object alike, so both are tried.
+    """
+    listed, named = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.coalesce(listed.isNotNull() & named.isNotNull() & F.startswith(F.schema_of_variant(F.try_parse_json(text)), F.lit("OBJECT")), F.lit(False))
 
 
-def check(line: str) -> Column:
-    return F.pandas_udf(_errors, "string")(line)
+def check(line: str, nan: bool = False) -> Column:
+    """The reason for which a line is refused, or null. Only lines that Spark's parser does not take go to Python."""
+    reasons = F.pandas_udf(lambda lines: lines.map(lambda x: line_error(x, nan), na_action="ignore"), "string")
+    return reasons(F.when(~is_object(F.col(line)), F.col(line)))
 
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -45,13 +52,14 @@ def content(df: DataFrame, comments: bool = True) -> DataFrame:
     return df.where((own != "") & (~F.startswith(own, F.lit("#")) if comments else F.lit(True)))
 
 
-def parse(df: DataFrame, schema: str, required: tuple[str, ...] = ()) -> DataFrame:
+def parse(df: DataFrame, schema: str, required: tuple[str, ...] = (), nan: bool = False) -> DataFrame:
     """Adds the record's columns and ``reject`` (null for a good line).
 
     A value of another type than its column's, or a required field that is missing, also rejects a line.
+    ``nan`` admits bare NaN and Infinity.
     """
-    mode = {"mode": "PERMISSIVE", "allowNonNumericNumbers": "false", "columnNameOfCorruptRecord": "_bad"}
-    rows = df.withColumn("_r", F.from_json("line", f"{schema}, _bad string", mode)).withColumn("reject", check("line"))
+    mode = {"mode": "PERMISSIVE", "allowNonNumericNumbers": str(nan).lower(), "columnNameOfCorruptRecord": "_bad"}
+    rows = df.withColumn("_r", F.from_json("line", f"{schema}, _bad string", mode)).withColumn("reject", check("line", nan))
     loose = F.when(F.col("_r._bad").isNotNull() | F.col("_r").isNull(), F.lit("types"))
     for name in required:
         loose = F.coalesce(loose, F.when(F.col(f"_r.{name}").isNull(), F.lit(f"missing {name}")))
@@ -59,13 +67,61 @@ def parse(df: DataFrame, schema: str, required: tuple[str, ...] = ()) -> DataFra
     return rows.select(*df.columns, "_r.*", "reject").drop("_bad")
 
 
-def read(spark: SparkSession, path: str | list[str], schema: str, required: tuple[str, ...] = ()) -> DataFrame:
-    """Good records with file and seq; raises if any line is refused."""
-    from assayer.operators.gates import require_none
+def refused(spark: SparkSession, path: str | list[str], schema: str, required: tuple[str, ...] = (), **options) -> DataFrame:
+    """(file, line, reject) of lines that ``read`` would not take."""
+    rows = parse(content(lines(spark, path), options.pop("comments", True)), schema, required, **options)
+    return rows.where("reject is not null").select("file", "line", "reject")
+
+
+def read(spark: SparkSession, path: str | list[str], schema: str, required: tuple[str, ...] = (), comments: bool = True, nan: bool = False) -> DataFrame:
+    """Records with file and seq, in one pass: any job over them fails at a line that is refused, and names it.
+
+    ``comments``: whether lines that begin with # are skipped; ``nan``: whether bare NaN and Infinity are admitted.
+    """
+    rows = parse(content(lines(spark, path), comments), schema, required, nan)
+    said = F.concat(F.lit("refused line in "), "file", F.lit(": "), "reject", F.lit(": "), F.left("line", F.lit(200)))
+    return rows.where(F.when(F.col("reject").isNull(), True).otherwise(F.raise_error(said).cast("boolean"))).drop("reject", "line")
+
+
+def questions(spark: SparkSession, path: str) -> DataFrame:
+    """Questions in the order of their ids; raises at one that breaks a rule or repeats an id."""
+    from assayer.operators.gates import duplicate_keys, question_rules, require_none, violations
+
+    found = read(spark, path, QUESTION, ("question_id", "turns"))
+    require_none(violations(found, question_rules()).select("file", "question_id", "reason"), "invalid questions")
+    require_none(duplicate_keys(found, "question_id"), "repeated question_id")
+    return found.select("question_id", "category", "turns", "reference").orderBy("question_id")
 
-    rows = parse(content(lines(spark, path)), schema, required)
-    require_none(rows.where("reject is not null").select("file", "line", "reject"), "refused lines")
-    return rows.where("reject is null").drop("reject", "line")
+
+def judgments(spark: SparkSession, root: str, protocol: str, schema: str, required: tuple[str, ...] = ("question_id",)) -> DataFrame:
+    """All records of a protocol below ``root/{lang}/judgments/{family}/{judge}``, with path columns and ``seq``.
+
+    Files of a folder are one table: models are those that records name, not file names.
+    """
+    return with_path_columns(read(spark, f"{root}/*/judgments/*/*/{protocol}/*.jsonl", schema, required))
+
+
+def stems(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the .jsonl files of a folder without their ending, in order; none if there is no such folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(at, "*.jsonl"))
+    return sorted(f.getPath().getName().removesuffix(".jsonl") for f in found or ())
+
+
+def write(df: DataFrame, path: str, mode: str = "errorifexists") -> int:
+    """One JSON object a line, nulls written out, other scripts as they are; ``mode`` append adds files. Returns the number of rows.
+
+    The job fails at a number that JSON does not have.
+    """
+    numbers = [f.name for f in df.schema if f.dataType.simpleString() in ("float", "double")]
+    odd = F.lit(False)
+    for c in numbers:
+        odd = odd | F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(False))
+    checked = df.where(F.when(odd, F.raise_error(F.lit("a number that is no JSON")).cast("boolean")).otherwise(True)) if numbers else df
+    seen = Observation()
+    checked.observe(seen, F.count("*").alias("n")).write.mode(mode).option("ignoreNullFields", "false").json(path)
+    return seen.get["n"]
 
 
 def with_path_columns(df: DataFrame) -> DataFrame:

@@ -7,13 +7,14 @@ import math
 from collections import Counter
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from assayer import schemas
 from assayer.functions import text, verdicts
-from assayer.operators import coverage, dedup, gates, judging, merge, metrics, sinks, validity
+from assayer.operators import coverage, dedup, gates, judging, merge, metrics, published, sinks, validity
 from assayer.sources import files, jsonl
-from assayer.streaming.merge import merge_stream
+from assayer.streaming.merge import merge_batch, merge_stream
 
 
 def values(spark, rows, schema, *columns):
@@ -120,8 +121,21 @@ def test_strict_lines(spark, tmp_path):
     assert [r["question_id"] for r in rows] == [81, 82, 83]
     for bad in ("not-json", '{"question_id": NaN}', json.dumps(good) + " x", json.dumps({"category": "x"}), '{"question_id": true, "turns": []}', "[1]"):
         (tmp_path / "model-a.jsonl").write_text(bad)
-        with pytest.raises(gates.GateError):
-            jsonl.read(spark, str(tmp_path / "model-a.jsonl"), schemas.QUESTION, ("question_id", "turns"))
+        with pytest.raises(PySparkException, match="refused line in .*model-a.jsonl"):
+            jsonl.read(spark, str(tmp_path / "model-a.jsonl"), schemas.QUESTION, ("question_id", "turns")).count()
+        assert jsonl.refused(spark, str(tmp_path / "model-a.jsonl"), schemas.QUESTION, ("question_id", "turns")).count() == 1
+
+
+def test_lines_that_two_parsers_take_alike(spark):
+    """What goes to Python is what Spark's parser refuses; both together say what Python alone says."""
+    cases = ['{"k": 1}', '  {"k": 1} ', '{"k": NaN}', '{"k": -Infinity}', '{"k":1} x', '{"k":1}{"k":2}', '{"k":1}] [', '{"k":1}} {', '{"k":1},{"k":2}', '{"k":1}, "b"', '{"k":1}, "b":1', '{"a":1,"a":2}', "[1]", '"s"', "null", "",
+             '{"k":1,}', "{'k':1}", '{"k":01}', '{"k":1e400}', '{"k":"\\ud800"}', '{"k":"a\tb"}', "{k:1}", '{"k": {"v": [1, {}]}}', "{}", '{"k": ' + "[" * 1100 + "]" * 1100 + "}", "// c", '{"k":1}//']
+    df = spark.createDataFrame([(k, c) for k, c in enumerate(cases)], "id long, line string")
+    for nan in (False, True):
+        got = {r["id"]: r["why"] for r in df.select("id", jsonl.check("line", nan).alias("why")).collect()}
+        assert got == {k: jsonl.line_error(c, nan) for k, c in enumerate(cases)}
+    taken = {r["id"] for r in df.where(jsonl.is_object(F.col("line"))).collect()}
+    assert all(jsonl.line_error(cases[k]) is None for k in taken) and len(taken) >= 6
 
 
 def test_verdicts_of_validity():
@@ -137,6 +151,17 @@ def test_verdicts_of_validity():
         assert validity.verdict_of(bad)["semantic_preservation"] == -1
 
 
+def test_verdicts_as_columns(spark):
+    body = dict.fromkeys(validity.SCORES, 4) | {"issue_summary": "s" * 400, "needs_manual_check": False}
+    whole = json.dumps(body)
+    cases = [whole, f"```json\n{whole}\n```", f"```\n{whole}```", f" \u3000{whole}\n", "", None, "so: " + whole, "[]", whole + " x", whole + "}", f"```{whole}", json.dumps(body | {"more": 1})]
+    cases += [json.dumps(body | {"overall_score": x}) for x in (True, 0, 1, 3, 5, 6, 4.0, "4", None)] + [json.dumps(body | {"constraint_preservation": 2, "needs_manual_check": True})]
+    cases += [json.dumps(body | {"needs_manual_check": "false"}), json.dumps(body | {"issue_summary": 1}), json.dumps({k: v for k, v in body.items() if k != "overall_score"}), whole[:-1] + ', "overall_score": 2}']
+    df = spark.createDataFrame([(k, c) for k, c in enumerate(cases)], "id long, r string")
+    got = {r["id"]: r["v"].asDict() for r in df.select("id", validity.parse_verdict(F.col("r")).alias("v")).collect()}
+    assert got == {k: {c: v for c, v in validity.verdict_of(r).items()} for k, r in enumerate(cases)}
+
+
 def test_calls_retry_and_carry_errors(spark):
     waits, tries = [], []
 
@@ -156,19 +181,50 @@ def test_calls_retry_and_carry_errors(spark):
 
 def test_publish_replaces_what_it_was_made_from(spark, tmp_path):
     at = str(tmp_path / "rows")
-    merge.publish(spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string"), at, "parquet")
-    merge.publish(merge.upsert(spark.read.parquet(at), spark.createDataFrame([(2, "c"), (3, "d")], "id long, v string"), "id"), at, "parquet")
-    assert sorted(map(tuple, spark.read.parquet(at).collect())) == [(1, "a"), (2, "c"), (3, "d")]
-    assert [p.name for p in tmp_path.iterdir()] == ["rows"]
+    assert not published.exists(spark, at)
+    for k in range(4):
+        now = spark.createDataFrame([(2, f"c{k}"), (3 + k, "d")], "id long, v string")
+        published.publish(merge.upsert(published.read(spark, at), now, "id") if k else now, at, "parquet", ("id",))
+    assert [tuple(r) for r in published.read(spark, at).collect()] == [(2, "c3"), (3, "d"), (4, "d"), (5, "d"), (6, "d")]
+    assert len(list((tmp_path / "rows" / "data").iterdir())) == 2  # the version before stays for its readers
+
+
+def test_a_writer_that_dies_loses_nothing(spark, tmp_path, monkeypatch):
+    at, schema = str(tmp_path / "rows"), "seq long, id long, v string"
+    merge_batch(spark.range(100).selectExpr("id as seq", "id", "'old' as v"), at, ["id"], parts=4)
+    batch = spark.createDataFrame([(k, 95 + k, "new") for k in range(10)], schema)
+
+    def dies(*_):
+        raise OSError("gone")
+
+    monkeypatch.setattr(published, "commit", dies)
+    with pytest.raises(OSError):
+        merge_batch(batch, at, ["id"])
+    monkeypatch.undo()
+    assert published.read(spark, at).where("v = 'old'").count() == published.read(spark, at).count() == 100
+    for _ in range(2):  # run again, and once more as after a restart
+        merge_batch(batch, at, ["id"])
+        rows = {r["id"]: r["v"] for r in published.read(spark, at).collect()}
+        assert len(rows) == 105 and {rows[k] for k in range(95)} == {"old"} and {rows[k] for k in range(95, 105)} == {"new"}
+
+
+def test_batches_write_only_the_parts_they_touch(spark, tmp_path):
+    at = str(tmp_path / "rows")
+    merge_batch(spark.range(1000).selectExpr("id as seq", "id", "'old' as v"), at, ["id"], parts=16)
+    before = published.parts(spark, at)
+    merge_batch(spark.createDataFrame([(1, 7, "new"), (0, 7, "older")], "seq long, id long, v string"), at, ["id"], parts=99)
+    after = published.parts(spark, at)
+    assert len(before) == len(after) == 16 and sum(before[k] != after[k] for k in before) == 1
+    assert published.read(spark, at).where("v <> 'old'").select("id", "v").collect() == [(7, "new")] and published.read(spark, at).count() == 1000
 
 
 def test_stream_of_upserts(spark, tmp_path):
     source = tmp_path / "in"
-    for k, rows in enumerate([[(1, 1, "a"), (2, 2, "b"), (3, 1, "c")], [(4, 2, "d"), (5, 9, "e")]]):
+    for rows in [[(1, 1, "a"), (2, 2, "b"), (3, 1, "c")], [(4, 2, "d"), (5, 9, "e")]]:
         spark.createDataFrame(rows, "seq long, id long, v string").coalesce(1).write.mode("append").parquet(str(source))
         stream = spark.readStream.schema("seq long, id long, v string").parquet(str(source))
-        merge_stream(stream, str(tmp_path / "out"), ["id"], str(tmp_path / "checkpoint")).awaitTermination()
-    assert sorted((r["id"], r["v"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, "c"), (2, "d"), (9, "e")]
+        merge_stream(stream, str(tmp_path / "out"), ["id"], str(tmp_path / "checkpoint"), parts=4).awaitTermination()
+    assert sorted((r["id"], r["v"]) for r in published.read(spark, str(tmp_path / "out")).collect()) == [(1, "c"), (2, "d"), (9, "e")]
 
 
 def test_report_files(tmp_path):
@@ -184,12 +240,12 @@ def test_report_files(tmp_path):
 def test_csv_and_digests(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id,text\n1,"two\nlines ""quoted"""\n')
     assert [tuple(r) for r in files.csv(spark, str(tmp_path / "a.csv")).collect()] == [("1", 'two\nlines "quoted"')]
-    assert sinks.manifest_lines(files.digests(spark, str(tmp_path)))[0].endswith("a.csv")
+    assert sinks.manifest_lines(files.digests(spark, str(tmp_path)))[0].endswith("  a.csv")
 
 
 def test_secrets_in_whole_documents(spark, tmp_path):
     """Each form is found wherever a text holds it, in rows of any id; forms that fall short are not."""
-    from assayer.plans.queries import QUERIES
+    from assayer.plans.catalog import QUERIES
 
     long = "word " * 20_000
     cases = [("x sk-" + "a1" * 16 + " y", "provider_key"), ("ghp_" + "Zz" * 10, "forge_token"), ("AKIA" + "Q7" * 8, "cloud_key"), ("hf_" + "b" * 29, ""), ("hf_" + "b" * 30, "hub_token"), ("plain", ""), ("", ""), (None, "")]
@@ -217,7 +273,7 @@ def test_answers_and_pairs_with_gaps(spark, sf_dir):
     observed = spark.createDataFrame([("j", "m0", 1), ("k", "m0", 2)], "judge_id string, model_id string, question_id long")
     assert sorted(map(tuple, coverage.gaps(expected, observed, *keys).collect())) == [("j", "m0", 1, "met"), ("k", "m0", 1, "missing"), ("k", "m0", 2, "unexpected")]
 
-    from assayer.plans.queries import QUERIES
+    from assayer.plans.catalog import QUERIES
 
     j = QUERIES["dedup_single"](spark, sf_dir).collect()
     assert sum(r["state"] == "met" for r in QUERIES["join_qa_all"](spark, sf_dir).collect()) == len(j)

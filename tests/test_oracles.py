@@ -7,7 +7,7 @@ import math
 import duckdb
 import pytest
 
-from assayer.plans.queries import ORACLES, QUERIES
+from assayer.plans.catalog import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
