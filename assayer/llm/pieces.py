@@ -82,6 +82,9 @@ class Model:
         self.types = np.array([p.type for p in proto.pieces])
         self.pieces = [p.piece for p in proto.pieces]
         self.unknown = proto.trainer_spec.unk_surface
+        # Symbols that the model's maker added stand as they are: the map does not reach into them.
+        own = sorted((p.piece.encode() for p in proto.pieces if p.type == kind.USER_DEFINED), key=len, reverse=True)
+        self.fixed = re.compile(b"|".join(map(re.escape, own))) if own else None
         self.byte_type, self.unknown_type = kind.BYTE, kind.UNKNOWN
         long = {c for p in proto.pieces if p.type in (kind.NORMAL, kind.USER_DEFINED) and len(p.piece) > 1 for c in p.piece[1:]}
         marked = any(MARK in p.piece.lstrip(MARK) for p in proto.pieces if p.type != kind.CONTROL)
@@ -99,7 +102,9 @@ class Model:
         data = text.encode()
         out, at, i = [], [], 0
         while i < len(data):
-            if hit := self.map.longest(data, i):
+            if self.fixed and (symbol := self.fixed.match(data, i)):
+                size, new = len(symbol[0]), symbol[0].decode()
+            elif hit := self.map.longest(data, i):
                 size, new = hit
             else:
                 size = 1 + (data[i] >= 0xC0) + (data[i] >= 0xE0) + (data[i] >= 0xF0)
@@ -109,7 +114,7 @@ class Model:
             i += size
         if self.squeeze:
             keep = [k for k, c in enumerate(out) if c != " " or (k and out[k - 1] != " ")]
-            while keep and out[keep[-1]] == " ":
+            while keep and (out[keep[-1]] == " " or self.escape and out[keep[-1]] == MARK):  # by then spaces are marks
                 keep.pop()
             end = len(data) if not keep else (at[keep[-1] + 1] if keep[-1] + 1 < len(at) else len(data))
             out, at = [out[k] for k in keep], [at[k] for k in keep]
@@ -154,9 +159,16 @@ class Model:
         ]
         return b"".join(parts).decode(errors="replace")
 
-    def decode(self, surfaces: list[str]) -> str:
-        text = "".join(surfaces)
-        return text[1:] if self.dummy and text[:1] == " " else text
+    def decode(self, surfaces: list[str], ids: np.ndarray) -> str:
+        """Without the mark that begins the text; where spaces are squeezed, without one of each piece before its first letter."""
+        dropped = 0
+        for i in ids if self.dummy or self.squeeze else ():
+            if self.pieces[i][:1] != MARK:
+                break
+            dropped += 1
+            if not self.squeeze or len(self.pieces[i]) > 1:
+                break
+        return "".join(surfaces)[dropped:]
 
 
 def encode_batches(batches: Iterator[pa.RecordBatch], blob: bytes, key: str, text: str) -> Iterator[pa.RecordBatch]:
@@ -168,7 +180,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], blob: bytes, key: str, tex
         if not cache._codes:
             surfaces.clear()
         texts = W.plain(batch.column(text)).to_pylist()
-        plain = not model.map and not model.squeeze and model.escape
+        plain = not model.map and not model.fixed and not model.squeeze and model.escape
         codes, aligned = [], []
         for t in texts:
             if plain and MARK not in t:
@@ -196,7 +208,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], blob: bytes, key: str, tex
                 begins[mine], ends[mine] = at[upto - rows[mine, 1]], at[np.minimum(upto, len(at) - 1)]
         begins = np.maximum(begins, 0)
         offsets = pa.array(pieces_at.astype(np.int32))
-        decoded = [model.decode([surfaces[c] for c in own.tolist()]) for own in codes]
+        decoded = [model.decode([surfaces[c] for c in own.tolist()], rows[pieces_at[k] : pieces_at[k + 1], 0]) for k, own in enumerate(codes)]
         lists = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(v, np.int32))) for v in (rows[:, 0], begins, ends)]
         yield pa.RecordBatch.from_arrays([batch.column(key), *lists, pa.array(decoded, pa.string())], [key, "ids", "begins", "ends", "decoded"])
 
@@ -204,7 +216,8 @@ def encode_batches(batches: Iterator[pa.RecordBatch], blob: bytes, key: str, tex
 def encode(df: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``df``: key, ids, begins, ends (source bytes of each piece), decoded.
 
-    Null text counts as empty and gives empty lists. Bytes of a character that is spelled in byte
+    Null text counts as empty and gives empty lists; repeated rows and rows without a key are encoded each for
+    itself, and an empty table gives no rows. Symbols that a model defines by hand stand as they are. Bytes of a character that is spelled in byte
     pieces belong to its last piece; the dummy prefix has no source. Other columns are left out, so
     none can clash. Texts are taken whole; memory follows the longest one and a bounded cache.
     """

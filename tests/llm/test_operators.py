@@ -159,6 +159,47 @@ def test_sentencepiece_alignment_through_a_character_map(spark):
     assert at.tolist() == [0, 0, 1, 1, 2, 3, 4, 5, 5, 6]
 
 
+COMPATIBLE = ["ﬁne ½ Ａ１２３ ｱｲｳ ｶﾞ", "①②③ ㎏ ㌔ ℡ ™ ﷺ", "e\u0301 o\u0308 Å Å İ ẞ Σς", "a\u00a0b\u3000c\u200bd\tx\n\ny", "  lead  and   trail  ", "", " ", "<sep>ＡＢ<sep> ｱ<sep", "ＡＢＣ hello<sep>ﬁ",
+              "\ufb03 office Ⅻ ﹏ … ‥", "한글 각", "ẛ̣ ﬅ", "🙂👍🏽 x", "x" * 300 + "ﬁ" * 50, "▁ mark ▁▁ ½▁"]
+
+
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nmt_nfkc_cf", "nfkc"])
+@pytest.mark.parametrize("squeeze,dummy", [(False, True), (True, True), (True, False), (False, False)])
+def test_sentencepiece_with_compiled_maps(rule, squeeze, dummy):
+    """The library's own compiled maps, and symbols defined by hand, in front of the given pieces: ids, text and surfaces as the library's."""
+    import pyarrow as pa
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    norm, model = pb.ModelProto(), pb.ModelProto()
+    norm.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+    with open(tokenizers_at.path("piece_bpe_32k.model"), "rb") as f:
+        model.ParseFromString(f.read())
+    model.normalizer_spec.precompiled_charsmap = norm.normalizer_spec.precompiled_charsmap
+    model.normalizer_spec.remove_extra_whitespaces, model.normalizer_spec.add_dummy_prefix = squeeze, dummy
+    for symbol in ("<sep>", "ＡＢ"):
+        model.pieces.add(piece=symbol, score=0.0, type=pb.ModelProto.SentencePiece.USER_DEFINED)
+    blob = model.SerializeToString()
+    library = sentencepiece.SentencePieceProcessor(model_proto=blob)
+    rows = pa.RecordBatch.from_pydict({"id": list(range(len(COMPATIBLE))), "text": COMPATIBLE})
+    got = next(pieces.encode_batches(iter([rows]), blob, "id", "text")).to_pylist()
+    for text, r in zip(COMPATIBLE, got, strict=True):
+        said = library.encode(text, return_type="proto")
+        assert r["ids"] == [p.id for p in said.pieces], text
+        assert r["decoded"] == library.decode(r["ids"]), text
+        assert all(a <= b for a, b in zip(r["ends"], r["ends"][1:], strict=False))
+        if not squeeze:  # a surface of spaces that were taken away is the library's choice
+            own = [text.encode()[a:b].decode(errors="ignore") for a, b in zip(r["begins"], r["ends"], strict=True)]
+            assert "".join(own) == "".join(p.surface for p in said.pieces), text
+
+
+def test_sentencepiece_of_empty_and_repeated_rows(spark, empty):
+    path = tokenizers_at.path("piece_bpe_32k.model")
+    assert pieces.encode(empty, path).count() == 0
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (None, None)], "doc_id long, text string")
+    assert sorted(len(r["ids"]) for r in pieces.encode(df, path).collect()) == [0, 2, 2, 2]
+
+
 def test_quality_counts(texts):
     got = {r["doc_id"]: tuple(r[c] for c in quality_rules.COUNTS[:5]) for r in quality_rules.text_statistics(texts).collect()}
     assert got == {i: brute.text_counts(t) for i, t in pairs(texts)}
