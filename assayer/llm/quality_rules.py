@@ -191,10 +191,12 @@ def decide(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "t
 
     The list is learnt on at most ``max_labelled`` labelled rows, those whose hashed key is smallest;
     label 0 means reject, null labels are left out. Without labels all that passes the base is kept.
+    Null texts count as empty, so they fail the base. Repeated rows and rows without a key are judged each for
+    itself; all rows of a labelled key teach. Other columns are left out; an empty table gives no rows.
     """
     stats = features(materialize(text_statistics(df, key, text))).withColumn("base_failed", base_failed())
     chosen = labels.where(F.col(label).isNotNull()).select(key, label).orderBy(F.xxhash64(key), key).limit(max_labelled)
-    rows = stats.join(F.broadcast(chosen), key).where("not base_failed").select(*FEATURES, label).toPandas()  # at most max_labelled rows were sent
+    rows = stats.join(F.broadcast(chosen), key).where("not base_failed").select(*FEATURES, label).orderBy(*FEATURES, label).toPandas()  # at most max_labelled rows of labels were sent
     rules = learn(rows[FEATURES].to_numpy(float), (rows[label] == 0).to_numpy())
     return stats.withColumn("kept", ~F.col("base_failed") & verdict(rules, FEATURES))
 
