@@ -74,6 +74,11 @@ def truncated(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("..."))).otherwise(text)
 
 
+def truncated_messages(messages: Column, most: int) -> Column:
+    """A list of messages (role, content) with contents cut for a log."""
+    return F.transform(messages, lambda m: F.struct(m["role"].alias("role"), truncated(m["content"], most).alias("content")))
+
+
 def fingerprint(**parts: Column) -> Column:
     """SHA-256 of compact JSON with keys in order and nulls written out."""
     ordered = F.struct(*(parts[k].alias(k) for k in sorted(parts)))

@@ -73,6 +73,20 @@ def category_census(df: DataFrame, expected: DataFrame) -> DataFrame:
     return own.join(expected, "category", "full_outer").select("category", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("expected", F.lit(0)).alias("expected"))
 
 
+def require_questions(df: DataFrame, expected: int = 80, turns: int = 2) -> None:
+    """Raises unless there are exactly so many questions, each once and with so many turns."""
+    require_none(duplicate_keys(df, "question_id"), "repeated question_id")
+    require_none(df.where(F.coalesce(F.size("turns"), F.lit(-1)) != turns).select("question_id"), f"questions need exactly {turns} turns")
+    found = df.count()
+    if found != expected:
+        raise GateError(f"exactly {expected} questions are needed, not {found}")
+
+
+def require_complete(reasons: DataFrame) -> None:
+    """Raises if a table of incomplete units (``merge.incomplete``) has a row."""
+    require_none(reasons.orderBy(*reasons.columns), "incomplete units")
+
+
 def set_fingerprints(df: DataFrame, group: str, item: str) -> DataFrame:
     """(group, n, digest): equal sets have equal digests; sums of hashes, so no set is gathered."""
     own = df.select(group, item).distinct()

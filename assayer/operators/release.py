@@ -166,3 +166,18 @@ def translation_faults(original: DataFrame, translated: DataFrame) -> DataFrame:
     ]
     each = F.array_compact(F.array(*(F.when(broken, F.struct(F.lit(s).alias("severity"), F.lit(n).alias("fault"))) for s, n, broken in rules)))
     return both.select("question_id", F.explode(each).alias("f")).select("question_id", "f.*").distinct().unionByName(repeated)
+
+
+def preparation_faults(recorded: DataFrame, actual: DataFrame, facts: dict[str, str], found: dict[str, str]) -> DataFrame:
+    """(kind, name, fault) where a machine differs from the record of its preparation.
+
+    Files are (path, size, digest); ``facts`` are recorded versions of packages, revisions and the like.
+    """
+    r, a = (df.select("path", F.col("size").alias(f"size_{k}"), F.col("digest").alias(f"digest_{k}")) for k, df in (("r", recorded), ("a", actual)))
+    fault = (
+        F.when(F.col("digest_a").isNull(), "missing").when(F.col("digest_r").isNull(), "not recorded")
+        .when(F.col("size_r") != F.col("size_a"), "size").when(F.col("digest_r") != F.col("digest_a"), "digest")
+    )
+    files = r.join(a, "path", "full_outer").select(F.lit("file").alias("kind"), F.col("path").alias("name"), fault.alias("fault")).where("fault is not null")
+    odd = [("fact", k, "missing" if k not in found else "other value") for k, v in sorted(facts.items()) if found.get(k) != v]
+    return files.unionByName(recorded.sparkSession.createDataFrame(odd, "kind string, name string, fault string"))

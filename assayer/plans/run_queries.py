@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions import fingerprints, prompts
+from assayer.functions import fingerprints, prompts, text
 from assayer.operators import coverage, merge, metrics, protocols, release, resume
 from assayer.plans.carriers import oracle
 from assayer.plans.queries import BLOCK, CALLS, FAILURES, PAIRS, SINGLE, TRANSCRIPT
@@ -287,3 +287,27 @@ def _(t):
 def _(t):
     q = t["questions"].select("question_id", "category", F.when(F.col("ref1").isNotNull(), F.array("ref1", "ref2")).alias("reference"))
     return protocols.with_references(q).select("question_id", "category")
+
+
+@query(
+    "preparation_faults",
+    """SELECT 'file' AS kind, url || CAST(page_id AS VARCHAR) AS name, CASE WHEN page_id % 5 = 0 THEN 'missing' WHEN page_id % 7 = 0 THEN 'not recorded' WHEN page_id % 3 = 0 THEN 'size' ELSE 'digest' END AS fault
+    FROM pages WHERE (page_id % 5 = 0) <> (page_id % 7 = 0) OR page_id % 5 <> 0 AND page_id % 7 <> 0 AND (page_id % 3 = 0 OR page_id % 11 = 0)
+    UNION ALL SELECT 'fact', 'b', 'other value' UNION ALL SELECT 'fact', 'c', 'missing'""",
+)
+def _(t):
+    k = F.col("page_id")
+    own = t.raw("pages").select("page_id", F.concat("url", k.cast("string")).alias("path"), F.octet_length("html").alias("size"), F.sha2("html", 256).alias("digest"))
+    actual = own.where("page_id % 5 <> 0").withColumns({"size": F.when(k % 3 == 0, F.col("size") + 1).otherwise(F.col("size")), "digest": F.when(k % 11 == 0, "other").otherwise(F.col("digest"))})
+    return release.preparation_faults(own.where("page_id % 7 <> 0"), actual, {"a": "1", "b": "2", "c": "3"}, {"a": "1", "b": "9", "d": "4"})
+
+
+@query(
+    "truncate_messages",
+    "SELECT conv_id, array_to_string(list(role || ': ' || CASE WHEN length(text) > 40 THEN substr(text, 1, 40) || '...' ELSE text END ORDER BY turn), chr(10)) AS log FROM conversations GROUP BY conv_id",
+)
+def _(t):
+    """The messages of one conversation are a few; they are gathered, cut and written as a log has them."""
+    own = t.raw("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
+    cut = text.truncated_messages(F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))), 40)
+    return own.select("conv_id", F.array_join(F.transform(cut, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n").alias("log"))

@@ -221,3 +221,13 @@ def test_golden_cells_and_answers(spark, answers, questions):
     named = answers.selectExpr("*", "'en' as lang", "model_id as file_name")
     checks = {r["name"]: r["ok"] for r in release.answer_checks(named, questions.selectExpr("*", "'en' as lang"), ["m0", "m1", "m2"]).collect()}
     assert checks == {"models": True, "ids": False, "records": True}
+
+
+def test_exact_numbers_of_questions(spark, questions):
+    gates.require_questions(questions, 3)
+    for odd, said in ((questions.limit(2), "exactly 3"), (questions.unionByName(questions.limit(1)), "repeated"), (questions.withColumn("turns", F.array(F.lit("one"))), "exactly 2 turns")):
+        with pytest.raises(gates.GateError, match=said):
+            gates.require_questions(odd, 3)
+    gates.require_complete(questions.where("false"))
+    with pytest.raises(gates.GateError, match="3 rows"):
+        gates.require_complete(questions.select("question_id"))
