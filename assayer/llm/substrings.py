@@ -14,10 +14,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructType
 
 from assayer.llm import pages as P
 from assayer.llm import words as W
-from assayer.llm.tables import read
+from assayer.llm.tables import read, schema_of
 
 
 class _Page:
@@ -49,15 +50,16 @@ def _least(values: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 13, carry: list[str] | None = None) -> DataFrame:
-    """Key, n_words, n_removed, kept (the words that stay, joined by one space) and the columns to carry.
+    """Key, n_words, n_removed, kept (the words that stay, joined by one space); the columns to carry in a struct ``carried``.
 
     A word goes if it lies in a window of ``size`` words whose sequence also starts in a document with
     a smaller key. Null text counts as empty; rows without a key neither lose nor cause anything; rows
     that repeat a key do not count as smaller than each other. Windows are compared by 64-bit hashes
-    within independently hashed buckets.
+    within independently hashed buckets. An empty table gives no rows.
     """
     block = (size + 1) // 2
-    carry = [c for c in carry or [] if c not in (key, text)]
+    df = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), *([F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")] if carry else []))
+    carry, name, key, text = df.columns[2:], key, "_key", "_text"
     total, pages, buckets = P.sizes(df, text)
     width = P.width_for(total / 4, buckets)
     shift, mask = np.uint64(8 * width), np.uint64((1 << 8 * width) - 1)
@@ -140,15 +142,13 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size
         fields = [own.field(key), pa.field("n_words", pa.int64()), pa.field("n_removed", pa.int64()), pa.field("kept", pa.string())]
         return pa.schema(fields + [own.field(c) for c in carry])
 
-    rest = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
     by_page = docs.groupBy("_page")
     sent = by_page.applyInArrow(probes, "_bucket int, _page int, _fps binary, _flags binary")
     answered = sent.groupBy("_bucket").applyInArrow(hits, "_bucket int, _page int, _found binary")
     windows = by_page.cogroup(answered.groupBy("_page")).applyInArrow(candidates, "_bucket int, _page int, _windows binary, _docs binary")
     repeats = windows.groupBy("_bucket").applyInArrow(later, "_page int, _found binary")
-    return by_page.cogroup(repeats.groupBy("_page")).applyInArrow(
-        strip, f"`{key}` {df.schema[key].dataType.simpleString()}, n_words long, n_removed long, kept string{rest}"
-    )
+    out = schema_of(df, [key], ("n_words", LongType()), ("n_removed", LongType()), ("kept", StringType()))
+    return by_page.cogroup(repeats.groupBy("_page")).applyInArrow(strip, StructType([*out.fields, *(df.schema[c] for c in carry)])).withColumnRenamed(key, name)
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:

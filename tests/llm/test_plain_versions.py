@@ -165,8 +165,9 @@ def test_repeats_with_columns_of_any_name(spark):
     got = suffixes.without_repeats(df, carry=names).collect()
     assert len(got) == 5 and all(r["carried"].asDict() == {n: None if r["doc_id"] is None else f"{n}{r['doc_id']}" for n in names} for r in got)
     assert all((r["n_removed"] > 400) == (r["doc_id"] in (1, 2)) for r in got)
-    clashing = df.withColumnsRenamed({"_a": "n_words"})
-    assert substrings.without_repeats(clashing).count() == 5
+    got = substrings.without_repeats(df, carry=names).collect()
+    assert len(got) == 5 and all(r["carried"].asDict() == {n: None if r["doc_id"] is None else f"{n}{r['doc_id']}" for n in names} for r in got)
+    assert all((r["n_removed"] > 50) == (r["doc_id"] == 2) for r in got)
 
 
 def test_equal_lengths_are_packed_without_gaps(spark):
