@@ -96,30 +96,18 @@ def _(t):
     return t.raw("documents").select("doc_id", text.has_script(F.col("text"), "à", "ÿ").alias("accents"), text.has_script(F.col("text")).alias("korean"))
 
 
-@query(
-    "secret_scan",
-    r"""WITH d AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'x sk-' || repeat('a1', 16) || ' y' WHEN 1 THEN 'ghp_' || repeat('Zz', 10) WHEN 2 THEN 'AKIA' || repeat('Q7', 8) WHEN 3 THEN 'hf_' || repeat('b', 29) ELSE 'plain' END AS t FROM documents)
-    SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(t, '\b(?:sk|rk|pk)-[A-Za-z0-9_-]{32,}\b') THEN 'provider_key' END,
-    CASE WHEN regexp_matches(t, '\b(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,})\b') THEN 'forge_token' END,
-    CASE WHEN regexp_matches(t, '\bAKIA[0-9A-Z]{16}\b') THEN 'cloud_key' END, CASE WHEN regexp_matches(t, '\bhf_[A-Za-z0-9]{30,}\b') THEN 'hub_token' END], lambda x: x IS NOT NULL), ',') AS found FROM d""",
-)
+SECRETS_SQL = r"""array_to_string(list_filter([CASE WHEN regexp_matches({0}, '\b(?:sk|rk|pk)-[A-Za-z0-9_-]{{32,}}\b') THEN 'provider_key' END,
+    CASE WHEN regexp_matches({0}, '\b(?:gh[pousr]_[A-Za-z0-9]{{20,}}|github_pat_[A-Za-z0-9_]{{20,}})\b') THEN 'forge_token' END,
+    CASE WHEN regexp_matches({0}, '\bAKIA[0-9A-Z]{{16}}\b') THEN 'cloud_key' END, CASE WHEN regexp_matches({0}, '\bhf_[A-Za-z0-9]{{30,}}\b') THEN 'hub_token' END], lambda x: x IS NOT NULL), ',')"""
+
+
+@query("secret_scan", f"SELECT page_id, {SECRETS_SQL.format('html')} AS found FROM pages")
 def _(t):
-    k = F.col("doc_id") % 5
-    own = (
-        F.when(k == 0, F.concat(F.lit("x sk-"), F.repeat(F.lit("a1"), 16), F.lit(" y"))).when(k == 1, F.concat(F.lit("ghp_"), F.repeat(F.lit("Zz"), 10)))
-        .when(k == 2, F.concat(F.lit("AKIA"), F.repeat(F.lit("Q7"), 8))).when(k == 3, F.concat(F.lit("hf_"), F.repeat(F.lit("b"), 29))).otherwise("plain")
-    )
-    return t.raw("documents").select("doc_id", F.array_join(text.secrets(own), ",").alias("found"))
+    return t.raw("pages").select("page_id", F.array_join(text.secrets(F.col("html")), ",").alias("found"))
 
 
-@query(
-    "secret_scan_documents",
-    r"""SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(text, '\b(?:sk|rk|pk)-[A-Za-z0-9_-]{32,}\b') THEN 'provider_key' END,
-    CASE WHEN regexp_matches(text, '\b(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,})\b') THEN 'forge_token' END,
-    CASE WHEN regexp_matches(text, '\bAKIA[0-9A-Z]{16}\b') THEN 'cloud_key' END, CASE WHEN regexp_matches(text, '\bhf_[A-Za-z0-9]{30,}\b') THEN 'hub_token' END], lambda x: x IS NOT NULL), ',') AS found FROM documents""",
-)
+@query("secret_scan_documents", f"SELECT doc_id, {SECRETS_SQL.format('text')} AS found FROM documents")
 def _(t):
-    """Whole texts; ``secret_scan`` has made-up ones."""
     return t.raw("documents").select("doc_id", F.array_join(text.secrets(F.col("text")), ",").alias("found"))
 
 
@@ -447,7 +435,7 @@ def _grid(t: Tables) -> DataFrame:
     return ids.select(F.concat(F.lit("m"), F.expr("string(id div 90)")).alias("model_id"), (81 + F.col("id") % 90).alias("question_id"))
 
 
-SEEN = "SELECT DISTINCT model_id, question_id FROM j_single WHERE judge_id = 'jclick' AND seq % 3 <> 0 AND question_id > 82"
+SEEN = "SELECT DISTINCT model_id, question_id FROM j_single"
 
 
 @query(
@@ -458,8 +446,8 @@ SEEN = "SELECT DISTINCT model_id, question_id FROM j_single WHERE judge_id = 'jc
     ),
 )
 def _(t):
-    found = t["j_single"].where("judge_id = 'jclick' and seq % 3 <> 0 and question_id > 82")
-    return coverage.gaps(_grid(t).where("question_id <> 100"), found, "model_id", "question_id")
+    """All records of all judges; ten questions of the grid have no record, and one that has is not expected."""
+    return coverage.gaps(_grid(t).where("question_id <> 100"), t["j_single"], "model_id", "question_id")
 
 
 @query(
@@ -504,16 +492,16 @@ def _(t):
     return coverage.model_pairs(t["j_single"], "lang", "question_id")
 
 
-@query("join_qa", _on_single("SELECT q.question_id, l.model_id, l.judge_id, l.lang, q.category FROM questions q JOIN latest l USING (question_id) WHERE q.k % 3 = 0".replace("questions q", "(SELECT DISTINCT question_id, category, question_id - 81 AS k FROM j_single) q")))
+@query("join_qa", oracle("SELECT q.question_id, l.model_id, l.judge_id, l.lang, q.category FROM (SELECT DISTINCT question_id, category FROM questions) q JOIN latest l USING (question_id)", "j_single", "questions", latest=SINGLE))
 def _(t):
-    wanted = t["questions"].where("k % 3 = 0").select("question_id", "category")
-    return wanted.join(t.single.drop("category"), "question_id").select("question_id", "model_id", "judge_id", "lang", "category")
+    asked = t["questions"].select("question_id", "category").distinct()
+    return asked.join(t.single.drop("category"), "question_id").select("question_id", "model_id", "judge_id", "lang", "category")
 
 
-@query("join_pair", _on_single("SELECT a.lang, a.judge_id, a.question_id, a.seq AS seq_a, b.seq AS seq_b FROM latest a JOIN latest b USING (lang, judge_id, question_id) WHERE a.model_id = 'm0' AND b.model_id = 'm1'"))
+@query("join_pair", _on_single("SELECT a.lang, a.judge_id, a.question_id, a.model_id AS model_a, b.model_id AS model_b, a.seq AS seq_a, b.seq AS seq_b FROM latest a JOIN latest b USING (lang, judge_id, question_id) WHERE a.model_id < b.model_id"))
 def _(t):
-    sides = [t.single.where(F.col("model_id") == m).select("lang", "judge_id", "question_id", F.col("seq").alias(f"seq_{k}")) for k, m in (("a", "m0"), ("b", "m1"))]
-    return sides[0].join(sides[1], ["lang", "judge_id", "question_id"])
+    sides = [t.single.select("lang", "judge_id", "question_id", F.col("model_id").alias(f"model_{k}"), F.col("seq").alias(f"seq_{k}")) for k in "ab"]
+    return sides[0].join(sides[1], ["lang", "judge_id", "question_id"]).where("model_a < model_b")
 
 
 ASKED = "SELECT DISTINCT question_id, category FROM questions"
