@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
+from assayer.llm.words import release
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -66,7 +68,10 @@ def fitted(sample: DataFrame, fit: Callable[[pa.Table], object]) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if held:
-            yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fit(pa.Table.from_batches(held)))]})
+            model = pickle.dumps(fit(pa.Table.from_batches(held)))
+            held.clear()
+            release()
+            yield pa.RecordBatch.from_pydict({"model": [model]})
 
     row = sample.repartition(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(row[0]["model"]) if row else fit(pa.table({}))

@@ -6,6 +6,8 @@ texts are found and hashed with a few numpy passes and no Python loop over rows.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,19 +53,31 @@ def _room(n: int) -> int:
     return -(-(n + 1) // (1 << 20)) << 20
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds about ``limit`` bytes of text; a longer text stands alone."""
+def release() -> None:
+    """Gives memory back to the system: a worker process serves many tasks and would else keep the most that one of them took."""
+    if _KEPT and max(len(kept[1]) for kept in _KEPT.values()) > 2 * _room(SLICE_BYTES):
+        _KEPT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str | tuple[str, ...], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each holds about ``limit`` bytes of text, of all columns named; a longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.diff(offsets(plain(batch.column(text))))
+        total = np.cumsum(sum(np.diff(offsets(plain(batch.column(c)))) for c in ((text,) if isinstance(text, str) else text)))
         at = 0
-        total = np.cumsum(sizes)
         while at < batch.num_rows:
             before = total[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(total, before + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 def plain(column: pa.Array) -> pa.Array:
