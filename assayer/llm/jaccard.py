@@ -30,6 +30,8 @@ _U = np.uint64
 SLICES = 64
 #: Lists of more documents are compared by a pivot; so many times, what is left then is paired.
 LONG_LIST, MOST_PIVOTS = 32, 6
+#: A list that is estimated to hold more documents is dealt to several tasks.
+ONE_TASK = 20_000
 
 
 def sketch_bits(text_bytes: int) -> int:
@@ -103,8 +105,8 @@ class Frequencies:
         return np.floor(np.log2(self(values) + 1.0)).astype(np.int8)
 
 
-def prefixes(batches: Iterator[pa.RecordBatch], often: Frequencies, key: str, text: str, size: int, percent: int, most_matches: int, cost: float) -> Iterator[pa.RecordBatch]:
-    """Each document's prefix: (shingle, id, set size, matches required, the shingle's place). Equal sets of a slice are sent once."""
+def prefixes(batches: Iterator[pa.RecordBatch], often: Frequencies, key: str, text: str, size: int, percent: int, most_matches: int, cost: float, one_task: int) -> Iterator[pa.RecordBatch]:
+    """Each document's prefix: (shingle, id, set size, matches required, the shingle's place, which part of its list it is dealt to). Equal sets of a slice are sent once."""
     for batch in W.slices(batches, text):
         rows, values = shingle_sets(batch.column(text), size)
         n = np.bincount(rows, minlength=batch.num_rows).astype(np.int64)
@@ -128,9 +130,12 @@ def prefixes(batches: Iterator[pa.RecordBatch], often: Frequencies, key: str, te
         matches = np.minimum(choices.argmin(0) + 1, np.maximum(1, n - least))
         mine = place < (least + matches)[rows]
         r = rows[mine]
+        parts = excess[mine].astype(np.int64) // one_task + 1
+        spread = W.mix(batch.column(key).fill_null(0).to_numpy()[r].view(_U))
+        part = np.where(parts > 1, 1 + (spread % parts.astype(_U)).astype(np.int64), 0)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(values[mine].view(np.int64)), batch.column(key).take(pa.array(r)), pa.array(n[r]), pa.array(matches[r].astype(np.int32)), pa.array(place[mine].astype(np.int32))],
-            ["token", "id", "n", "matches", "place"],
+            [pa.array(values[mine].view(np.int64)), batch.column(key).take(pa.array(r)), pa.array(n[r]), pa.array(matches[r].astype(np.int32)), pa.array(place[mine].astype(np.int32)), pa.array(part.astype(np.int32))],
+            ["token", "id", "n", "matches", "place", "part"],
         )
 
 
@@ -221,7 +226,7 @@ def _different(df: DataFrame, keys: list[str], listed: Column, central: Column)
     return df.join(lists.where("a < b and listed > 0").select(*keys, "listed", F.col("next.rep").alias("next")), keys)
 
 
-def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, most_matches: int = 4, cost: float = 5.0, long_list: int = LONG_LIST, most_pivots: int = MOST_PIVOTS) -> DataFrame:
+def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, most_matches: int = 4, cost: float = 5.0, long_list: int = LONG_LIST, most_pivots: int = MOST_PIVOTS, one_task: int = ONE_TASK) -> DataFrame:
     """Key, n_shingles, component_id for every row.
 
     Letters A-Z count as lower-case. Two texts link when their sets of ``size``-word shingles have a
@@ -229,7 +234,8 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size:
     link with nothing, and rows without a key have no component. Keys (long) are expected to be unique: rows that
     repeat one come out each for itself, with one component that holds the links of all. Other columns are left
     out; an empty table gives no rows. Lists of more than ``long_list`` documents are compared by
-    pivots, up to ``most_pivots`` times in a row; what is still on a long list then is paired.
+    pivots, up to ``most_pivots`` times in a row; what is still on a long list then is paired. Lists of an
+    estimated size of more than ``one_task`` are dealt to several tasks while they are made.
     """
     spark = df.sparkSession
     scratch = Scratch(spark)
@@ -247,9 +253,10 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size:
     member = materialize(rows.join(classes, of_copies, "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "id")).alias("rep")))
     of_id = member.where("id <> rep").select("id", "rep")
 
-    sent = docs.mapInArrow(lambda it: prefixes(it, shared.value, "id", "text", size, percent, most_matches, cost), "token long, id long, n long, matches int, place int")
-    own_list = Window.partitionBy("token")
-    listed = sent.withColumn("first", F.min(F.struct("id", "n")).over(own_list)).withColumn("last", F.max("id").over(own_list)).where("first.id < last")
+    sent = docs.mapInArrow(lambda it: prefixes(it, shared.value, "id", "text", size, percent, most_matches, cost, one_task), "token long, id long, n long, matches int, place int, part int")
+    # A shingle of one document only is on no list. Parts of a long list have a first document each, and all stay.
+    own_list = Window.partitionBy("token", "part")
+    listed = sent.withColumn("first", F.min(F.struct("id", "n")).over(own_list)).withColumn("last", F.max("id").over(own_list)).where("first.id < last or part > 0")
     listed = listed.select("token", "id", "n", "matches", "place", F.col("first.id").alias("first"), F.col("first.n").alias("first_n"))
     # How many of a document's shingles before this one are on no list: no document that shares this one has them.
     before = F.row_number().over(Window.partitionBy("id").orderBy("place")) - 1
