@@ -154,6 +154,23 @@ def test_quality_scores_do_not_depend_on_batches_and_find_junk(spark):
         assert abs(score[k] - 1 / (1 + math.exp(-logit))) < 1e-9
 
 
+@pytest.mark.parametrize("local_edges", [7, 200_000])
+def test_components_of_chains_hubs_and_loops(spark, monkeypatch, local_edges):
+    """In one task, and in rounds where the edges are too many for one."""
+    from assayer.llm import graph
+    from tests.llm import brute
+
+    monkeypatch.setattr(graph, "LOCAL_EDGES", local_edges)
+    rng = random.Random(8)
+    edges = [(k, k + 1) for k in range(100, 130)] + [(200, k) for k in range(201, 240)] + [(300 + rng.randrange(60), 300 + rng.randrange(60)) for _ in range(45)]
+    edges += [(5, 5), (101, 100), (None, 3), (4, None), (1000, 900), (900, 1000)]
+    rng.shuffle(edges)
+    got = {r["id"]: r["component_id"] for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    real = [(u, v) for u, v in edges if u is not None and v is not None and u != v]
+    assert got == brute.smallest_reachable({x for e in real for x in e}, real)
+    assert graph.components(spark.createDataFrame([(None, 1), (2, 2)], "u long, v long")).count() == 0
+
+
 def test_repeats_with_columns_of_any_name(spark):
     """Carried columns keep their names and values, whatever an operator calls its own."""
     from pyspark.sql import functions as F
