@@ -30,6 +30,8 @@ _U = np.uint64
 SLICES = 64
 #: Lists of more documents are compared by a pivot; so many times, what is left then is paired.
 LONG_LIST, MOST_PIVOTS = 32, 6
+#: Ids, or pairs of ids, that are broadcast.
+FEW_IDS = 500_000
 #: A list that is estimated to hold more documents is dealt to several tasks.
 ONE_TASK = 20_000
 
@@ -268,14 +270,17 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size:
     )
 
     def texts_of(*ids: DataFrame) -> DataFrame:
+        """Up to ``FEW_IDS`` are broadcast, so that texts are not shuffled to choose some of them."""
         every = ids[0].toDF("id")
         for more in ids[1:]:
             every = every.unionByName(more.toDF("id"))
-        return scratch(docs.join(every.distinct(), "id", "left_semi"))
+        every = scratch(every.distinct())
+        return scratch(docs.join(F.broadcast(every) if every.count() <= FEW_IDS else every, "id", "left_semi"))
 
     def with_texts(pairs: DataFrame, texts: DataFrame, u: str, v: str) -> DataFrame:
         left, right = (texts.select(F.col("id").alias(k), F.col("text").alias(t)) for k, t in ((u, "left_text"), (v, "right_text")))
-        return pairs.join(right, v).join(left, u)
+        few = F.broadcast(pairs) if pairs.count() <= FEW_IDS else pairs  # else one more shuffle of the texts
+        return few.join(right, v).join(left, u)
 
     def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         return scratch(with_texts(pairs, texts, "u", "v").mapInArrow(lambda it: verify_batches(it, size, percent), "u long, v long"))
@@ -308,7 +313,6 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size:
 
     own = placed(lists.select("token", "rep", "n", "matches", "place", "lone").distinct())
     rest = scratch(_different(own, ["token"], F.count("*"), F.col("lone")))
-    texts = texts_of(rest.select("rep"))
     reach = F.least(F.col("n1") - F.col("lone1"), F.col("n2") - F.col("lone2"))
     # Two documents that meet on short lists only share as many of those as they must; what they share up to the last one is counted.
     met = (
@@ -322,6 +326,7 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size:
     found = [ordered(met, "rep1", "rep2")]
     keys = ["pivot", "kind", "token"]
     hot = rest.where(F.col("listed") > long_list)
+    texts = texts_of(hot.select("rep"))
     for step in range(most_pivots):
         to_pivot = scratch(hot.where("rep <> next").select("rep", F.col("next").alias("pivot")).distinct())
         if to_pivot.isEmpty():
@@ -344,7 +349,8 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size:
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    more = verified(scratch(every.distinct().join(tried, ["u", "v"], "left_anti")), texts)
+    every = scratch(every.distinct().join(tried, ["u", "v"], "left_anti"))
+    more = verified(every, texts_of(every.select("u"), every.select("v")))
     final = components(links.unionByName(more)).withColumnRenamed("id", "rep")
     scratch.clear()
     shared.destroy()
