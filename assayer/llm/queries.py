@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assayer.llm import embeddings, jaccard, licences, packing, pieces, quality_model, quality_rules, substrings, suffixes, toxicity
+from assayer.llm import byte_pairs, embeddings, importance, jaccard, licences, negatives, packing, pieces, quality_model, quality_rules, substrings, suffixes, toxicity
 
 QUERIES = {
     "op1_embedding_dedup": embeddings.op1_embedding_dedup,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality_model": quality_model.op9_quality_model,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_importance": importance.op12_importance,
+    "op13_byte_pairs": byte_pairs.op13_byte_pairs,
 }
 ORACLES: dict[str, str] = {
     "op1_embedding_dedup": embeddings.OP1_SQL,
     "op6_substring_dedup": substrings.OP6_SQL,
     "op10_jaccard_join": jaccard.OP10_SQL,
+    "op11_hard_negatives": negatives.OP11_SQL,
+    "op12_importance": importance.OP12_SQL,
 }

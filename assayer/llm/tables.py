@@ -41,25 +41,41 @@ def _written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    return _written(df, f"{shared_dir(df.sparkSession)}/assayer-{uuid.uuid4().hex}")
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors. Deleted when the driver ends."""
+    path = f"{shared_dir(df.sparkSession)}/assayer-{uuid.uuid4().hex}"
+    out = _written(df, path)
+    fs, at = _folder(df.sparkSession, path)
+    fs.deleteOnExit(at)
+    return out
 
 
 class Scratch:
-    """Tables of one computation in a folder of its own; ``clear`` deletes them when its result is written."""
+    """Tables of one computation in a folder of its own; ``clear`` deletes them when its result is written or has failed."""
 
     def __init__(self, spark: SparkSession):
         self._spark, self._root, self._n = spark, f"{shared_dir(spark)}/assayer-{uuid.uuid4().hex}", 0
+        self._at: dict[int, int] = {}
 
     def __call__(self, df: DataFrame) -> DataFrame:
         self._n += 1
-        return _written(df, f"{self._root}/{self._n}")
+        self._at[id(out := _written(df, f"{self._root}/{self._n}"))] = self._n
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that nothing reads any more."""
+        for table in tables:
+            fs, at = _folder(self._spark, f"{self._root}/{self._at.pop(id(table))}")
+            fs.delete(at, True)
 
     def clear(self) -> None:
-        jvm = self._spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self._root)
-        at.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(at, True)
+        fs, at = _folder(self._spark, self._root)
+        fs.delete(at, True)
 
 
 def fitted(sample: DataFrame, fit: Callable[[pa.Table], object]) -> object:
