@@ -15,6 +15,7 @@ with it (``differences``), which is rare by nature.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,14 +78,34 @@ def signatures(batches: Iterator[pa.RecordBatch], bits: int, key: str, text: str
         np.add.at(counts, (values >> _U(64 - bits)).astype(np.int64), 1)
         signed = [pa.array(_sums(rows, W.mix(values ^ _U(k * 0x632BE59BD9B4E019)), n).view(np.int64)) for k in (1, 2)]
         yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.bincount(rows, minlength=n).astype(np.int64)), *signed, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
-    parts = [c.tobytes() for c in np.minimum(counts, 65535).astype(np.uint16).reshape(SLICES, -1)]
+    parts = [c.tobytes() for c in _coded(counts).reshape(SLICES, -1)]
     nothing = pa.nulls(SLICES, pa.int64())
     yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, nothing, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names)
 
 
-def _add_up(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, np.uint16).astype(np.int64) for x in table.column("counts").to_pylist())
-    return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+def _coded(counts: np.ndarray) -> np.ndarray:
+    """One byte a counter: itself below 64, above it eight steps for each factor of two."""
+    return np.where(counts < 64, counts, np.minimum(255, 64 + np.rint(8 * np.log2(np.maximum(counts, 64) / 64.0)))).astype(np.uint8)
+
+
+#: What each byte of ``_coded`` stands for.
+_VALUES = np.where(np.arange(256) < 64, np.arange(256), 64 * 2.0 ** ((np.arange(256) - 64) / 8)).astype(np.float32)
+
+
+def _add_up(table: pa.Table, coded: bool) -> pa.Table:
+    """Sum of a slice's counters over the tasks of one lane, or over all lanes."""
+    total = np.float32(0)
+    for part in table.column("counts"):
+        own = part.as_buffer()
+        total = total + (_VALUES[np.frombuffer(own, np.uint8)] if coded else np.frombuffer(own, np.float32))
+    return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def added_up(parts: DataFrame) -> DataFrame:
+    """(part, counts) of all tasks, in two steps: a task of either sums about as many rows as the root of their number."""
+    lanes = max(1, math.isqrt(parts.where("part = 0").count()))
+    by_lane = parts.withColumn("lane", F.spark_partition_id() % lanes).groupBy("part", "lane").applyInArrow(lambda t: _add_up(t, True), "part int, counts binary")
+    return by_lane.groupBy("part").applyInArrow(lambda t: _add_up(t, False), "part int, counts binary")
 
 
 class Frequencies:
@@ -239,12 +260,19 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size:
     pivots, up to ``most_pivots`` times in a row; what is still on a long list then is paired. Lists of an
     estimated size of more than ``one_task`` are dealt to several tasks while they are made.
     """
+    scratch = Scratch(df.sparkSession)
+    try:
+        return _groups(df, scratch, key, text, size, percent, most_matches, cost, long_list, most_pivots, one_task)
+    finally:
+        scratch.clear()
+
+
+def _groups(df: DataFrame, scratch: Scratch, key: str, text: str, size: int, percent: int, most_matches: int, cost: float, long_list: int, most_pivots: int, one_task: int) -> DataFrame:
     spark = df.sparkSession
-    scratch = Scratch(spark)
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     bits = sketch_bits(int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0))
     signed = scratch(docs.mapInArrow(lambda it: signatures(it, bits, "id", "text", size), "id long, n long, h1 long, h2 long, part int, counts binary"))
-    slices = signed.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(_add_up, "part int, counts binary").collect()
+    slices = added_up(signed.where("part is not null").select("part", "counts")).collect()  # the estimate, of a fixed size
     counts = np.zeros((SLICES, (1 << bits) // SLICES), np.float32)
     for r in slices:
         counts[r["part"]] = np.frombuffer(r["counts"], np.float32)
@@ -253,6 +281,7 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size:
     of_copies = ["n", "h1", "h2"]
     classes = scratch(rows.where("n > 0 and id is not null").groupBy(*of_copies).agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"))
     member = materialize(rows.join(classes, of_copies, "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "id")).alias("rep")))
+    scratch.drop(signed, classes)
     of_id = member.where("id <> rep").select("id", "rep")
 
     sent = docs.mapInArrow(lambda it: prefixes(it, shared.value, "id", "text", size, percent, most_matches, cost, one_task), "token long, id long, n long, matches int, place int, part int")
@@ -305,6 +334,7 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size:
     again = scratch(ordered(again, "first", "rep").join(tried, ["u", "v"], "left_anti"))
     tried, links = tried.unionByName(again), links.unionByName(verified(again, texts))
     named = components(links)
+    scratch.drop(candidates, texts)
     # What is left to compare: documents of different components on one list.
     of_rep = named.select(F.col("id").alias("rep"), "component_id")
 
@@ -313,6 +343,7 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size:
 
     own = placed(lists.select("token", "rep", "n", "matches", "place", "lone").distinct())
     rest = scratch(_different(own, ["token"], F.count("*"), F.col("lone")))
+    scratch.drop(lists)
     reach = F.least(F.col("n1") - F.col("lone1"), F.col("n2") - F.col("lone2"))
     # Two documents that meet on short lists only share as many of those as they must; what they share up to the last one is counted.
     met = (
@@ -323,20 +354,22 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size:
         .withColumn("most", F.col("shared") + F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2")) - 1)
         .where((F.col("shared") >= F.col("need")) & _enough(F.col("most"), F.col("n1"), F.col("n2"), percent))
     )
-    found = [ordered(met, "rep1", "rep2")]
+    found = [scratch(ordered(met, "rep1", "rep2"))]
     keys = ["pivot", "kind", "token"]
-    hot = rest.where(F.col("listed") > long_list)
+    hot = scratch(rest.where(F.col("listed") > long_list).select("rep", "next").distinct())
+    scratch.drop(rest)
     texts = texts_of(hot.select("rep"))
     for step in range(most_pivots):
         to_pivot = scratch(hot.where("rep <> next").select("rep", F.col("next").alias("pivot")).distinct())
         if to_pivot.isEmpty():
             break
         apart = scratch(with_texts(to_pivot, texts, "rep", "pivot").mapInArrow(lambda it: differences(it, shared.value, size, percent), DIFFERENCES))
-        links = links.unionByName(apart.where("kind = -1 and linked").select(F.col("rep").alias("u"), F.col("pivot").alias("v")))
+        links = links.unionByName(scratch(apart.where("kind = -1 and linked").select(F.col("rep").alias("u"), F.col("pivot").alias("v"))))
         # One of a pair is not similar to the pivot; away from it, the other is smaller than the pivot.
         apart_from, smaller = F.count_if(~F.col("linked")), F.count_if(F.col("n") < F.col("pivot_n"))
         listed = F.when(F.col("kind") == BESIDE, apart_from).otherwise(F.least(apart_from, smaller))
         rest = scratch(_different(placed(apart.where("kind >= 0")), keys, listed, -F.col("inter")))
+        scratch.drop(to_pivot, apart)
         short = rest.where(F.col("listed") <= long_list) if step < most_pivots - 1 else rest
         n1, n2, least = F.col("n1"), F.col("n2"), F.least("inter1", "inter2")
         left = F.least("left1", "left2")
@@ -344,15 +377,15 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size:
         inside = _enough(least, n1, n2, percent) & (F.least("n1", "n2") < F.col("pivot_n1"))
         right_kind = F.when(F.col("kind") == AWAY, inside).otherwise(~_enough(least, n1, n2, percent))
         pairs = _sides(short.drop("listed", "next"), keys).where(~(F.col("linked1") & F.col("linked2")) & _alike(n1, n2, percent) & right_kind & _enough(most, n1, n2, percent))
-        found.append(ordered(pairs, "rep1", "rep2"))
-        hot = rest.where(F.col("listed") > long_list)
+        found.append(scratch(ordered(pairs, "rep1", "rep2")))
+        hot = scratch(rest.where(F.col("listed") > long_list).select("rep", "next").distinct())
+        scratch.drop(rest)
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
     every = scratch(every.distinct().join(tried, ["u", "v"], "left_anti"))
     more = verified(every, texts_of(every.select("u"), every.select("v")))
     final = components(links.unionByName(more)).withColumnRenamed("id", "rep")
-    scratch.clear()
     shared.destroy()
     return member.join(final, "rep", "left").select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep", "id").alias("component_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import pickle
 import re
 import tempfile
@@ -68,10 +69,12 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Deletes tables that nothing reads any more."""
+        """Deletes tables that nothing reads any more; the driver then collects its garbage, by which shuffles that made them go too."""
         for table in tables:
             fs, at = _folder(self._spark, f"{self._root}/{self._at.pop(id(table))}")
             fs.delete(at, True)
+        gc.collect()
+        self._spark._jvm.System.gc()
 
     def clear(self) -> None:
         fs, at = _folder(self._spark, self._root)
