@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from assayer.functions.verdicts import strip
 
-# Forms of secrets that must not be published.
+# Names and forms of secrets that must not be published.
 SECRETS = {
-    "provider_key": r"\b(?:sk|rk|pk)-[A-Za-z0-9_-]{32,}\b",
-    "forge_token": r"\b(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,})\b",
-    "cloud_key": r"\bAKIA[0-9A-Z]{16}\b",
-    "hub_token": r"\bhf_[A-Za-z0-9]{30,}\b",
+    "OpenAI-style key": r"\b(?:sk|rk|pk)-[A-Za-z0-9_-]{32,}\b",
+    "GitHub token": r"\b(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,})\b",
+    "AWS access key": r"\bAKIA[0-9A-Z]{16}\b",
+    "Hugging Face token": r"\bhf_[A-Za-z0-9]{30,}\b",
 }
 
 

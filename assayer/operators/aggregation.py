@@ -26,14 +26,14 @@ def aggregate(
 
     With ``questions``, every model must have every question once, every pair of models too, and every model
     the selected reference questions; what is missing or unexpected raises ``GateError``, unless ``allow_partial``.
+    Without, as many samples are expected as there are, and there is no coverage.
     """
     for df, name in ((single, "single"), (pairwise, "pairwise"), (reference, "reference")):
         require_none(several_judges(df.withColumn("_all", F.lit(name)), "_all"), f"multiple judge_id in {name} records")
     s, p, r = dedup.single(single), dedup.pairwise(pairwise), dedup.single(reference)
     spark = single.sparkSession
     named = spark.createDataFrame([(m,) for m in models], "model_id string") if models is not None else s.select("model_id").distinct()
-    chosen = models if models is not None else sorted(x[0] for x in named.limit(coverage.MOST_LISTED).collect())
-    asked = expected = 0
+    asked = expected = None
     if questions is not None:
         selected = coverage.resolve_references(questions, r.join(named, "model_id", "left_semi"), selection, allow_partial)
         for states, what in (
@@ -44,7 +44,7 @@ def aggregate(
         asked, expected = questions.select("question_id").distinct().count(), selected.distinct().count()
     s, r = (df.join(named, "model_id", "left_semi") for df in (s, r))
     return Scores(
-        metrics.single_scores(s, ["model_id"], asked) if asked else metrics.single_scores(s, ["model_id"]),
-        metrics.win_rates(p, [], asked or None, chosen),
-        metrics.reference_scores(r, ["model_id"], expected) if expected else metrics.reference_scores(r, ["model_id"]),
+        metrics.single_scores(s, ["model_id"], asked),
+        metrics.win_rates(p, [], asked, named),
+        metrics.reference_scores(r, ["model_id"], expected),
     )

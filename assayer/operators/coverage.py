@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
@@ -32,17 +32,42 @@ def short_list(df: DataFrame, most: int = MOST_LISTED) -> Column:
     return F.from_json(F.lit(json.dumps(sorted((r.asDict() for r in rows), key=str))), ArrayType(df.schema))
 
 
+#: Groups in which ``product`` numbers the rows of a table.
+NUMBERED = 64
+
+
+def product(df: DataFrame, other: DataFrame) -> DataFrame:
+    """Each row of ``df`` with each distinct row of ``other``, at any size: rows are numbered and met by number, so it is a plain equi-join.
+
+    ``other`` is numbered within ``NUMBERED`` groups of hashes; only the sizes of these groups are broadcast.
+    """
+    rows = other.distinct()
+    numbered = rows.withColumn("_group", F.pmod(F.xxhash64(*rows.columns), F.lit(NUMBERED)).cast("int"))
+    numbered = numbered.withColumn("_number", F.row_number().over(Window.partitionBy("_group").orderBy(*rows.columns)))
+    sizes = numbered.groupBy("_group").agg(F.max("_number").alias("_size"))
+    spread = df.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(NUMBERED - 1)))).join(F.broadcast(sizes), "_group")
+    spread = spread.withColumn("_number", F.explode(F.sequence(F.lit(1), "_size"))).drop("_size")
+    return spread.join(numbered, ["_group", "_number"]).drop("_group", "_number")
+
+
 def grid(df: DataFrame, *lists: DataFrame) -> DataFrame:
-    """Each row of ``df`` with each row of all lists, without a join."""
-    for few in lists:
-        df = df.select(*df.columns, F.explode(short_list(few)).alias("_listed")).select(*df.columns, "_listed.*")
+    """Each row of ``df`` with each row of all lists: short ones as literals, without a join, longer ones by ``product``."""
+    for rows in lists:
+        if rows.distinct().limit(MOST_LISTED + 1).count() > MOST_LISTED:
+            df = product(df, rows)
+        else:
+            df = df.select(*df.columns, F.explode(short_list(rows)).alias("_listed")).select(*df.columns, "_listed.*")
     return df
 
 
-def model_pairs(models: DataFrame, *keys: str) -> DataFrame:
-    """All unordered pairs of models that share the keys; ``models`` is small for each key."""
-    a, b = (models.select(*keys, F.col("model_id").alias(f"model_{k}")).distinct() for k in "ab")
-    return a.join(b, list(keys)).where("model_a < model_b")
+def model_pairs(models: DataFrame, *keys: str, order: list[str] | None = None) -> DataFrame:
+    """All pairs of models that share the keys; ``models`` is small for each key.
+
+    The first of a pair is the one whose name is smaller or, with ``order``, the one that comes first in that list; models outside it are left out.
+    """
+    place = F.col("model_id") if order is None else F.try_element_at(F.create_map(*(F.lit(x) for kv in reversed([*enumerate(order)]) for x in reversed(kv))), F.col("model_id"))
+    a, b = (models.select(*keys, F.col("model_id").alias(f"model_{k}"), place.alias(f"_place_{k}")).distinct() for k in "ab")
+    return a.join(b, list(keys)).where("_place_a < _place_b").drop("_place_a", "_place_b")
 
 
 def answers(questions: DataFrame, found: DataFrame, *keys: str) -> DataFrame:

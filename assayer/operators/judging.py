@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.prompts import mock_response
 from assayer.functions.verdicts import parse_score, parse_verdict, resolve_winner
+from assayer.operators.journal import Answers, Journal
 
 Chat = Callable[[list[dict]], str]
 
@@ -31,24 +32,42 @@ def ask(chat: Chat, messages: list[dict], attempts: int = 3, delay: float = 5.0,
     return None, error
 
 
-def respond(df: DataFrame, make_chat: Callable[[], Chat] | None, messages: str = "messages", workers: int | None = None, attempts: int = 3, delay: float = 5.0) -> DataFrame:
+def respond(
+    df: DataFrame, make_chat: Callable[[], Chat] | None, messages: str = "messages", workers: int | None = None, attempts: int = 3, delay: float = 5.0, journal: Journal | None = None,
+) -> DataFrame:
     """Adds ``response`` and ``error``. ``make_chat`` is called once in each task; none means the mock judge.
 
     Each partition of ``df`` is a caller of its own; ``workers`` sets another number of them, for a service that
-    takes no more at a time. Rows without messages are not called. Write the result before
-    anything else reads it, so that a retried stage does not repeat paid calls.
+    takes no more at a time. Rows without messages are not called. With a ``journal`` each answer is kept as it
+    comes, and calls that it knows are not made again: neither by a task that is tried again nor by a later run. Without,
+    write the result before anything else reads it. Answers of the mock judge are never kept.
     """
     if make_chat is None:
         asked = F.col(messages).isNotNull()
         return df.withColumns({"response": F.when(asked, mock_response(F.col(messages))), "error": F.when(~asked, F.lit("not called"))})
 
+    rows = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    columns = [*df.columns, "response", "error"]
+    if journal is not None:
+        df = df.withColumn("_call", journal.call(messages, F.col(messages)))
+
+    def answer(chat: Chat, own: list | None, book: Answers | None, key: str | None) -> tuple[str | None, str | None]:
+        if own is None:
+            return None, "not called"
+        if book is not None and (said := book.get(key)):
+            return said, None
+        said, error = ask(chat, [dict(m) for m in own], attempts, delay)
+        if book is not None and error is None:
+            book.add(key, said)
+        return said, error
+
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chat = make_chat()
+        chat, book = make_chat(), journal.open() if journal else None
         for batch in batches:
-            answers = [(None, "not called") if own is None else ask(chat, [dict(m) for m in own], attempts, delay) for own in batch[messages]]
-            yield batch.assign(response=[a for a, _ in answers], error=[e for _, e in answers])
+            keys = batch["_call"] if journal else [None] * len(batch)
+            answers = [answer(chat, own, book, key) for own, key in zip(batch[messages], keys, strict=True)]
+            yield batch.assign(response=[a for a, _ in answers], error=[e for _, e in answers])[columns]
 
-    rows = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return (df.repartition(workers) if workers else df).mapInPandas(call, f"{rows}, response string, error string")
 
 

@@ -6,12 +6,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.verdicts import has_text, resolve_winner, stored_score
+from assayer.operators import published
+from assayer.operators.dedup import newest
 from assayer.schemas import VERDICTS
 
 
-def upsert(existing: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
-    """Rows of ``new`` in place of existing ones with the same keys. ``new`` is expected to hold a key once (``dedup.newest``)."""
-    return existing.join(new.select(*keys).distinct(), list(keys), "left_anti").select(existing.columns).unionByName(new)
+def upsert(existing: DataFrame, new: DataFrame, *keys: str, order: list[Column] | None = None) -> DataFrame:
+    """Rows of ``new`` in place of existing ones with the same keys.
+
+    Of rows of ``new`` with the same keys the first in ``order`` stays (the one with the largest hash, if it is not said).
+    """
+    once = newest(new, [F.col(k) for k in keys], order or [F.xxhash64(*new.columns).desc()])
+    return existing.join(new.select(*keys).distinct(), list(keys), "left_anti").select(existing.columns).unionByName(once)
+
+
+def upsert_published(new: DataFrame, path: str, *keys: str, order: list[Column] | None = None, fmt: str = "parquet") -> None:
+    """Upserts into a published table; any number of writers may do so at the same time, and no row is lost.
+
+    A writer that comes second reads ``new`` again, so it must give the same rows each time.
+    """
+
+    def change(now: DataFrame | None) -> DataFrame:
+        return upsert(new.limit(0) if now is None else now, new, *keys, order=order)
+
+    published.update(new.sparkSession, path, change, fmt, sort_within=keys)
 
 
 def single_is_current(prefix: str = "") -> Column:
@@ -41,6 +59,19 @@ def answer_is_current(prefix: str = "") -> Column:
     return (F.size(choices) == 1) & (F.get(choices, F.lit(0))["index"] == 0) & (F.size(turns) == 2) & F.forall(turns, has_text)
 
 
+def translation_is_current(prefix: str = "") -> Column:
+    """Two turns with text."""
+    turns = F.col(f"{prefix}turns")
+    return (F.size(turns) == 2) & F.forall(turns, has_text)
+
+
+def validity_is_current(prefix: str = "") -> Column:
+    """A verdict for each of two turns, both read strictly or left out on purpose, and a BLEU of each."""
+    turns, left_out = F.col(f"{prefix}turns"), F.col(f"{prefix}mode") == "bleu_only"
+    read = F.forall(turns, lambda t: F.coalesce((F.startswith(t["parse_status"], F.lit("ok")) | left_out) & t["bleu"].between(0, 1), F.lit(False)))
+    return (F.size(turns) == 2) & read
+
+
 def current(existing: DataFrame, expected: DataFrame, keys: list[str], valid: Column, hash_column: str = "input_sha256") -> DataFrame:
     """Existing records of expected units whose inputs have not changed and whose contents are whole."""
     return existing.where(F.coalesce(valid, F.lit(False))).join(expected.select(*keys, hash_column).distinct(), [*keys, hash_column], "left_semi")
@@ -52,8 +83,6 @@ def pending(existing: DataFrame, expected: DataFrame, keys: list[str], valid: Co
 
 def processed_inputs(df: DataFrame, key: str, seq: str = "seq", hash_column: str = "input_sha256") -> DataFrame:
     """The last non-empty input hash of each key."""
-    from assayer.operators.dedup import newest
-
     return newest(df.where(F.length(hash_column) > 0), [F.col(key)], [F.col(seq).desc()]).select(key, hash_column)
 
 

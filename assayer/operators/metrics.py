@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.verdicts import classify_call, scored
+from assayer.operators.coverage import product
 from assayer.schemas import CALLS_PER_RECORD, CATEGORIES, EXPECTED_RECORDS, REFERENCE_CATEGORIES
 
 
@@ -20,42 +21,49 @@ def _category_means(categories: tuple[str, ...]) -> list[Column]:
     return [F.avg(F.when(F.col("category") == c, F.col("score"))).alias(c) for c in categories]
 
 
-def _scores(rows: DataFrame, by: list[str], categories: tuple[str, ...], calls: int, expected_questions: int) -> DataFrame:
-    n = F.count("score")
+def _scores(rows: DataFrame, by: list[str], categories: tuple[str, ...], calls: int, expected_questions: int | None) -> DataFrame:
+    n, asked = F.count("score"), F.lit(expected_questions)
+    expected = F.count("*") if expected_questions is None else calls * asked
     return rows.groupBy(*by).agg(
         *_category_means(categories),
         F.avg("score").alias("overall"),
         F.count_distinct("question_id").alias("n_questions"),
         n.alias("n_samples"),
         F.count("*").alias("observed"),
-        F.lit(calls * expected_questions).cast("long").alias("expected"),
+        expected.cast("long").alias("expected"),
         (F.count("*") - n).alias("failures"),
         F.try_divide(F.count("*") - n, F.count("*")).alias("failure_rate"),
-        (F.count_distinct("question_id") / F.lit(float(expected_questions))).alias("coverage"),
+        (F.count_distinct("question_id") / asked.cast("double")).alias("coverage"),
     )
 
 
-def single_scores(df: DataFrame, by: list[str], expected_questions: int = 80) -> DataFrame:
-    """Means over turn samples (not over category means), counts, failures and coverage."""
+def single_scores(df: DataFrame, by: list[str], expected_questions: int | None = None) -> DataFrame:
+    """Means over turn samples (not over category means), counts, failures and coverage.
+
+    Where it is not said how many questions are expected, as many samples are as there are, and there is no coverage.
+    """
     return _scores(turn_scores(df), by, CATEGORIES, 2, expected_questions)
 
 
-def reference_scores(df: DataFrame, by: list[str], expected_questions: int = 29) -> DataFrame:
+def reference_scores(df: DataFrame, by: list[str], expected_questions: int | None = None) -> DataFrame:
     """The same for the second turn of reference-guided records."""
     return _scores(df.withColumn("score", scored(F.col("score_turn2"))), by, REFERENCE_CATEGORIES, 1, expected_questions)
 
 
-def win_rates(df: DataFrame, by: list[str], expected_questions: int | None = None, models: list[str] | None = None) -> DataFrame:
+def win_rates(df: DataFrame, by: list[str], expected_questions: int | None = None, models: list[str] | DataFrame | None = None) -> DataFrame:
     """Each game credits both models; a tie or an inconsistent pair is half a win, an error none.
 
-    A winner that is null or none of the known ones is an error too. With ``models`` only games between
-    two of them count, and each of them has a row in every group, without a game too; otherwise the models
+    A winner that is null or none of the known ones is an error too. With ``models`` (a list, or a table with model_id)
+    only games between two of them count, and each of them has a row in every group, without a game too; otherwise the models
     are those that a group's games name. With ``expected_questions`` each model of a group is expected to meet
     every other one on so many questions.
     """
     games = df
     if models is not None:
-        games = df.where(F.col("model_a").isin(models) & F.col("model_b").isin(models))
+        named = models if isinstance(models, DataFrame) else df.sparkSession.createDataFrame([(m,) for m in models], "model_id string")
+        named = named.select("model_id").distinct()
+        for side in ("model_a", "model_b"):
+            games = games.join(named.withColumnRenamed("model_id", side), side, "left_semi")
     games = games.withColumn("model_id", F.explode(F.array("model_a", "model_b")))
     inconsistent, tie = (F.col("winner").eqNullSafe(x) for x in ("inconsistent", "tie"))
     won = F.col("winner").eqNullSafe(F.col("model_id"))
@@ -78,9 +86,9 @@ def win_rates(df: DataFrame, by: list[str], expected_questions: int | None = Non
     )
     counts = [c for c in out.columns if c.startswith("n_")]
     if models is not None:
-        groups = (df.select(*by).distinct() if by else df.sparkSession.range(1)).select(*by, F.explode(F.array(*map(F.lit, sorted(set(models))))).alias("model_id"))
+        groups = product(df.select(*by).distinct(), named) if by else named
         out = groups.join(out, [*by, "model_id"], "left").fillna(0, counts)
-        others = F.lit(max(len(set(models)) - 1, 0))
+        others = F.lit(max(named.count() - 1, 0))
     elif expected_questions is not None:
         others = F.count("*").over(Window.partitionBy(*by)) - 1  # the models of a group
     expected = F.col("n_pairs_total") if expected_questions is None else (expected_questions * others).cast("long")

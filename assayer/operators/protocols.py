@@ -20,15 +20,15 @@ from assayer.schemas import REFERENCE_CATEGORIES
 MakeChat = Callable[[], Chat] | None
 
 
-def _turn(column: str | Column, k: int) -> Column:
+def turn_of(column: str | Column, k: int) -> Column:
     return F.get(F.col(column) if isinstance(column, str) else column, F.lit(k))
 
 
-def _now() -> Column:
+def now() -> Column:
     return F.unix_micros(F.current_timestamp()) / 1e6
 
 
-def _user(*contents: tuple[str, Column]) -> Column:
+def user_messages(*contents: tuple[str, Column]) -> Column:
     return F.array(*(F.struct(F.lit(role).alias("role"), text.alias("content")) for role, text in contents))
 
 
@@ -37,18 +37,18 @@ def generation_units(questions: DataFrame, models: list[str], backend: str, syst
     """Every question for every model of a short list."""
     units = questions.select("question_id", "category", "turns", F.explode(F.array(*map(F.lit, models))).alias("model_id"))
     hashed = fingerprints.generation(F.col("question_id"), F.col("category"), F.col("turns"), F.col("model_id"), backend, temperature, max_tokens, system)
-    first = F.concat(F.lit(f"{system}\n\n"), _turn("turns", 0)) if system else _turn("turns", 0)
+    first = F.concat(F.lit(f"{system}\n\n"), turn_of("turns", 0)) if system else turn_of("turns", 0)
     return units.withColumns({"input_sha256": hashed, "first": first})
 
 
 def generate(units: DataFrame, make_chat: MakeChat = None, **options) -> DataFrame:
     """Two calls, the second with the first answer in its context; the second is not made where the first failed."""
-    asked = respond(units.withColumn("messages", _user(("user", F.col("first")))), make_chat, **options)
+    asked = respond(units.withColumn("messages", user_messages(("user", F.col("first")))), make_chat, **options)
     asked = asked.withColumnsRenamed({"response": "answer1", "error": "error1"})
-    context = _user(("user", F.col("first")), ("assistant", F.col("answer1")), ("user", _turn("turns", 1)))
+    context = user_messages(("user", F.col("first")), ("assistant", F.col("answer1")), ("user", turn_of("turns", 1)))
     out = respond(asked.withColumn("messages", F.when(F.col("error1").isNull(), context)), make_chat, **options)
     choices = F.array(F.struct(F.lit(0).alias("index"), F.array("answer1", "response").alias("turns")))
-    return out.select("question_id", "model_id", choices.alias("choices"), _now().alias("tstamp"), "input_sha256", F.coalesce("error1", "error").alias("error"))
+    return out.select("question_id", "model_id", choices.alias("choices"), now().alias("tstamp"), "input_sha256", F.coalesce("error1", "error").alias("error"))
 
 
 # Grades.
@@ -64,8 +64,8 @@ def unanswered(questions: DataFrame, answers: DataFrame, models: list[str], judg
 
 def single_units(questions: DataFrame, answers: DataFrame, judge: str, backend: str, lang: str = "en") -> DataFrame:
     units = _answered(questions, answers).withColumn("judge_id", F.lit(judge))
-    turn1 = prompts.single(_turn("turns", 0), _turn("own", 0), F.lit(lang))
-    turn2 = prompts.multi_single(_turn("turns", 0), _turn("own", 0), _turn("turns", 1), _turn("own", 1), F.lit(lang))
+    turn1 = prompts.single(turn_of("turns", 0), turn_of("own", 0), F.lit(lang))
+    turn2 = prompts.multi_single(turn_of("turns", 0), turn_of("own", 0), turn_of("turns", 1), turn_of("own", 1), F.lit(lang))
     units = units.withColumns({"turn1": turn1, "turn2": turn2})
     return units.withColumn("input_sha256", fingerprints.single(F.col("question_id"), F.col("category"), F.col("judge_id"), backend, F.col("turn1"), F.col("turn2")))
 
@@ -82,7 +82,7 @@ def grade_single(units: DataFrame, make_chat: MakeChat = None, **options) -> Dat
     """Turn 1 alone, turn 2 with the whole conversation."""
     out = _graded(_graded(units, make_chat, 1, **options), make_chat, 2, **options)
     average = F.when((F.col("score_turn1") >= 0) & (F.col("score_turn2") >= 0), (F.col("score_turn1") + F.col("score_turn2")) / 2)
-    return out.select(*_SINGLE, _now().alias("tstamp"), "input_sha256", average.alias("avg_score"), F.coalesce("error1", "error2").alias("error"))
+    return out.select(*_SINGLE, now().alias("tstamp"), "input_sha256", average.alias("avg_score"), F.coalesce("error1", "error2").alias("error"))
 
 
 def with_references(questions: DataFrame, selection: str = "usable-turn2", categories: tuple[str, ...] = REFERENCE_CATEGORIES) -> DataFrame:
@@ -95,7 +95,7 @@ def with_references(questions: DataFrame, selection: str = "usable-turn2", categ
 
 def reference_single_units(questions: DataFrame, answers: DataFrame, judge: str, backend: str, lang: str = "en", selection: str = "usable-turn2") -> DataFrame:
     units = _answered(with_references(questions, selection), answers).withColumn("judge_id", F.lit(judge))
-    turn2 = prompts.multi_single(_turn("turns", 0), _turn("own", 0), _turn("turns", 1), _turn("own", 1), F.lit(lang), F.col("reference"))
+    turn2 = prompts.multi_single(turn_of("turns", 0), turn_of("own", 0), turn_of("turns", 1), turn_of("own", 1), F.lit(lang), F.col("reference"))
     units = units.withColumn("turn2", turn2)
     return units.withColumn("input_sha256", fingerprints.reference_single(F.col("question_id"), F.col("category"), F.col("judge_id"), backend, F.col("turn2")))
 
@@ -103,31 +103,40 @@ def reference_single_units(questions: DataFrame, answers: DataFrame, judge: str,
 def grade_reference_single(units: DataFrame, make_chat: MakeChat = None, **options) -> DataFrame:
     """One call with the references; turn 1 is not graded."""
     out = _graded(units, make_chat, 2, **options).withColumns({"score_turn1": F.lit(-1.0), "judgment_turn1": F.lit("")})
-    return out.select(*_SINGLE, _now().alias("tstamp"), "input_sha256", F.lit(None).cast("double").alias("avg_score"), F.col("error2").alias("error"))
+    return out.select(*_SINGLE, now().alias("tstamp"), "input_sha256", F.lit(None).cast("double").alias("avg_score"), F.col("error2").alias("error"))
 
 
 # Pairs.
-def pair_units(questions: DataFrame, answers: DataFrame, judge: str, backend: str, lang: str = "en", references: bool = False) -> DataFrame:
-    """All pairs of models that answered a question, both orders' messages; with ``references`` only questions with one for turn 2."""
+def pair_units(questions: DataFrame, answers: DataFrame, judge: str, backend: str, lang: str = "en", references: bool = False, models: list[str] | None = None) -> DataFrame:
+    """All pairs of models that answered a question, both orders' messages; with ``references`` only questions with one for turn 2.
+
+    Pairs are in the order of ``models``, or of names. ``turned_sha256`` is the input hash of the pair the other way round, by which
+    records of that form are taken up again (``resume.in_order_of_units``).
+    """
     asked = with_references(questions) if references else questions
     own = _answered(asked, answers)
     sides = {k: own.select("question_id", F.col("model_id").alias(f"model_{k}"), F.col("own").alias(f"own_{k}")) for k in "ab"}
-    pairs = model_pairs(own, "question_id").join(asked.select("question_id", "category", "turns", "reference"), "question_id")
+    pairs = model_pairs(own, "question_id", order=models).join(asked.select("question_id", "category", "turns", "reference"), "question_id")
     for k, side in sides.items():
         pairs = pairs.join(side, ["question_id", f"model_{k}"])
-    a, b = ((_turn(f"own_{k}", 0), _turn(f"own_{k}", 1)) for k in "ab")
-    q1, q2, slots = _turn("turns", 0), _turn("turns", 1), F.col("reference") if references else None
+    a, b = ((turn_of(f"own_{k}", 0), turn_of(f"own_{k}", 1)) for k in "ab")
+    q1, q2, slots = turn_of("turns", 0), turn_of("turns", 1), F.col("reference") if references else None
     units = pairs.withColumns({"judge_id": F.lit(judge), "messages_ab": prompts.multi_pair(q1, q2, a, b, F.lit(lang), slots), "messages_ba": prompts.multi_pair(q1, q2, b, a, F.lit(lang), slots)})
     hashed = fingerprints.reference_pairwise if references else fingerprints.pairwise
-    return units.withColumn("input_sha256", hashed(F.col("question_id"), F.col("category"), F.col("judge_id"), backend, F.col("messages_ab"), F.col("messages_ba")))
+    of = [F.col(c) for c in ("question_id", "category", "judge_id")]
+    sides = F.col("messages_ab"), F.col("messages_ba")
+    return units.withColumns({"input_sha256": hashed(*of, backend, *sides), "turned_sha256": hashed(*of, backend, *reversed(sides))})
 
 
 def unanswered_pairs(questions: DataFrame, answers: DataFrame, models: list[str], judge: str) -> DataFrame:
-    """(question_id, model_a, model_b, judge_id) where one side or both have no answer."""
+    """(question_id, model_a, model_b, judge_id) where one side or both have no answer, in the order of ``models``."""
     lacking = unanswered(questions, answers, models, judge)
     named = F.explode(F.array(*map(F.lit, models)))
     pairs = lacking.select("question_id", "model_id", "judge_id", named.alias("other")).where("model_id <> other")
-    return pairs.select("question_id", F.least("model_id", "other").alias("model_a"), F.greatest("model_id", "other").alias("model_b"), "judge_id").distinct()
+    place = F.create_map(*(F.lit(x) for k, m in enumerate(models) for x in (m, k)))
+    first = place[F.col("model_id")] < place[F.col("other")]
+    ends = [F.when(first, F.col(x)).otherwise(F.col(y)) for x, y in (("model_id", "other"), ("other", "model_id"))]
+    return pairs.select("question_id", ends[0].alias("model_a"), ends[1].alias("model_b"), "judge_id").distinct()
 
 
 def judge_pairs(units: DataFrame, make_chat: MakeChat = None, **options) -> DataFrame:
@@ -139,43 +148,5 @@ def judge_pairs(units: DataFrame, make_chat: MakeChat = None, **options) -> Data
     winner = resolve_winner(F.col("winner_ab"), F.col("winner_ba"), F.col("model_a"), F.col("model_b"))
     return out.select(
         "question_id", "model_a", "model_b", "judge_id", winner.alias("winner"), "judgment_ab", "judgment_ba", "winner_ab", "winner_ba",
-        F.lit(2).alias("turn"), "category", _now().alias("tstamp"), "input_sha256", F.coalesce("error_ab", "error_ba").alias("error"),
+        F.lit(2).alias("turn"), "category", now().alias("tstamp"), "input_sha256", F.coalesce("error_ab", "error_ba").alias("error"),
     )
-
-
-# Translations.
-TRANSLATE = "Translate the text into English. Keep its meaning, its difficulty, its format and every constraint. Give the translation alone."
-CONTEXT = "The conversation so far, in English:\n{previous}\n\nTranslate what follows:\n"
-CHECK = "Compare a text with a translation of it. Give JSON alone with semantic_preservation, difficulty_preservation, constraint_preservation and overall_score (1 to 5), issue_summary and needs_manual_check."
-
-
-def _translated(text: Column, previous: Column | None = None) -> Column:
-    head, tail = CONTEXT.split("{previous}")
-    user = text if previous is None else F.concat(F.lit(head), previous, F.lit(tail), text)
-    return _user(("system", F.lit(TRANSLATE)), ("user", user))
-
-
-def translate_back(questions: DataFrame, make_chat: MakeChat = None, **options) -> DataFrame:
-    """Questions with turns and references translated: turn 2 sees turn 1's translation, each reference stands alone."""
-    failed = F.lit(None).cast("string")
-    out = questions.withColumn("_failed", failed)
-    for turn in (0, 1):
-        messages = _translated(_turn("turns", 0)) if turn == 0 else F.when(F.col("_failed").isNull(), _translated(_turn("turns", 1), F.col("_turn0")))
-        out = respond(out.withColumn("messages", messages), make_chat, **options)
-        out = out.withColumn("_failed", F.coalesce("_failed", "error")).withColumnRenamed("response", f"_turn{turn}").drop("error", "messages")
-    slots = questions.select("question_id", F.posexplode("reference").alias("slot", "text"))
-    done = respond(slots.withColumn("messages", _translated(F.col("text"))), make_chat, **options)
-    gathered = done.groupBy("question_id").agg(  # a question's two slots
-        F.transform(F.array_sort(F.collect_list(F.struct("slot", "response"))), lambda s: s["response"]).alias("_reference"), F.max("error").alias("_error")
-    )
-    out = out.join(gathered, "question_id", "left")
-    source = fingerprints.translation_source(F.col("question_id"), F.col("category"), F.col("turns"), F.col("reference"))
-    return out.select(
-        "question_id", "category", F.array("_turn0", "_turn1").alias("turns"), F.when(F.col("reference").isNotNull(), F.coalesce("_reference", "reference")).alias("reference"),
-        source.alias("source_sha256"), fingerprints.instructions("back-translation/1", TRANSLATE, CONTEXT).alias("prompt_sha256"), F.coalesce("_failed", "_error").alias("error"),
-    )
-
-
-def check_messages(original: Column, translated: Column) -> Column:
-    """The call whose answer ``validity.parse_verdict`` reads."""
-    return _user(("system", F.lit(CHECK)), ("user", F.concat(F.lit("Original:\n"), original, F.lit("\n\nTranslation:\n"), translated)))

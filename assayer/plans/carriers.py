@@ -67,11 +67,11 @@ CARRIERS: dict[str, tuple[str, str]] = {
     ),
     "existing": (
         "events",
-        "SELECT event_id AS seq, event_id % 500 AS id, event_type AS payload, CASE WHEN event_id % 5 = 0 THEN '' ELSE 'h' || CAST(user_id % 3 AS STRING) END AS input_sha256 FROM {events} WHERE event_id % 2 = 0",
+        "SELECT event_id AS seq, event_id % 500 AS id, event_type AS payload, CASE WHEN event_id % 5 = 0 THEN '' ELSE 'h' || CAST(user_id % 3 AS STRING) END AS input_sha256 FROM {events}",
     ),
     "incoming": (
         "events",
-        "SELECT event_id AS seq, (event_id - 1) % 700 AS id, event_type AS payload, 'h' || CAST(user_id % 3 AS STRING) AS input_sha256 FROM {events} WHERE event_id % 2 = 1",
+        "SELECT event_id AS seq, 250 + (7 * event_id) % 500 AS id, event_type AS payload, 'h' || CAST(user_id % 3 AS STRING) AS input_sha256 FROM {events}",
     ),
     "paths": (
         "pages",

@@ -96,9 +96,9 @@ def _(t):
     return t.raw("documents").select("doc_id", text.has_script(F.col("text"), "à", "ÿ").alias("accents"), text.has_script(F.col("text")).alias("korean"))
 
 
-SECRETS_SQL = r"""array_to_string(list_filter([CASE WHEN regexp_matches({0}, '\b(?:sk|rk|pk)-[A-Za-z0-9_-]{{32,}}\b') THEN 'provider_key' END,
-    CASE WHEN regexp_matches({0}, '\b(?:gh[pousr]_[A-Za-z0-9]{{20,}}|github_pat_[A-Za-z0-9_]{{20,}})\b') THEN 'forge_token' END,
-    CASE WHEN regexp_matches({0}, '\bAKIA[0-9A-Z]{{16}}\b') THEN 'cloud_key' END, CASE WHEN regexp_matches({0}, '\bhf_[A-Za-z0-9]{{30,}}\b') THEN 'hub_token' END], lambda x: x IS NOT NULL), ',')"""
+SECRETS_SQL = r"""array_to_string(list_filter([CASE WHEN regexp_matches({0}, '\b(?:sk|rk|pk)-[A-Za-z0-9_-]{{32,}}\b') THEN 'OpenAI-style key' END,
+    CASE WHEN regexp_matches({0}, '\b(?:gh[pousr]_[A-Za-z0-9]{{20,}}|github_pat_[A-Za-z0-9_]{{20,}})\b') THEN 'GitHub token' END,
+    CASE WHEN regexp_matches({0}, '\bAKIA[0-9A-Z]{{16}}\b') THEN 'AWS access key' END, CASE WHEN regexp_matches({0}, '\bhf_[A-Za-z0-9]{{30,}}\b') THEN 'Hugging Face token' END], lambda x: x IS NOT NULL), ',')"""
 
 
 @query("secret_scan", f"SELECT page_id, {SECRETS_SQL.format('html')} AS found FROM pages")
@@ -245,18 +245,24 @@ def _(t):
 
 # Metrics.
 SCORES_SQL = """avg(score) AS overall, count(DISTINCT question_id) AS n_questions, count(score) AS n_samples, count(*) AS observed, {expected}::BIGINT AS expected,
-count(*) - count(score) AS failures, (count(*) - count(score)) / count(*) AS failure_rate, count(DISTINCT question_id) / {questions}.0::DOUBLE AS coverage"""
+count(*) - count(score) AS failures, (count(*) - count(score)) / count(*) AS failure_rate, count(DISTINCT question_id) / {questions}::DOUBLE AS coverage"""
 BY = ["lang", "judge_id", "model_id"]
 
 
 @query("single_scores", _on_single(f"SELECT lang, judge_id, model_id, {SCORES_SQL.format(expected=160, questions=80)} FROM turns GROUP BY ALL"))
 def _(t):
+    return metrics.single_scores(t.single, BY, 80).drop(*CATEGORIES)
+
+
+@query("scores_unplanned", _on_single(f"SELECT lang, judge_id, model_id, {SCORES_SQL.format(expected='count(*)', questions='NULL')} FROM turns GROUP BY ALL"))
+def _(t):
+    """Nobody says how many questions were asked: as many samples as there are, and no coverage."""
     return metrics.single_scores(t.single, BY).drop(*CATEGORIES)
 
 
 @query("scores_wide", _on_single(f"SELECT lang, judge_id, model_id, {_means()}, avg(score) AS overall FROM turns GROUP BY ALL"))
 def _(t):
-    return metrics.single_scores(t.single, BY).select(*BY, *CATEGORIES, "overall")
+    return metrics.single_scores(t.single, BY, 80).select(*BY, *CATEGORIES, "overall")
 
 
 @query(
@@ -267,7 +273,7 @@ def _(t):
     ),
 )
 def _(t):
-    return metrics.reference_scores(t.single.where(F.col("category").isin("math", "reasoning", "coding")), BY)
+    return metrics.reference_scores(t.single.where(F.col("category").isin("math", "reasoning", "coding")), BY, 29)
 
 
 GAMES = "SELECT *, unnest([model_a, model_b]) AS model_id FROM latest {where}"
@@ -390,7 +396,7 @@ def _(t):
 
 @query("topk_models", _on_single("SELECT lang, judge_id, model_id, avg(score) AS overall FROM turns GROUP BY ALL ORDER BY overall DESC NULLS LAST, model_id, lang, judge_id LIMIT 10"))
 def _(t):
-    scores = metrics.single_scores(t.single, BY).select(*BY, "overall")
+    scores = metrics.single_scores(t.single, BY, 80).select(*BY, "overall")
     return scores.orderBy(F.col("overall").desc_nulls_last(), "model_id", "lang", "judge_id").limit(10)
 
 
@@ -638,9 +644,9 @@ def _(t):
     return merge.upsert(t["existing"], dedup.last_wins(t["incoming"], "id"), "id")
 
 
-@query("orphan_prune", oracle("SELECT seq, id FROM existing WHERE id IN (SELECT id FROM incoming WHERE seq % 3 = 0)", "existing", "incoming"))
+@query("orphan_prune", oracle("SELECT seq, id FROM existing WHERE id IN (SELECT id FROM incoming)", "existing", "incoming"))
 def _(t):
-    return merge.prune_orphans(t["existing"], t["incoming"].where("seq % 3 = 0"), "id").select("seq", "id")
+    return merge.prune_orphans(t["existing"], t["incoming"], "id").select("seq", "id")
 
 
 @query("incomplete_ids", oracle("SELECT id, concat_ws(',', max(CASE WHEN w = 1 THEN 'missing' END), max(CASE WHEN w = 2 THEN 'failed' END)) AS why FROM (SELECT id, 1 AS w FROM existing WHERE input_sha256 = '' UNION ALL SELECT id, 2 FROM incoming WHERE seq % 10 = 1) GROUP BY id", "existing", "incoming"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,17 +18,18 @@ def csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
-def _below(spark: SparkSession, root: str) -> Column:
+def below(spark: SparkSession, root: str, path: Column) -> Column:
     """A file's path relative to the folder ``root``."""
     at = spark._jvm.org.apache.hadoop.fs.Path(root)
     whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
-    return F.substring(F.url_decode("path"), F.lit(len(whole) + 2), F.length(F.url_decode("path")))
+    base = re.sub("^file:/+", "file:/", whole.rstrip("/"))
+    return F.substring(F.regexp_replace(path, "^file:/+", "file:/"), F.lit(len(base) + 2), F.length(path))
 
 
 def digests(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, digest) of every file below ``path``; paths are relative to it, as in a manifest."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    return files.select(_below(spark, path).alias("path"), F.sha2("content", 256).alias("digest"))
+    return files.select(below(spark, path, F.col("path")).alias("path"), F.sha2("content", 256).alias("digest"))
 
 
 # What no release lists.
@@ -47,7 +49,7 @@ def listed(path: Column) -> Column:
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """(path, size) of a release's files, without reading them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.select(_below(spark, root).alias("path"), F.col("length").alias("size")).where(listed(F.col("path")))
+    return files.select(below(spark, root, F.col("path")).alias("path"), F.col("length").alias("size")).where(listed(F.col("path")))
 
 
 def import_folders(spark: SparkSession, pairs: list[tuple[str, str]], verify: Callable[[], bool]) -> None:

@@ -194,7 +194,7 @@ def test_a_writer_that_dies_loses_nothing(spark, tmp_path, monkeypatch):
     merge_batch(spark.range(100).selectExpr("id as seq", "id", "'old' as v"), at, ["id"], parts=4)
     batch = spark.createDataFrame([(k, 95 + k, "new") for k in range(10)], schema)
 
-    def dies(*_):
+    def dies(*_, **__):
         raise OSError("gone")
 
     monkeypatch.setattr(published, "commit", dies)
@@ -248,8 +248,8 @@ def test_secrets_in_whole_documents(spark, tmp_path):
     from assayer.plans.catalog import QUERIES
 
     long = "word " * 20_000
-    cases = [("x sk-" + "a1" * 16 + " y", "provider_key"), ("ghp_" + "Zz" * 10, "forge_token"), ("AKIA" + "Q7" * 8, "cloud_key"), ("hf_" + "b" * 29, ""), ("hf_" + "b" * 30, "hub_token"), ("plain", ""), ("", ""), (None, "")]
-    cases += [(long + f"AKIA{'Q7' * 8} github_pat_{'z' * 20}, hf_{'c' * 40}", "forge_token,cloud_key,hub_token")]
+    cases = [("x sk-" + "a1" * 16 + " y", "OpenAI-style key"), ("ghp_" + "Zz" * 10, "GitHub token"), ("AKIA" + "Q7" * 8, "AWS access key"), ("hf_" + "b" * 29, ""), ("hf_" + "b" * 30, "Hugging Face token"), ("plain", ""), ("", ""), (None, "")]
+    cases += [(long + f"AKIA{'Q7' * 8} github_pat_{'z' * 20}, hf_{'c' * 40}", "GitHub token,AWS access key,Hugging Face token")]
     spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r["found"] for r in QUERIES["secret_scan_documents"](spark, str(tmp_path)).collect()}
     assert got == {k: found for k, (_, found) in enumerate(cases)}

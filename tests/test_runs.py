@@ -50,7 +50,7 @@ def test_generation_is_resumed(spark, questions, tmp_path):
     units = protocols.generation_units(questions, ["m0", "m1"], BACKEND, system="be brief")
 
     def call(make):
-        return lambda pending: protocols.generate(pending, make, attempts=1, delay=0)
+        return lambda pending, journal: protocols.generate(pending, make, attempts=1, delay=0, journal=journal)
 
     with pytest.raises(resume.IncompleteRun, match="2 units"):
         resume.run(spark, at, units, resume.GENERATION, call(failing("q2 of 82")), ANSWERS)
@@ -74,7 +74,7 @@ def test_single_grades_are_resumed(spark, questions, answers, tmp_path):
     units = protocols.single_units(questions, answers, "judge", BACKEND)
     missing = protocols.unanswered(questions, answers, ["m0", "m1", "m2"], "judge")
     with pytest.raises(resume.IncompleteRun, match="'why': 'missing'"):
-        resume.run(spark, at, units, resume.SINGLE, lambda p: protocols.grade_single(p, failing("nothing")), schemas.SINGLE, missing)
+        resume.run(spark, at, units, resume.SINGLE, lambda p, journal: protocols.grade_single(p, failing("nothing"), journal=journal), schemas.SINGLE, missing)
     rows = published.read(spark, at).collect()
     assert len(rows) == 8 and {(r["score_turn1"], r["score_turn2"], r["avg_score"]) for r in rows} == {(8.0, 8.0, 8.0)}
     # Broken records are called again, sound ones are not; a reference that plain grading does not use makes nothing stale.
@@ -82,7 +82,7 @@ def test_single_grades_are_resumed(spark, questions, answers, tmp_path):
     published.publish(broken, at, "parquet")
     called = []
 
-    def call(pending):
+    def call(pending, journal):
         called.extend(sorted(tuple(r) for r in pending.select("question_id", "model_id").collect()))
         return protocols.grade_single(pending)
 
@@ -100,7 +100,7 @@ def test_pairs_are_resumed(spark, questions, answers, tmp_path, references):
     asked = {81} if references else {81, 82, 83}
     with pytest.raises(resume.IncompleteRun) if not references else nullcontext():
         missing = protocols.unanswered_pairs(protocols.with_references(questions) if references else questions, answers, ["m0", "m1", "m2"], "judge")
-        resume.run(spark, at, units, resume.PAIRWISE, lambda p: protocols.judge_pairs(p, failing("nothing")), schemas.PAIRWISE, missing)
+        resume.run(spark, at, units, resume.PAIRWISE, lambda p, journal: protocols.judge_pairs(p, failing("nothing"), journal=journal), schemas.PAIRWISE, missing)
     rows = published.read(spark, at).collect()
     assert {r["question_id"] for r in rows} == asked and {r["winner"] for r in rows} == {"tie"} and {r["turn"] for r in rows} == {2}
     assert len(rows) == (3 if references else 7)
@@ -112,7 +112,7 @@ def test_pairs_are_resumed(spark, questions, answers, tmp_path, references):
 def test_reference_grades_are_resumed(spark, questions, answers, tmp_path):
     at = str(tmp_path / "reference")
     units = protocols.reference_single_units(questions, answers, "judge", BACKEND)
-    final = resume.run(spark, at, units, resume.REFERENCE_SINGLE, lambda p: protocols.grade_reference_single(p, failing("nothing")), schemas.SINGLE)
+    final = resume.run(spark, at, units, resume.REFERENCE_SINGLE, lambda p, journal: protocols.grade_reference_single(p, failing("nothing"), journal=journal), schemas.SINGLE)
     assert sorted((r["question_id"], r["score_turn1"], r["score_turn2"], r["judgment_turn1"], r["avg_score"]) for r in final.collect()) == [(81, -1.0, 8.0, "", None)] * 3
     declared = protocols.reference_single_units(questions, answers, "judge", BACKEND, selection="historical-declared")
     assert sorted({r[0] for r in declared.select("question_id").collect()}) == [81, 83]
@@ -120,17 +120,6 @@ def test_reference_grades_are_resumed(spark, questions, answers, tmp_path):
         protocols.with_references(questions, "other")
 
 
-def test_back_translation(spark, questions):
-    def make():
-        return lambda m: f"[{m[-1]['content'][-8:]}|{'[' in m[-1]['content']}]"
-
-    rows = {r["question_id"]: r for r in protocols.translate_back(questions, make).collect()}
-    assert rows[81]["turns"] == ["[q1 of 81|False]", "[q2 of 81|True]"] and rows[81]["reference"] == ["[r1|False]", "[r2|False]"]
-    assert rows[82]["reference"] is None and rows[82]["error"] is None and rows[81]["source_sha256"] != rows[83]["source_sha256"]
-    failed = {r["question_id"]: r for r in protocols.translate_back(questions, failing("q1 of 82"), attempts=1, delay=0).collect()}
-    assert failed[82]["error"] and not failed[81]["error"]
-
-
 def _records(models, ids):
     single = [(q, m, "j", 5.0, 6.0, "a", "b", "math", 1.0, "h", None, k) for k, (q, m) in enumerate((q, m) for q in ids for m in models)]
     pairs = [(q, a, b, "j", "tie", "x", "y", "tie", "tie", 2, "math", 1.0, "h", k) for k, (q, a, b) in enumerate((q, a, b) for q in ids for a in models for b in models if a < b)]
@@ -169,8 +158,8 @@ def test_folders_of_judgments(spark, tmp_path):
         (folder / f"{name}.jsonl").write_text("".join(json.dumps({"question_id": i, "model_id": "named", "judge_id": judge, "score_turn1": 3}) + "\n" for i in ids))
     rows = jsonl.judgments(spark, str(root), "single_grade", schemas.SINGLE).orderBy("seq").collect()
     assert [(r["lang"], r["judge_key"], r["protocol"], r["file_name"], r["question_id"], r["model_id"]) for r in rows] == [
-        ("en", "j1", "single_grade", "m a.jsonl", 81, "named"), ("en", "j1", "single_grade", "m a.jsonl", 82, "named"),
-        ("en", "j1", "single_grade", "m b.jsonl", 81, "named"), ("ko", "j2", "single_grade", "m a.jsonl", 83, "named"),
+        ("en", "j1", "single_grade", "m a", 81, "named"), ("en", "j1", "single_grade", "m a", 82, "named"),
+        ("en", "j1", "single_grade", "m b", 81, "named"), ("ko", "j2", "single_grade", "m a", 83, "named"),
     ]
     folder = str(root / "en" / "judgments" / "fam" / "j1" / "single_grade")
     assert jsonl.stems(spark, folder) == ["m a", "m b"] and jsonl.stems(spark, folder + "/none") == []
