@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm import words as W
-from assayer.llm.tables import materialize, read
+from assayer.llm.tables import fitted, materialize, read
 
 WINDOW = 8
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct_words", "n_upper", "n_lower", "n_bangs")
@@ -190,15 +190,25 @@ def decide(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "t
     """Key, counts, shares, ``base_failed`` and ``kept`` for every row.
 
     The list is learnt on at most ``max_labelled`` labelled rows, those whose hashed key is smallest;
-    label 0 means reject, null labels are left out. Without labels all that passes the base is kept.
-    Null texts count as empty, so they fail the base. Repeated rows and rows without a key are judged each for
-    itself; all rows of a labelled key teach. Other columns are left out; an empty table gives no rows.
+    label 0 means reject, null labels are left out. Without labels all that passes the base is kept. It is
+    learnt in one task, and the driver gets the rules alone. Null texts count as empty, so they fail the base. Repeated rows and
+    rows without a key are judged each for itself, but of a labelled key one row teaches, the first by its counts, with the least of
+    its labels. Other columns are left out; an empty table gives no rows.
     """
     stats = features(materialize(text_statistics(df, key, text))).withColumn("base_failed", base_failed())
-    chosen = labels.where(F.col(label).isNotNull()).select(key, label).orderBy(F.xxhash64(key), key).limit(max_labelled)
-    rows = stats.join(F.broadcast(chosen), key).where("not base_failed").select(*FEATURES, label).orderBy(*FEATURES, label).toPandas()  # at most max_labelled rows of labels were sent
-    rules = learn(rows[FEATURES].to_numpy(float), (rows[label] == 0).to_numpy())
-    return stats.withColumn("kept", ~F.col("base_failed") & verdict(rules, FEATURES))
+    chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("_label")).orderBy(F.xxhash64(key), key).limit(max_labelled)
+    rows = stats.join(F.broadcast(chosen), key).where("not base_failed")  # max_labelled keys at most
+    rows = rows.groupBy(key).agg(F.min(F.struct(*FEATURES, "_label")).alias("r")).select("r.*")  # and a row for each
+    return stats.withColumn("kept", ~F.col("base_failed") & verdict(fitted(rows, learnt), FEATURES))
+
+
+def learnt(rows: pa.Table) -> list[list[Condition]]:
+    """Rules from such rows, whatever their order."""
+    if not rows.num_rows:
+        return []
+    rows = rows.sort_by([(c, "ascending") for c in (*FEATURES, "_label")])
+    x = np.column_stack([rows.column(c).to_numpy().astype(float) for c in FEATURES])
+    return learn(x, rows.column("_label").to_numpy() == 0)
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
