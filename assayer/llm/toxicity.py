@@ -305,10 +305,12 @@ def score_batches(batches: Iterator[pa.RecordBatch], net: Network, rest: list[st
 
 
 def labelled_sample(df: DataFrame, labels: DataFrame, key: str, text: str, label: str, most: int) -> DataFrame:
-    """Key, text and label of at most ``most`` rows of each label, those whose hashed key is smallest."""
-    kinds = [labels.where(F.col(label) == k).select(F.col(key).alias("_key"), F.col(label).alias("_label")).orderBy(F.xxhash64("_key"), "_key").limit(most) for k in (0, 1)]
+    """Key, text and label of at most ``most`` keys of each label, those whose hashed key is smallest; one row a key."""
+    of_key = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_key")).agg(F.max(label).alias("_label"))
+    kinds = [of_key.where(F.col("_label") == k).orderBy(F.xxhash64("_key"), "_key").limit(most) for k in (0, 1)]
     chosen = kinds[0].unionByName(kinds[1])  # 2 * most rows at most
-    return df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key").select("_key", "_label", "_text")
+    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key")
+    return rows.groupBy("_key", "_label").agg(F.min("_text").alias("_text")).select("_key", "_label", "_text")
 
 
 def fit(sample: pa.Table) -> Network:
@@ -323,8 +325,8 @@ def toxicity(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     """Key and ``toxicity_score`` (0 to 1) of each row's whole text, by a network learnt on ``labels``.
 
     ``most_labelled`` bounds the labelled rows of either kind that the network is fitted on, in one
-    task. Null and empty texts score 0; repeated rows and rows without a key are scored each for itself;
-    null labels teach nothing, and without labels of both kinds the network stays as drawn. An
+    task: one row of a key teaches, the one whose text is first in order, with the largest of its labels. Null and empty texts
+    score 0; repeated rows and rows without a key are scored each for itself; null labels teach nothing, and without labels of both kinds the network stays as drawn. An
     empty table gives no rows. Other columns are left out, with ``carry`` they stay; one that is
     already named ``toxicity_score`` is replaced.
     """
