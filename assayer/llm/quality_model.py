@@ -184,19 +184,21 @@ def weak_quality(df: DataFrame, key: str = "doc_id", text: str = "text", max_tra
     own = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     spark = df.sparkSession
     scratch = Scratch(spark)
-    stats = scratch(votes(features(text_statistics(own, "_key", "_text"))).select("_key", "pattern"))
-    counted = stats.groupBy("pattern").agg(F.count("*").alias("n")).collect()  # 3 ** labellers rows at most
-    patterns = np.array([[int(c) for c in r["pattern"]] for r in counted], np.int64).reshape(len(counted), len(LABELLERS))
-    posterior, _, _ = expectation_maximisation(patterns, np.array([r["n"] for r in counted], float))
-    known = spark.createDataFrame([(r["pattern"], float(p)) for r, p in zip(counted, posterior, strict=True)], "pattern string, _good double")
-    sample = stats.where("_key is not null").orderBy(F.xxhash64("_key"), "_key").limit(max_train)
-    chosen = sample.join(F.broadcast(known), "pattern").select("_key", "_good")  # max_train rows at most
-    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key")
-    rows = rows.groupBy("_key").agg(F.min("_text").alias("_text"), F.min("_good").alias("_good"))
-    features_of = schema_of(rows, ["_key", "_good"])
-    features_of = StructType([StructField("keys", ArrayType(IntegerType())), StructField("values", ArrayType(FloatType())), *features_of.fields])
-    shared = spark.sparkContext.broadcast(fitted(rows.mapInArrow(lambda it: feature_rows(it, "_text", ["_key", "_good"]), features_of), fit))  # a fixed size
-    scratch.clear()
+    try:
+        stats = scratch(votes(features(text_statistics(own, "_key", "_text"))).select("_key", "pattern"))
+        counted = stats.groupBy("pattern").agg(F.count("*").alias("n")).collect()  # 3 ** labellers rows at most
+        patterns = np.array([[int(c) for c in r["pattern"]] for r in counted], np.int64).reshape(len(counted), len(LABELLERS))
+        posterior, _, _ = expectation_maximisation(patterns, np.array([r["n"] for r in counted], float))
+        known = spark.createDataFrame([(r["pattern"], float(p)) for r, p in zip(counted, posterior, strict=True)], "pattern string, _good double")
+        sample = stats.where("_key is not null").orderBy(F.xxhash64("_key"), "_key").limit(max_train).groupBy("_key").agg(F.min("pattern").alias("pattern"))
+        chosen = sample.join(F.broadcast(known), "pattern").select("_key", "_good")  # max_train rows at most
+        rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key")
+        rows = rows.groupBy("_key").agg(F.min("_text").alias("_text"), F.min("_good").alias("_good"))
+        features_of = schema_of(rows, ["_key", "_good"])
+        features_of = StructType([StructField("keys", ArrayType(IntegerType())), StructField("values", ArrayType(FloatType())), *features_of.fields])
+        shared = spark.sparkContext.broadcast(fitted(rows.mapInArrow(lambda it: feature_rows(it, "_text", ["_key", "_good"]), features_of), fit))  # a fixed size
+    finally:
+        scratch.clear()
     out = df if carry else df.select(key, text)
     rest = [c for c in out.columns if carry or c != text]
     return out.mapInArrow(lambda it: score_batches(it, shared.value, text, rest), schema_of(df, rest, ("quality_score", DoubleType())))
