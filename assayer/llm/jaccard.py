@@ -288,15 +288,18 @@ def _groups(df: DataFrame, scratch: Scratch, key: str, text: str, size: int, per
     # A shingle of one document only is on no list. Parts of a long list have a first document each, and all stay.
     own_list = Window.partitionBy("token", "part")
     listed = sent.withColumn("first", F.min(F.struct("id", "n")).over(own_list)).withColumn("last", F.max("id").over(own_list)).where("first.id < last or part > 0")
-    listed = listed.select("token", "id", "n", "matches", "place", F.col("first.id").alias("first"), F.col("first.n").alias("first_n"))
+    # Written, so that the shuffle of all prefixes goes before the next ones begin.
+    listed = scratch(listed.select("token", "id", "n", "matches", "place", F.col("first.id").alias("first"), F.col("first.n").alias("first_n")))
+    scratch.drop()
     # How many of a document's shingles before this one are on no list: no document that shares this one has them.
     before = F.row_number().over(Window.partitionBy("id").orderBy("place")) - 1
-    listed = listed.withColumn("lone", F.greatest(F.col("place") - before, F.lit(0)))
+    numbered = listed.withColumn("lone", F.greatest(F.col("place") - before, F.lit(0)))
     lists = scratch(
-        listed.join(of_id, "id", "left").withColumn("rep", F.coalesce("rep", "id")).select("token", "rep", "n", "matches", "place", "lone", "first", "first_n")
+        numbered.join(of_id, "id", "left").withColumn("rep", F.coalesce("rep", "id")).select("token", "rep", "n", "matches", "place", "lone", "first", "first_n")
         .join(of_id.select(F.col("id").alias("first"), F.col("rep").alias("first_rep")), "first", "left")
         .select("token", "rep", "n", "matches", "place", "lone", F.coalesce("first_rep", "first").alias("first"), "first_n")  # equal sets have equal sizes
     )
+    scratch.drop(listed)
 
     def texts_of(*ids: DataFrame) -> DataFrame:
         """Up to ``FEW_IDS`` are broadcast, so that texts are not shuffled to choose some of them."""

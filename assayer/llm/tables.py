@@ -69,7 +69,7 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Deletes tables that nothing reads any more; the driver then collects its garbage, by which shuffles that made them go too."""
+        """Deletes tables that nothing reads any more, if any; the driver then collects its garbage, by which shuffles of earlier steps go too."""
         for table in tables:
             fs, at = _folder(self._spark, f"{self._root}/{self._at.pop(id(table))}")
             fs.delete(at, True)
