@@ -315,7 +315,9 @@ def _groups(df: DataFrame, scratch: Scratch, key: str, text: str, size: int, per
         return few.join(right, v).join(left, u)
 
     def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        return scratch(with_texts(pairs, texts, "u", "v").mapInArrow(lambda it: verify_batches(it, size, percent), "u long, v long"))
+        out = scratch(with_texts(pairs, texts, "u", "v").mapInArrow(lambda it: verify_batches(it, size, percent), "u long, v long"))
+        scratch.drop()  # texts were shuffled
+        return out
 
     # Each document against the one that is smallest in most of its lists; those without a link then once for each component.
     candidates = scratch(
@@ -367,6 +369,7 @@ def _groups(df: DataFrame, scratch: Scratch, key: str, text: str, size: int, per
         if to_pivot.isEmpty():
             break
         apart = scratch(with_texts(to_pivot, texts, "rep", "pivot").mapInArrow(lambda it: differences(it, shared.value, size, percent), DIFFERENCES))
+        scratch.drop()
         links = links.unionByName(scratch(apart.where("kind = -1 and linked").select(F.col("rep").alias("u"), F.col("pivot").alias("v"))))
         # One of a pair is not similar to the pivot; away from it, the other is smaller than the pivot.
         apart_from, smaller = F.count_if(~F.col("linked")), F.count_if(F.col("n") < F.col("pivot_n"))
@@ -387,6 +390,7 @@ def _groups(df: DataFrame, scratch: Scratch, key: str, text: str, size: int, per
     for more in found[1:]:
         every = every.unionByName(more)
     every = scratch(every.distinct().join(tried, ["u", "v"], "left_anti"))
+    scratch.drop(texts)
     more = verified(every, texts_of(every.select("u"), every.select("v")))
     final = components(links.unionByName(more)).withColumnRenamed("id", "rep")
     shared.destroy()
