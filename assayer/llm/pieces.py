@@ -11,6 +11,7 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +87,11 @@ class Model:
         own = sorted((p.piece.encode() for p in proto.pieces if p.type == kind.USER_DEFINED), key=len, reverse=True)
         self.fixed = re.compile(b"|".join(map(re.escape, own))) if own else None
         self.byte_type, self.unknown_type = kind.BYTE, kind.UNKNOWN
+        # Of each piece: characters, source bytes (a mark stands for a space), text; and whether it is spelled in bytes or unknown.
+        self.chars = np.array([len(p) for p in self.pieces])
+        self.sizes = np.array([len(p.replace(MARK, " ").encode()) for p in self.pieces])
+        self.shown = [p.replace(MARK, " ") for p in self.pieces]
+        self.odd = np.isin(self.types, (kind.BYTE, kind.UNKNOWN))
         long = {c for p in proto.pieces if p.type in (kind.NORMAL, kind.USER_DEFINED) and len(p.piece) > 1 for c in p.piece[1:]}
         marked = any(MARK in p.piece.lstrip(MARK) for p in proto.pieces if p.type != kind.CONTROL)
         # A place before the mark is a boundary when no piece runs over it; so is a line end that no piece holds.
@@ -127,31 +133,41 @@ class Model:
 
     def encode(self, segments: list[str]) -> list[np.ndarray]:
         """For each piece of each normalised segment: id, characters it ends after, source bytes if nothing was replaced."""
-        out = []
-        for segment, ids in zip(segments, self._processor.encode(segments, num_threads=1), strict=True):
-            rows, pending = np.zeros((len(ids), 3), np.int32), b""
-            chars = iter(segment)
-            for k, i in enumerate(ids):
-                if self.types[i] == self.byte_type:
-                    pending += bytes([int(self.pieces[i][3:5], 16)])
-                    try:
-                        part, pending = pending.decode(), b""
-                    except UnicodeDecodeError:
-                        part = ""
-                elif self.types[i] == self.unknown_type:
-                    part = "".join(chars)[:]  # a run without byte pieces; only whole segments reach it
-                    chars = iter("")
-                else:
-                    part = self.pieces[i]
-                if self.types[i] != self.unknown_type:
-                    for _ in part:
-                        next(chars, None)
-                rows[k] = i, len(part), sum(1 if c == MARK else len(c.encode()) for c in part)
-            out.append(rows)
+        found = self._processor.encode(segments, num_threads=1)
+        at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+        ids = np.fromiter(chain.from_iterable(found), np.int32, at[-1])
+        rows = np.stack([ids, self.chars[ids], self.sizes[ids]], 1).astype(np.int32)
+        out = [rows[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        odd = np.concatenate([[0], np.cumsum(self.odd[ids])])[at]
+        for k in np.flatnonzero(odd[1:] > odd[:-1]).tolist():
+            out[k] = self._spelled(segments[k], found[k])
         return out
 
+    def _spelled(self, segment: str, ids: list[int]) -> np.ndarray:
+        """The same for one segment that holds byte pieces or an unknown one."""
+        rows, pending, chars = np.zeros((len(ids), 3), np.int32), b"", iter(segment)
+        for k, i in enumerate(ids):
+            if self.types[i] == self.byte_type:
+                pending += bytes([int(self.pieces[i][3:5], 16)])
+                try:
+                    part, pending = pending.decode(), b""
+                except UnicodeDecodeError:
+                    part = ""
+            elif self.types[i] == self.unknown_type:
+                part = "".join(chars)  # a run without byte pieces; only whole segments reach it
+                chars = iter("")
+            else:
+                part = self.pieces[i]
+            if self.types[i] != self.unknown_type:
+                for _ in part:
+                    next(chars, None)
+            rows[k] = i, len(part), sum(1 if c == MARK else len(c.encode()) for c in part)
+        return rows
+
     def surface(self, ids: np.ndarray) -> str:
         """What the library's decode gives for these ids, before a leading mark is dropped."""
+        if not self.odd[ids].any():
+            return "".join(map(self.shown.__getitem__, ids.tolist()))
         parts = [
             bytes([int(self.pieces[i][3:5], 16)]) if self.types[i] == self.byte_type
             else (self.unknown if self.types[i] == self.unknown_type else self.pieces[i].replace(MARK, " ")).encode()
