@@ -180,7 +180,8 @@ def encoder(blob: str) -> tuple[Merges, Classes, HashedSegments]:
 def encode_batches(batches: Iterator[pa.RecordBatch], blob: str, key: str, text: str) -> Iterator[pa.RecordBatch]:
     merges, classes, cache = encoder(blob)
     added, id_of = added_tokens(blob)
-    for batch in W.slices(batches, text):
+    W._OWN_CACHES["byte pairs"] = encoder.cache_clear
+    for batch in W.slices(batches, text, own="byte pairs"):
         cache.trim()
         data, at = W.raw(W.plain(batch.column(text)))
         whole = data.tobytes()

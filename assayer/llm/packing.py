@@ -98,7 +98,8 @@ def token_pieces(batches: Iterator[pa.RecordBatch], blob: str, budget: int, end_
     # White space always ends a token and is dropped, so each run between it can be encoded on its own.
     cache = word_encoder(blob)
     added, id_of = added_tokens(blob)
-    for batch in W.slices(batches, text):
+    W._OWN_CACHES["packing"] = word_encoder.cache_clear
+    for batch in W.slices(batches, text, own="packing"):
         cache.trim()
         data, at = W.raw(W.plain(batch.column(text)))
         whole = data.tobytes()

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -65,8 +65,17 @@ def release() -> None:
         pass
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str | tuple[str, ...], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds about ``limit`` bytes of text, of all columns named; a longer text stands alone."""
+#: How to give up what an operator keeps for all its tasks of a worker, by operator.
+_OWN_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str | tuple[str, ...], limit: int = SLICE_BYTES, own: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each holds about ``limit`` bytes of text, of all columns named; a longer text stands alone.
+
+    Where a worker turns to another operator (``own``), it gives up what others keep in it.
+    """
+    for name in [n for n in _OWN_CACHES if n != own]:
+        _OWN_CACHES.pop(name)()
     for batch in batches:
         if not batch.num_rows:
             continue
