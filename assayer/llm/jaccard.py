@@ -311,8 +311,10 @@ def _groups(df: DataFrame, scratch: Scratch, key: str, text: str, size: int, per
 
     def with_texts(pairs: DataFrame, texts: DataFrame, u: str, v: str) -> DataFrame:
         left, right = (texts.select(F.col("id").alias(k), F.col("text").alias(t)) for k, t in ((u, "left_text"), (v, "right_text")))
-        few = F.broadcast(pairs) if pairs.count() <= FEW_IDS else pairs  # else one more shuffle of the texts
-        return few.join(right, v).join(left, u)
+        if pairs.count() > FEW_IDS:
+            return pairs.join(right, v).join(left, u)  # one more shuffle of the texts
+        # Only texts that are a pair's first are shuffled, to the pairs that have the other one.
+        return F.broadcast(pairs).join(right, v).join(left.join(F.broadcast(pairs.select(u)), u, "left_semi"), u)
 
     def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         out = scratch(with_texts(pairs, texts, "u", "v").mapInArrow(lambda it: verify_batches(it, size, percent), "u long, v long"))
