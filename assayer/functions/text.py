@@ -55,10 +55,18 @@ def bleu(df: DataFrame, key: str, hypothesis: str, reference: str, most: int = 4
 
 
 def spearman(df: DataFrame, group: str, x: str, y: str, position: str) -> DataFrame:
-    """(group, n, rho): ranks by value then position, ties not averaged; null under three rows."""
-    ranked = [F.row_number().over(Window.partitionBy(group).orderBy(c, position)).alias(k) for c, k in ((x, "rx"), (y, "ry"))]
-    n, d2 = F.count("*"), F.sum((F.col("rx") - F.col("ry")) * (F.col("rx") - F.col("ry")))
-    return df.select(group, *ranked).groupBy(group).agg(n.alias("n"), F.when(n >= 3, 1 - 6 * d2.cast("double") / (n * (n * n - 1)).cast("double")).alias("rho"))
+    """(group, n, rho): ranks by value then position, nulls last, ties not averaged; null under three rows.
+
+    Ranks are subtracted as long; sums of squares and cubes of ``n`` are decimals, exact for groups of any size.
+    """
+
+    def rank(c: str) -> Column:
+        return F.row_number().over(Window.partitionBy(group).orderBy(F.asc_nulls_last(c), F.asc_nulls_last(position))).cast("long")
+
+    apart, n = F.col("rx") - F.col("ry"), F.count("*")
+    d2, whole = F.sum((apart * apart).cast("decimal(19,0)")), n.cast("decimal(10,0)")
+    rho = 1 - 6 * d2.cast("double") / (whole * (whole * whole - 1)).cast("double")
+    return df.select(group, rank(x).alias("rx"), rank(y).alias("ry")).groupBy(group).agg(n.alias("n"), F.when(n >= 3, rho).alias("rho"))
 
 
 def has_script(text: Column, first: str = "가", last: str = "힣") -> Column:

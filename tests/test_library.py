@@ -113,6 +113,19 @@ def test_bleu(spark):
     assert got == {k: pytest.approx(want(*p)) for k, p in enumerate(pairs)}
 
 
+@pytest.mark.parametrize("n", [60_000, 2_200_000])
+def test_ranks_of_large_groups(spark, n):
+    """Squares of ranks beyond int, cubes of the number of rows beyond long."""
+    df = spark.range(n).select(F.lit("g").alias("g"), F.col("id").alias("x"), (-F.col("id")).alias("y"), "id")
+    assert [tuple(r) for r in text.spearman(df, "g", "x", "y", "id").collect()] == [("g", n, -1.0)]
+
+
+def test_ranks_of_nulls(spark):
+    """Nulls are last, as in the SQL."""
+    df = spark.createDataFrame([("g", None, 1, 1), ("g", 1, 2, 2), ("g", 2, 3, 3), ("h", 1, 1, 4), ("h", None, 2, 5)], "g string, x int, y int, id long")
+    assert sorted(tuple(r) for r in text.spearman(df, "g", "x", "y", "id").collect()) == [("g", 3, -0.5), ("h", 2, None)]
+
+
 def test_strict_lines(spark, tmp_path):
     good = {"question_id": 81, "category": "math", "turns": ["a", "b"], "reference": None}
     (tmp_path / "model-a 2.jsonl").write_text("# note\n\n" + json.dumps(good) + "\n")
