@@ -11,6 +11,9 @@ documents of different components are verified, if they share enough prefix shin
 stands behind the last shared one could still make them similar. Long lists are never paired: their
 documents are compared with one of them, the pivot, and meet again by what they do not have in common
 with it (``differences``), which is rare by nature.
+
+Before texts are sent to a pair, its marks are compared: a bit string for each set, in which every shingle
+flips one bit. Sets that differ in d shingles have marks that differ in at most d bits, so no link is lost.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ SLICES = 64
 LONG_LIST, MOST_PIVOTS = 32, 6
 #: Ids, or pairs of ids, that are broadcast.
 FEW_IDS = 500_000
+#: Words of 64 bits in a set's marks, at least; they double until there are as many bits as shingles.
+MARK_WORDS = 4
 #: A list that is estimated to hold more documents is dealt to several tasks.
 ONE_TASK = 20_000
 
@@ -68,19 +73,50 @@ def _sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
+def set_marks(rows: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
+    """For each of ``n`` sets words in which each of its shingles has flipped one bit."""
+    words = np.full(n, MARK_WORDS, np.int64)
+    many = np.bincount(rows, minlength=n)
+    while (few := 64 * words < many).any():
+        words[few] *= 2
+    first = np.concatenate([[0], np.cumsum(words)])
+    at = W.mix(values ^ _U(0xD6E8FEB86659FD93)) & (64 * words[rows] - 1).astype(_U)
+    marks = np.zeros(first[-1], _U)
+    np.bitwise_xor.at(marks, first[rows] + (at >> _U(6)).astype(np.int64), _U(1) << (at & _U(63)))
+    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(marks.view(np.int64)))
+
+
+def _may_be_alike(n: Column, marks: Column, m: Column, other: Column, percent: int) -> Column:
+    """Whether sets of these sizes and marks can be similar enough: if they differ in d shingles, they share (n + m - d) / 2.
+
+    Marks of twice the length are folded first; if one are longer still, sizes alone are compared.
+    """
+
+    def apart(a: Column, b: Column) -> Column:
+        bits = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        return F.aggregate(bits, F.lit(0), lambda total, more: total + more)
+
+    def folded(a: Column, size: Column) -> Column:
+        return F.zip_with(F.slice(a, F.lit(1), size), F.slice(a, size + 1, size), lambda x, y: x.bitwiseXOR(y))
+
+    one, two = F.size(marks), F.size(other)
+    least = F.when(one == two, apart(marks, other)).when(one == 2 * two, apart(folded(marks, two), other)).when(two == 2 * one, apart(marks, folded(other, one))).otherwise(F.abs(n - m))
+    return 100 * (n + m - least) >= percent * (n + m + least)
+
+
 def signatures(batches: Iterator[pa.RecordBatch], bits: int, key: str, text: str, size: int) -> Iterator[pa.RecordBatch]:
-    """For each text its set's size and two hashes; at the end, this task's part of the frequency estimate."""
-    names = ["id", "n", "h1", "h2", "part", "counts"]
+    """For each text its set's size, two hashes and marks; at the end, this task's part of the frequency estimate."""
+    names = ["id", "n", "h1", "h2", "marks", "part", "counts"]
     counts = np.zeros(1 << bits, np.uint32)
     for batch in W.slices(batches, text):
         n = batch.num_rows
         rows, values = shingle_sets(batch.column(text), size)
         np.add.at(counts, (values >> _U(64 - bits)).astype(np.int64), 1)
         signed = [pa.array(_sums(rows, W.mix(values ^ _U(k * 0x632BE59BD9B4E019)), n).view(np.int64)) for k in (1, 2)]
-        yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.bincount(rows, minlength=n).astype(np.int64)), *signed, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.bincount(rows, minlength=n).astype(np.int64)), *signed, set_marks(rows, values, n), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
     parts = [c.tobytes() for c in _coded(counts).reshape(SLICES, -1)]
     nothing = pa.nulls(SLICES, pa.int64())
-    yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, nothing, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names)
+    yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, nothing, pa.nulls(SLICES, pa.list_(pa.int64())), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names)
 
 
 def _coded(counts: np.ndarray) -> np.ndarray:
@@ -271,7 +307,7 @@ def _groups(df: DataFrame, scratch: Scratch, key: str, text: str, size: int, per
     spark = df.sparkSession
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     bits = sketch_bits(int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0))
-    signed = scratch(docs.mapInArrow(lambda it: signatures(it, bits, "id", "text", size), "id long, n long, h1 long, h2 long, part int, counts binary"))
+    signed = scratch(docs.mapInArrow(lambda it: signatures(it, bits, "id", "text", size), "id long, n long, h1 long, h2 long, marks array<long>, part int, counts binary"))
     slices = added_up(signed.where("part is not null").select("part", "counts")).collect()  # the estimate, of a fixed size
     counts = np.zeros((SLICES, (1 << bits) // SLICES), np.float32)
     for r in slices:
@@ -281,8 +317,15 @@ def _groups(df: DataFrame, scratch: Scratch, key: str, text: str, size: int, per
     of_copies = ["n", "h1", "h2"]
     classes = scratch(rows.where("n > 0 and id is not null").groupBy(*of_copies).agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"))
     member = materialize(rows.join(classes, of_copies, "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "id")).alias("rep")))
+    marks = scratch(signed.where("n > 0 and id is not null").select("id", "n", "marks"))
     scratch.drop(signed, classes)
-    of_id = member.where("id <> rep").select("id", "rep")
+
+    def few(ids: DataFrame) -> DataFrame:
+        """Up to ``FEW_IDS`` are broadcast, so that what they meet is not shuffled."""
+        return F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+
+    of_id = few(member.where("id <> rep").select("id", "rep"))
+    of_list = of_id.withColumnsRenamed({"id": "first", "rep": "first_rep"})
 
     sent = docs.mapInArrow(lambda it: prefixes(it, shared.value, "id", "text", size, percent, most_matches, cost, one_task), "token long, id long, n long, matches int, place int, part int")
     # A shingle of one document only is on no list. Parts of a long list have a first document each, and all stay.
@@ -296,28 +339,32 @@ def _groups(df: DataFrame, scratch: Scratch, key: str, text: str, size: int, per
     numbered = listed.withColumn("lone", F.greatest(F.col("place") - before, F.lit(0)))
     lists = scratch(
         numbered.join(of_id, "id", "left").withColumn("rep", F.coalesce("rep", "id")).select("token", "rep", "n", "matches", "place", "lone", "first", "first_n")
-        .join(of_id.select(F.col("id").alias("first"), F.col("rep").alias("first_rep")), "first", "left")
+        .join(of_list, "first", "left")
         .select("token", "rep", "n", "matches", "place", "lone", F.coalesce("first_rep", "first").alias("first"), "first_n")  # equal sets have equal sizes
     )
     scratch.drop(listed)
 
     def texts_of(*ids: DataFrame) -> DataFrame:
-        """Up to ``FEW_IDS`` are broadcast, so that texts are not shuffled to choose some of them."""
         every = ids[0].toDF("id")
         for more in ids[1:]:
             every = every.unionByName(more.toDF("id"))
-        every = scratch(every.distinct())
-        return scratch(docs.join(F.broadcast(every) if every.count() <= FEW_IDS else every, "id", "left_semi"))
+        return scratch(docs.join(few(scratch(every.distinct())), "id", "left_semi"))
 
-    def with_texts(pairs: DataFrame, texts: DataFrame, u: str, v: str) -> DataFrame:
-        left, right = (texts.select(F.col("id").alias(k), F.col("text").alias(t)) for k, t in ((u, "left_text"), (v, "right_text")))
+    def beside(pairs: DataFrame, table: DataFrame, u: str, v: str) -> DataFrame:
+        """Pairs with the other columns of ``table`` for either id, as ``left_`` and ``right_`` ones."""
+        left, right = (table.select(F.col("id").alias(k), *(F.col(c).alias(f"{side}_{c}") for c in table.columns if c != "id")) for k, side in ((u, "left"), (v, "right")))
         if pairs.count() > FEW_IDS:
-            return pairs.join(right, v).join(left, u)  # one more shuffle of the texts
-        # Only texts that are a pair's first are shuffled, to the pairs that have the other one.
+            return pairs.join(right, v).join(left, u)  # one more shuffle of the table
+        # Only rows that are a pair's first are shuffled, to the pairs that have the other one.
         return F.broadcast(pairs).join(right, v).join(left.join(F.broadcast(pairs.select(u)), u, "left_semi"), u)
 
+    def near(pairs: DataFrame) -> DataFrame:
+        """Pairs whose marks leave it open whether they are similar."""
+        alike = _may_be_alike(*map(F.col, ("left_n", "left_marks", "right_n", "right_marks")), percent)
+        return scratch(beside(pairs, marks, "u", "v").where(alike).select("u", "v").distinct())
+
     def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        out = scratch(with_texts(pairs, texts, "u", "v").mapInArrow(lambda it: verify_batches(it, size, percent), "u long, v long"))
+        out = scratch(beside(pairs, texts, "u", "v").mapInArrow(lambda it: verify_batches(it, size, percent), "u long, v long"))
         scratch.drop()  # texts were shuffled
         return out
 
@@ -333,13 +380,13 @@ def _groups(df: DataFrame, scratch: Scratch, key: str, text: str, size: int, per
         return pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
 
     tried = scratch(ordered(candidates.groupBy("rep").agg(F.max_by("first", F.struct("c", -F.col("first"))).alias("first")), "first", "rep"))
-    links = verified(tried, texts)
+    links = verified(near(tried), texts)
     named = components(links)
     alone = candidates.join(named.select(F.col("id").alias("rep")), "rep", "left_anti")
     of_first = named.select(F.col("id").alias("first"), F.col("component_id").alias("of"))
     again = alone.join(of_first, "first", "left").groupBy("rep", F.coalesce("of", "first")).agg(F.max_by("first", F.struct("c", -F.col("first"))).alias("first"))
     again = scratch(ordered(again, "first", "rep").join(tried, ["u", "v"], "left_anti"))
-    tried, links = tried.unionByName(again), links.unionByName(verified(again, texts))
+    tried, links = tried.unionByName(again), links.unionByName(verified(near(again), texts))
     named = components(links)
     scratch.drop(candidates, texts)
     # What is left to compare: documents of different components on one list.
@@ -370,7 +417,7 @@ def _groups(df: DataFrame, scratch: Scratch, key: str, text: str, size: int, per
         to_pivot = scratch(hot.where("rep <> next").select("rep", F.col("next").alias("pivot")).distinct())
         if to_pivot.isEmpty():
             break
-        apart = scratch(with_texts(to_pivot, texts, "rep", "pivot").mapInArrow(lambda it: differences(it, shared.value, size, percent), DIFFERENCES))
+        apart = scratch(beside(to_pivot, texts, "rep", "pivot").mapInArrow(lambda it: differences(it, shared.value, size, percent), DIFFERENCES))
         scratch.drop()
         links = links.unionByName(scratch(apart.where("kind = -1 and linked").select(F.col("rep").alias("u"), F.col("pivot").alias("v"))))
         # One of a pair is not similar to the pivot; away from it, the other is smaller than the pivot.
@@ -391,7 +438,7 @@ def _groups(df: DataFrame, scratch: Scratch, key: str, text: str, size: int, per
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    every = scratch(every.distinct().join(tried, ["u", "v"], "left_anti"))
+    every = near(scratch(every.distinct().join(tried, ["u", "v"], "left_anti")))
     scratch.drop(texts)
     more = verified(every, texts_of(every.select("u"), every.select("v")))
     final = components(links.unionByName(more)).withColumnRenamed("id", "rep")

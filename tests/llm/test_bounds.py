@@ -49,3 +49,48 @@ def test_coded_counters():
     counts = np.array([0, 1, 63, 64, 100, 1000, 10**6, 10**8])
     values = jaccard._VALUES[jaccard._coded(counts)]
     assert (values[:3] == counts[:3]).all() and (np.abs(values[3:] / counts[3:] - 1) < 0.05).all()
+
+
+def test_marks_lose_no_pair(spark):
+    """Sets around the threshold, with marks of the same, of twice and of more than twice the length."""
+    rng = np.random.default_rng(3)
+    sets, pairs = [], []
+    for size in [1, 2, 30, 250, 257, 500, 520, 1000, 1030, 2100] * 6:
+        base = rng.integers(0, 2**63, size, np.uint64)
+        for keep in (1.0, 0.95, 0.9, 0.85, 0.6, 0.2):
+            other = np.concatenate([base[: max(1, int(keep * size))], rng.integers(0, 2**63, int(rng.integers(0, 1 + size // 8)), np.uint64)])
+            pairs.append((len(sets), len(sets) + 1))
+            sets += [base, other]
+    values, rows = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    marks = jaccard.set_marks(rows, values, len(sets)).to_pylist()
+    assert {len(m) for m in marks} == {4, 8, 16, 32, 64}
+    both = [len(np.intersect1d(sets[a], sets[b])) for a, b in pairs]
+    table = spark.createDataFrame([(k, len(sets[a]), marks[a], len(sets[b]), marks[b]) for k, (a, b) in enumerate(pairs)], "k long, n long, x array<long>, m long, y array<long>")
+    for percent in (80, 30):
+        alike = {k for k, (a, b) in enumerate(pairs) if 100 * both[k] >= percent * (len(sets[a]) + len(sets[b]) - both[k])}
+        kept = {r["k"] for r in table.where(jaccard._may_be_alike(*map(jaccard.F.col, "nxmy"), percent)).collect()}
+        assert alike <= kept
+        if percent == 80:
+            large = [k for k, (a, _) in enumerate(pairs) if len(sets[a]) >= 250]
+            assert len(alike) > 100 and not [k for k in large if k in kept and 100 * both[k] < 50 * len(np.union1d(sets[pairs[k][0]], sets[pairs[k][1]]))]
+
+
+def test_texts_go_only_to_pairs_that_may_be_alike(spark, monkeypatch):
+    seen, verify = spark.sparkContext.accumulator(0), jaccard.verify_batches
+
+    def counted(batches, *more):
+        def each():
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return verify(each(), *more)
+
+    monkeypatch.setattr(jaccard, "verify_batches", counted)
+    passages = [" ".join(f"p{k}x{j}" for j in range(20)) for k in range(12)]
+    chosen = [(k, *sorted((k + step) % 12 for step in steps)) for k in range(12) for steps in ((1, 3, 6, 7), (2, 5, 8, 9))]
+    rows = [(i, " ".join(passages[k] for k in c)) for i, c in enumerate(chosen)]
+    rows.append((24, rows[7][1].rsplit(" ", 1)[0] + " new"))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {k: k for k in range(24)} | {24: 7}
+    assert 1 <= seen.value <= 4  # many more share enough shingles of their prefixes
