@@ -8,9 +8,10 @@ verification than its longer lists cost. Documents with one set of shingles form
 Links are found in steps that together miss none. First each document is verified against the
 smallest document that it shares most lists with, which connects most of a group of copies. Then only
 documents of different components are verified, if they share enough prefix shingles and if what
-stands behind the last shared one could still make them similar. Long lists are never paired: their
-documents are compared with one of them, the pivot, and meet again by what they do not have in common
-with it (``differences``), which is rare by nature.
+stands behind the last shared one could still make them similar. Long lists of copies are never paired:
+their documents are compared with one of them, the pivot, and meet again by what they do not have in
+common with it (``differences``), which is rare by nature. That does not help where documents of common
+lines only meet on many lists of different pivots; there pairs are fewer than shingles to read (``_worth``).
 
 Before texts are sent to a pair, its marks are compared: a bit string for each set, in which every shingle
 flips one bit. Sets that differ in d shingles have marks that differ in at most d bits, so no link is lost.
@@ -34,6 +35,8 @@ _U = np.uint64
 SLICES = 64
 #: Lists of more documents are compared by a pivot; so many times, what is left then is paired.
 LONG_LIST, MOST_PIVOTS = 32, 6
+#: A pivot's long lists are paired all the same if that makes at most so many pairs for each shingle that comparing with it reads.
+PAIRS_A_SHINGLE = 32
 #: Ids, or pairs of ids, that are broadcast.
 FEW_IDS = 500_000
 #: Words of 64 bits in a set's marks, at least; they double until there are as many bits as shingles.
@@ -147,21 +150,31 @@ def added_up(parts: DataFrame) -> DataFrame:
 class Frequencies:
     """How many texts hold a shingle, estimated: a counter less what all counters hold on average.
 
-    What lies within four standard deviations of that average counts as nothing.
+    What lies within four standard deviations of that average counts as nothing, but is still ranked.
     """
 
     def __init__(self, counts: np.ndarray):
         noise = counts.mean() if len(counts) else 0.0
         excess = counts - noise
         self._excess = np.where(excess > 4 * np.sqrt(noise), excess, 0).astype(np.float32)
+        # Eighths of a deviation up to four deviations, then eighths of a factor of two.
+        apart = excess / max(1.0, np.sqrt(noise))
+        self._rank = np.floor(np.where(apart < 4, 8 * apart, 32 + 8 * np.log2(np.maximum(apart, 4) / 4))).astype(np.int16)
         self._shift = _U(64 - (len(counts) - 1).bit_length())
 
+    def _at(self, values: np.ndarray) -> np.ndarray:
+        return (values >> self._shift).astype(np.int64)
+
     def __call__(self, values: np.ndarray) -> np.ndarray:
-        return self._excess[(values >> self._shift).astype(np.int64)]
+        return self._excess[self._at(values)]
 
     def rank(self, values: np.ndarray) -> np.ndarray:
-        """Steps of a factor of two: shingles are ordered by them, then by hash."""
-        return np.floor(np.log2(self(values) + 1.0)).astype(np.int8)
+        """Shingles are ordered by their counters, then by hash.
+
+        Also within the noise: of a text's shingles few are in its prefix, and one that many texts hold
+        is seldom among those with the smallest counters, where the order of hashes alone would not tell.
+        """
+        return self._rank[self._at(values)]
 
 
 def prefixes(batches: Iterator[pa.RecordBatch], often: Frequencies, key: str, text: str, size: int, percent: int, most_matches: int, cost: float, one_task: int) -> Iterator[pa.RecordBatch]:
@@ -219,6 +232,8 @@ def verify_batches(batches: Iterator[pa.RecordBatch], size: int, percent: int) -
 
 DIFFERENCES = "pivot long, kind int, token long, rep long, n long, inter long, pivot_n long, linked boolean, left int"
 BESIDE, AWAY = 0, 1
+#: A rank behind those of all counters.
+LAST = 10_000
 
 
 def differences(batches: Iterator[pa.RecordBatch], often: Frequencies, size: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -253,7 +268,7 @@ def differences(batches: Iterator[pa.RecordBatch], often: Frequencies, size: int
         parts = [
             (BESIDE, plus_row, plus, often.rank(plus), at_least, np.ones(count, bool)),
             (AWAY, np.concatenate([plus_row, minus_row]), np.concatenate([plus, W.mix(minus ^ _U(0xA0761D6478BD642F))]),
-             np.concatenate([often.rank(plus), np.full(len(minus), 100, np.int8)]), shared, away),
+             np.concatenate([often.rank(plus), np.full(len(minus), LAST, np.int16)]), shared, away),
         ]
         found = [(np.full(count, -1, np.int32), np.zeros(count, np.int64), np.arange(count), np.zeros(count, np.int32))]
         for kind, row, value, rank, least, wanted in parts:
@@ -285,7 +300,18 @@ def _different(df: DataFrame, keys: list[str], listed: Column, central: Column)
     return df.join(lists.where("a < b and listed > 0").select(*keys, "listed", F.col("next.rep").alias("next")), keys)
 
 
-def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, most_matches: int = 4, cost: float = 5.0, long_list: int = LONG_LIST, most_pivots: int = MOST_PIVOTS, one_task: int = ONE_TASK) -> DataFrame:
+def _worth(rest: DataFrame, long_list: int, pairs_a_shingle: int) -> DataFrame:
+    """Adds to rows of lists whether their list is ``long``: over ``long_list`` documents, and pairs cost more than its pivot does.
+
+    All long lists of one pivot are long together or not at all, as a document is compared with it once for all of them.
+    """
+    of_rep = rest.where(F.col("listed") > long_list).groupBy("next", "rep").agg(F.sum("listed").alias("pairs"), F.max("n").alias("n"))
+    of_pivot = of_rep.groupBy("next").agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n"))
+    worth = of_pivot.where(F.col("pairs") > pairs_a_shingle * F.col("n")).select("next", F.lit(True).alias("worth"))
+    return rest.join(worth, "next", "left").withColumn("long", F.col("worth").isNotNull() & (F.col("listed") > long_list)).drop("worth")
+
+
+def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, most_matches: int = 4, cost: float = 5.0, long_list: int = LONG_LIST, most_pivots: int = MOST_PIVOTS, one_task: int = ONE_TASK, pairs_a_shingle: int = PAIRS_A_SHINGLE) -> DataFrame:
     """Key, n_shingles, component_id for every row.
 
     Letters A-Z count as lower-case. Two texts link when their sets of ``size``-word shingles have a
@@ -293,17 +319,18 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size:
     link with nothing, and rows without a key have no component. Keys (long) are expected to be unique: rows that
     repeat one come out each for itself, with one component that holds the links of all. Other columns are left
     out; an empty table gives no rows. Lists of more than ``long_list`` documents are compared by
-    pivots, up to ``most_pivots`` times in a row; what is still on a long list then is paired. Lists of an
+    pivots, up to ``most_pivots`` times in a row, unless they give at most ``pairs_a_shingle`` pairs for each shingle
+    that this would read; what is still on a long list then is paired. Lists of an
     estimated size of more than ``one_task`` are dealt to several tasks while they are made.
     """
     scratch = Scratch(df.sparkSession)
     try:
-        return _groups(df, scratch, key, text, size, percent, most_matches, cost, long_list, most_pivots, one_task)
+        return _groups(df, scratch, key, text, size, percent, most_matches, cost, long_list, most_pivots, one_task, pairs_a_shingle)
     finally:
         scratch.clear()
 
 
-def _groups(df: DataFrame, scratch: Scratch, key: str, text: str, size: int, percent: int, most_matches: int, cost: float, long_list: int, most_pivots: int, one_task: int) -> DataFrame:
+def _groups(df: DataFrame, scratch: Scratch, key: str, text: str, size: int, percent: int, most_matches: int, cost: float, long_list: int, most_pivots: int, one_task: int, pairs_a_shingle: int) -> DataFrame:
     spark = df.sparkSession
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     bits = sketch_bits(int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0))
@@ -396,12 +423,13 @@ def _groups(df: DataFrame, scratch: Scratch, key: str, text: str, size: int, per
         return rows.join(of_rep, "rep", "left").withColumn("component", F.coalesce("component_id", "rep")).drop("component_id")
 
     own = placed(lists.select("token", "rep", "n", "matches", "place", "lone").distinct())
-    rest = scratch(_different(own, ["token"], F.count("*"), F.col("lone")))
+    on_lists = scratch(_different(own, ["token"], F.count("*"), F.col("lone")))
     scratch.drop(lists)
+    rest = _worth(on_lists, long_list, pairs_a_shingle)
     reach = F.least(F.col("n1") - F.col("lone1"), F.col("n2") - F.col("lone2"))
     # Two documents that meet on short lists only share as many of those as they must; what they share up to the last one is counted.
     met = (
-        _sides(rest.where(F.col("listed") <= long_list).drop("listed", "next"), ["token"])
+        _sides(rest.where("not long").drop("listed", "next", "long"), ["token"])
         .where(_enough(reach, F.col("n1"), F.col("n2"), percent))
         .groupBy("rep1", "rep2")
         .agg(F.count("*").alias("shared"), F.first(F.least("matches1", "matches2")).alias("need"), F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.max("place1").alias("p1"), F.max("place2").alias("p2"))
@@ -410,8 +438,8 @@ def _groups(df: DataFrame, scratch: Scratch, key: str, text: str, size: int, per
     )
     found = [scratch(ordered(met, "rep1", "rep2"))]
     keys = ["pivot", "kind", "token"]
-    hot = scratch(rest.where(F.col("listed") > long_list).select("rep", "next").distinct())
-    scratch.drop(rest)
+    hot = scratch(rest.where("long").select("rep", "next").distinct())
+    scratch.drop(on_lists)
     texts = texts_of(hot.select("rep"))
     for step in range(most_pivots):
         to_pivot = scratch(hot.where("rep <> next").select("rep", F.col("next").alias("pivot")).distinct())
@@ -423,18 +451,19 @@ def _groups(df: DataFrame, scratch: Scratch, key: str, text: str, size: int, per
         # One of a pair is not similar to the pivot; away from it, the other is smaller than the pivot.
         apart_from, smaller = F.count_if(~F.col("linked")), F.count_if(F.col("n") < F.col("pivot_n"))
         listed = F.when(F.col("kind") == BESIDE, apart_from).otherwise(F.least(apart_from, smaller))
-        rest = scratch(_different(placed(apart.where("kind >= 0")), keys, listed, -F.col("inter")))
+        on_lists = scratch(_different(placed(apart.where("kind >= 0")), keys, listed, -F.col("inter")))
         scratch.drop(to_pivot, apart)
-        short = rest.where(F.col("listed") <= long_list) if step < most_pivots - 1 else rest
+        rest = _worth(on_lists, long_list, pairs_a_shingle)
+        short = rest.where("not long") if step < most_pivots - 1 else rest
         n1, n2, least = F.col("n1"), F.col("n2"), F.least("inter1", "inter2")
         left = F.least("left1", "left2")
         most = F.when(F.col("kind") == BESIDE, least + left).otherwise(F.col("inter1") + F.col("inter2") - F.col("pivot_n1") + left)
         inside = _enough(least, n1, n2, percent) & (F.least("n1", "n2") < F.col("pivot_n1"))
         right_kind = F.when(F.col("kind") == AWAY, inside).otherwise(~_enough(least, n1, n2, percent))
-        pairs = _sides(short.drop("listed", "next"), keys).where(~(F.col("linked1") & F.col("linked2")) & _alike(n1, n2, percent) & right_kind & _enough(most, n1, n2, percent))
+        pairs = _sides(short.drop("listed", "next", "long"), keys).where(~(F.col("linked1") & F.col("linked2")) & _alike(n1, n2, percent) & right_kind & _enough(most, n1, n2, percent))
         found.append(scratch(ordered(pairs, "rep1", "rep2")))
-        hot = scratch(rest.where(F.col("listed") > long_list).select("rep", "next").distinct())
-        scratch.drop(rest)
+        hot = scratch(rest.where("long").select("rep", "next").distinct())
+        scratch.drop(on_lists)
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)

@@ -51,6 +51,20 @@ def test_coded_counters():
     assert (values[:3] == counts[:3]).all() and (np.abs(values[3:] / counts[3:] - 1) < 0.05).all()
 
 
+def test_common_shingles_rank_last_within_the_noise():
+    """As in 6 GB of documents: 400 texts to a counter, shingles of 40 texts among those of one."""
+    rng = np.random.default_rng(5)
+    counts = rng.poisson(400, 1 << 16)
+    counts[: 1 << 12] += 40
+    often = jaccard.Frequencies(counts.astype(np.float32))
+    values = (np.arange(1 << 16, dtype=np.uint64) << np.uint64(48)) + rng.integers(0, 2**48, 1 << 16, np.uint64)
+    texts = rng.permutation(1 << 16).reshape(-1, 64)
+    first = np.take_along_axis(texts, np.lexsort((values[texts], often.rank(values[texts])), 1)[:, :13], 1)
+    assert (first < 1 << 12).mean() < 0.01  # of all there are 6 %
+    assert not often(values[(counts > 400) & (counts < 470)]).any() and (np.diff(often.rank(values)[np.argsort(counts)]) >= 0).all()
+    assert jaccard.Frequencies(np.float32([1e12] + [0] * 7)).rank(values[-1:]).dtype == np.int16
+
+
 def test_marks_lose_no_pair(spark):
     """Sets around the threshold, with marks of the same, of twice and of more than twice the length."""
     rng = np.random.default_rng(3)

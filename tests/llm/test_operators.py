@@ -403,6 +403,28 @@ def test_jaccard_families_around_the_threshold(spark, long_list, most_pivots):
     assert got == brute.similar(rows)
 
 
+@pytest.mark.parametrize("long_list,most_pivots", [(2, 6), (2, 1), (8, 3)])
+def test_jaccard_families_by_pivots_alone(spark, long_list, most_pivots):
+    """Every long list goes to its pivot, however few pairs it would give."""
+    rows = _families(long_list * 10 + most_pivots)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_groups(df, long_list=long_list, most_pivots=most_pivots, pairs_a_shingle=0).collect()}
+    assert got == brute.similar(rows)
+
+
+def test_jaccard_documents_of_common_lines_need_no_pivot(spark, monkeypatch):
+    """Long lists of many pivots that give few pairs are paired at once; comparing with pivots would only multiply them."""
+    import random
+
+    rng = random.Random(4)
+    lines = [" ".join(f"l{k}w{j}" for j in range(9)) for k in range(24)]
+    rows = [(k, "\n".join(rng.sample(lines, rng.choice([3, 4, 5])))) for k in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(jaccard, "DIFFERENCES", "no schema")  # a step by pivots would fail
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_groups(df).collect()}
+    assert got == brute.similar(rows)
+
+
 def test_jaccard_repeated_keys_share_a_component(spark):
     rows = [(1, PASSAGE), (2, PASSAGE + " end"), (2, "something else that is long enough"), (3, "something else that is long enough"), (4, None), (4, PASSAGE)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
