@@ -417,11 +417,11 @@ def test_jaccard_documents_of_common_lines_need_no_pivot(spark, monkeypatch):
     import random
 
     rng = random.Random(4)
-    lines = [" ".join(f"l{k}w{j}" for j in range(9)) for k in range(24)]
+    lines = [" ".join(f"l{k}w{j}" for j in range(30)) for k in range(24)]
     rows = [(k, "\n".join(rng.sample(lines, rng.choice([3, 4, 5])))) for k in range(240)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     monkeypatch.setattr(jaccard, "DIFFERENCES", "no schema")  # a step by pivots would fail
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_groups(df).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_groups(df, long_list=8).collect()}
     assert got == brute.similar(rows)
 
 
